@@ -56,6 +56,12 @@ def timestamp_from_epoch(seconds: Column | str) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(zero, zero, zero, as_column(seconds).cast("decimal(18,6)"))
 
 
+def utc_clock(instant: Column) -> Column:
+    """UTC wall clock of a TIMESTAMP, in any session time zone."""
+    micros = F.unix_micros(instant)
+    return timestamp_from_epoch(micros.cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+
+
 def _interval_micros(interval: Column) -> Column:
     part = lambda unit: F.extract(F.lit(unit), interval)
     whole = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")

@@ -10,12 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymill.functions.columns import (
     epoch_micros,
     round_to,
     seconds_between,
     timestamp_from_epoch,
+    utc_clock,
 )
 from tallymill.functions.constants import TOPICS, UNKNOWN_DEVICE
 from tallymill.operators.chunking import Order
@@ -65,6 +67,11 @@ def rejected(parsed: DataFrame, bad: str = "bad_payload") -> DataFrame:
     )
 
 
+def readings_only(parsed: DataFrame) -> DataFrame:
+    """Numbered readings; status messages and empty objects carry no sequence number. *stream*"""
+    return parsed.filter(F.col("seq").isNotNull())
+
+
 def topic_filter(df: DataFrame, topics: Sequence[str] = TOPICS) -> DataFrame:
     """Messages of the subscribed topics. *stream*"""
     return df.filter(F.col("topic").isin(*topics))
@@ -154,38 +161,55 @@ def latest_by_device(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     )
 
 
-def latest_unexpired(
-    df: DataFrame, now: Column, ttl: str = "1 hour", metrics: Sequence[str] = METRICS
+def ttl_slots(
+    df: DataFrame, ttl: str = "1 hour", metrics: Sequence[str] = METRICS, time: str = "ts"
 ) -> DataFrame:
-    """``latest_by_device`` where all values of a device vanish ``ttl`` after its last message.
-
-    A gap of ``ttl`` or more also deletes the values, so only readings since the last such gap
-    count. Readings are first reduced to one row per device and ``ttl``-wide time slot. Within a
-    slot no gap is that long, so gaps are found between the slots: no task needs all readings
-    of one device.
-    """
-    span = F.expr(f"interval {ttl}")
+    """One row per device and ``ttl``-wide slot of ``time``: first and last time seen, last value of
+    each metric and its position. *stream* (update mode, with a watermark on ``time``)"""
     positioned = df.withColumn("__at", event_order())
-    slots = positioned.groupBy("device_id", F.window("ts", ttl).alias("__slot")).agg(
-        F.min("ts").alias("__first"),
-        F.max("ts").alias("__last"),
+    slots = positioned.groupBy("device_id", F.window(time, ttl).alias("__slot")).agg(
+        F.min("ts").alias("first_seen"),
+        F.max("ts").alias("last_seen"),
         *[_latest_of(m, "__at").alias(m) for m in metrics],
-        *[F.max(F.when(F.col(m).isNotNull(), F.col("__at"))).alias(f"__at_{m}") for m in metrics],
+        *[F.max(F.when(F.col(m).isNotNull(), F.col("__at"))).alias(f"{m}_at") for m in metrics],
     )
-    by_time = Window.partitionBy("device_id").orderBy("__slot.start")
+    return slots.withColumn("slot_start", F.col("__slot.start")).drop("__slot")
+
+
+def alive_values(
+    slots: DataFrame, now: Column, ttl: str = "1 hour", metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Values of the ``ttl_slots`` that have not expired at ``now``.
+
+    Within a slot no gap can reach ``ttl``, so a gap lies between neighbouring slots of a device;
+    everything before the last gap is gone.
+    """
+    span = F.expr(f"interval {ttl}")
+    by_time = Window.partitionBy("device_id").orderBy("slot_start")
     later = by_time.rowsBetween(1, Window.unboundedFollowing)
-    breaks = F.col("__first") >= F.lag("__last").over(by_time) + span
+    breaks = F.col("first_seen") >= F.lag("last_seen").over(by_time) + span
     alive = (
         slots.withColumn("__break", F.coalesce(breaks, F.lit(False)))
         .withColumn("__dead", F.coalesce(F.max("__break").over(later), F.lit(False)))
         .filter(~F.col("__dead"))
     )
     latest = alive.groupBy("device_id").agg(
-        *[F.max_by(m, f"__at_{m}").alias(m) for m in metrics], F.max("__last").alias("last_seen")
+        *[F.max_by(m, f"{m}_at").alias(m) for m in metrics], F.max("last_seen").alias("last_seen")
     )
     return latest.filter(F.col("last_seen") + span > now)
 
 
+def latest_unexpired(
+    df: DataFrame, now: Column, ttl: str = "1 hour", metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """``latest_by_device`` where all values of a device vanish ``ttl`` after its last message.
+
+    A message after a gap of ``ttl`` or more does not bring back values from before the gap.
+    Readings are first reduced to slots, so no task needs all readings of one device.
+    """
+    return alive_values(ttl_slots(df, ttl, metrics), now, ttl, metrics)
+
+
 def history(df: DataFrame, key: Sequence[str] = ("device_id", "payload")) -> DataFrame:
     """Payloads with a temperature, each stored once per device."""
     return df.filter(F.col("temperature").isNotNull()).dropDuplicates(list(key))
@@ -206,15 +230,20 @@ def device_status(df: DataFrame, order: Column | str = "arrival_ts") -> DataFram
     )
 
 
-def windowed_readings(df: DataFrame, width: str = "5 minutes", metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Readings and mean metrics per device and tumbling window. *stream* (with a watermark)"""
+def windowed_readings(
+    df: DataFrame, width: str = "5 minutes", metrics: Sequence[str] = METRICS, time: str = "ts"
+) -> DataFrame:
+    """Readings and mean metrics per device and tumbling window of ``time``. *stream* (with a
+    watermark on ``time``)"""
+    instant = isinstance(df.schema[time].dataType, T.TimestampType)
+    clock = utc_clock if instant else (lambda c: c)
     return (
-        df.groupBy("device_id", F.window("ts", width).alias("__w"))
+        df.groupBy("device_id", F.window(time, width).alias("__w"))
         .agg(F.count(F.lit(1)).alias("readings"), *[F.avg(m).alias(f"avg_{m}") for m in metrics])
         .select(
             "device_id",
-            F.col("__w.start").alias("window_start"),
-            F.col("__w.end").alias("window_end"),
+            clock(F.col("__w.start")).alias("window_start"),
+            clock(F.col("__w.end")).alias("window_end"),
             "readings",
             *[f"avg_{m}" for m in metrics],
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tallymill.functions.constants import (
     TOPIC_HUMIDITY,
     TOPIC_STATUS,
     TOPIC_TEMPERATURE,
+    TOPICS,
     UNKNOWN,
     UNKNOWN_TITLE,
     UNKNOWN_YEAR,
@@ -20,8 +22,16 @@ from tallymill.functions.constants import (
 from tallymill.operators import cleaning, grouping, metrics, profiling, ranking, telemetry, text
 from tallymill.plans import pipelines, reports
 from tallymill.session import new_path
-from tallymill.sources import add_synthetic_columns, read_csv, read_first, read_table, write_csv
-from tallymill.sources import stand_ins
+from tallymill.sources import (
+    add_synthetic_columns,
+    read_csv,
+    read_first,
+    read_sensor_stream,
+    read_table,
+    stand_ins,
+    write_csv,
+)
+from tallymill.streaming import jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,6 +210,58 @@ def windowed_readings(spark: SparkSession, folder: str) -> DataFrame:
     return _round(windows, {"avg_temperature": 6, "avg_humidity": 6})
 
 
+# Streams. The messages are written as a feed of files and read back in three batches, in an
+# order that has nothing to do with event time; the watermark is wide enough to keep them all.
+
+_KEEP_ALL = "4000 days"
+
+
+def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str, str]:
+    root = new_path(spark, "feed")
+    files = max(spark.sparkContext.defaultParallelism, 3)
+    writer = stand_ins.messages(spark, folder).repartition(files).write
+    writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/in")
+    stream = read_sensor_stream(spark, f"{root}/in", TOPICS, math.ceil(files / 3))
+    return stream, f"{root}/out", f"{root}/checkpoint"
+
+
+def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    jobs.start_latest(feed, out, checkpoint).awaitTermination()
+    return jobs.latest(spark, out)
+
+
+def stream_unexpired(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    jobs.start_slots(feed, out, checkpoint, "1 day", _KEEP_ALL).awaitTermination()
+    now = spark.read.parquet(out).agg(F.max("last_seen")).scalar()
+    return jobs.unexpired(spark, out, now, "1 day")
+
+
+def stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    jobs.start_history(feed, out, checkpoint, _KEEP_ALL).awaitTermination()
+    return spark.read.parquet(out).select("device_id", "seq", "ts", "temperature", "humidity")
+
+
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    jobs.start_windows(feed, out, checkpoint, "5 minutes", _KEEP_ALL).awaitTermination()
+    return _round(jobs.windows(spark, out), {"avg_temperature": 6, "avg_humidity": 6})
+
+
+def stream_status(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    jobs.start_status(feed, out, checkpoint).awaitTermination()
+    return jobs.status(spark, out)
+
+
+def stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    feed, out, checkpoint = _feed(spark, folder)
+    sinks.start_rejects(feed, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # Metrics
 
 
@@ -390,6 +452,12 @@ def queries() -> dict[str, Query]:
         "recent_readings": recent_readings,
         "device_status": device_status,
         "windowed_readings": windowed_readings,
+        "stream_latest": stream_latest,
+        "stream_unexpired": stream_unexpired,
+        "stream_history": stream_history,
+        "stream_windows": stream_windows,
+        "stream_status": stream_status,
+        "stream_rejects": stream_rejects,
         # metrics
         "counter_rate": counter_rate,
         "cpu_busy": cpu_busy,

@@ -176,8 +176,18 @@ rates AS (
   FROM pairs WHERE previous_ts IS NOT NULL GROUP BY ALL HAVING sum(epoch_us(ts) - epoch_us(previous_ts)) > 0)"""
 
 
-def _unexpired(ttl: str) -> str:
-    return f"""WITH {READINGS},
+# What the stream of JSON messages keeps of the readings.
+STREAMED = (
+    READINGS.replace("readings AS (", "all_readings AS (")
+    + """,
+kinds AS (SELECT *, CASE WHEN seq % 19 = 0 THEN 'text' WHEN seq % 23 = 0 THEN 'empty'
+  WHEN topic = 'sensors/status' THEN 'status' ELSE 'reading' END AS kind FROM all_readings),
+readings AS (SELECT * FROM kinds WHERE kind = 'reading')"""
+)
+
+
+def _unexpired(ttl: str, readings: str = READINGS) -> str:
+    return f"""WITH {readings},
 gaps AS (
   SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL '{ttl}', false) AS gap
   FROM readings WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq)),
@@ -194,6 +204,17 @@ FROM live GROUP BY device_id
 HAVING max(ts) + INTERVAL '{ttl}' > (SELECT max(ts) FROM readings)"""
 
 
+LATEST = """SELECT device_id,
+  (array_agg(temperature ORDER BY ts DESC, seq DESC) FILTER (WHERE temperature IS NOT NULL))[1] AS temperature,
+  (array_agg(humidity ORDER BY ts DESC, seq DESC) FILTER (WHERE humidity IS NOT NULL))[1] AS humidity,
+  max(ts) AS last_seen FROM readings GROUP BY device_id"""
+
+WINDOWS = """SELECT device_id, time_bucket(INTERVAL '5 minutes', ts) AS window_start,
+  time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end, count(*) AS readings,
+  round(avg(temperature), 6) AS avg_temperature, round(avg(humidity), 6) AS avg_humidity
+FROM {0} GROUP BY ALL"""
+
+
 def _case(column: str, lows: list, rest: str) -> str:
     whens = " ".join(f"WHEN {column} >= {low} THEN '{label}'" for low, label in lows)
     return f"CASE {whens} ELSE '{rest}' END"
@@ -452,26 +473,28 @@ SELECT device_id, topic, seq, ts, latency, round(avg(latency) OVER (PARTITION BY
 last AS (SELECT latency * 1000 AS ms FROM measured ORDER BY arrival_ts DESC, seq DESC LIMIT 500)
 SELECT count(*) AS samples, round(avg(ms), 1) AS avg_ms, round(max(ms), 1) AS max_ms,
   round(min(ms), 1) AS min_ms FROM last""",
-        "latest_by_device": f"""WITH {READINGS}
-SELECT device_id,
-  (array_agg(temperature ORDER BY ts DESC, seq DESC) FILTER (WHERE temperature IS NOT NULL))[1] AS temperature,
-  (array_agg(humidity ORDER BY ts DESC, seq DESC) FILTER (WHERE humidity IS NOT NULL))[1] AS humidity,
-  max(ts) AS last_seen FROM readings GROUP BY device_id""",
+        "latest_by_device": f"WITH {READINGS} {LATEST}",
         "latest_unexpired": _unexpired("1 hour"),
         "latest_unexpired_day": _unexpired("1 day"),
         "reading_history": f"WITH {READINGS} SELECT DISTINCT device_id, seq, ts, temperature, humidity "
         "FROM readings WHERE temperature IS NOT NULL",
         "recent_readings": f"WITH {MEASURED} SELECT device_id AS device, topic, temperature AS temp, "
         "humidity AS humid, latency_ms FROM measured ORDER BY arrival_ts DESC, seq DESC LIMIT 100",
+        "stream_latest": f"WITH {STREAMED} {LATEST}",
+        "stream_unexpired": _unexpired("1 day", STREAMED),
+        "stream_history": f"WITH {STREAMED} SELECT DISTINCT device_id, seq, ts, temperature, humidity "
+        "FROM readings WHERE temperature IS NOT NULL",
+        "stream_windows": f"WITH {STREAMED} {WINDOWS.format('readings')}",
+        "stream_status": f"WITH {STREAMED} SELECT device_id, (array_agg(status ORDER BY arrival_ts DESC, "
+        "seq DESC))[1] AS status FROM kinds WHERE kind = 'status' GROUP BY device_id",
+        "stream_rejects": f"WITH {STREAMED} SELECT topic, arrival_ts, 'not json ' || CAST(seq AS VARCHAR) AS value "
+        "FROM kinds WHERE kind = 'text'",
         "device_status": f"WITH {READINGS} SELECT device_id, (array_agg(status ORDER BY arrival_ts DESC, "
         "seq DESC))[1] AS status FROM readings WHERE topic = 'sensors/status' GROUP BY device_id",
         "windowed_readings": f"""WITH {READINGS},
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, seq
   ORDER BY arrival_ts, topic) AS rn FROM readings) WHERE rn = 1)
-SELECT device_id, time_bucket(INTERVAL '5 minutes', ts) AS window_start,
-  time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end, count(*) AS readings,
-  round(avg(temperature), 6) AS avg_temperature, round(avg(humidity), 6) AS avg_humidity
-FROM once GROUP BY ALL""",
+{WINDOWS.format("once")}""",
         # metrics
         "counter_rate": f"WITH {_rates('pod')} SELECT pod, window_start, increase, "
         "round(seconds, 6) AS seconds, round(rate, 9) AS rate FROM rates",

@@ -7,14 +7,17 @@ from tallymill.sources.files import (
     register_view,
     write_csv,
 )
+from tallymill.sources.streams import MESSAGE_SCHEMA, read_sensor_stream
 from tallymill.sources.synthetic import add_synthetic_columns, synth_table
 
 __all__ = [
+    "MESSAGE_SCHEMA",
     "add_synthetic_columns",
     "literal_rows",
     "read_csv",
     "read_first",
     "read_lines",
+    "read_sensor_stream",
     "read_table",
     "register_view",
     "synth_table",
