@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
     """Overwrite ``path`` with CSV files that carry a header row.
 
     ``multiline`` doubles quotes, the form ``read_csv(multiline=True)`` expects. Spaces at
-    the ends of a value and empty strings survive the round trip.
+    the ends of a value survive the round trip; an empty string comes back as NULL.
     """
     writer = (
         df.write.mode("overwrite")
