@@ -15,12 +15,13 @@ FIRST_YEAR = 1888
 UNKNOWN_YEAR = 0
 
 # Characters the word count turns into spaces: ASCII and CJK punctuation and the newline.
-PUNCTUATION = "[.,!?;:\"'()\\[\\]{}，。！？；：（）《》【】—…·、\\n]"
+PUNCTUATION = ".,!?;:\"'()[]{}，。！？；：（）《》【】—…·、\n"
 
-# Whitespace as str.split() sees it, for the plain word count.
-WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# Whitespace of a regular expression's \s, and whitespace as str.split() sees it.
+ASCII_SPACES = "\t\n\x0b\x0c\r "
+ALL_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Popularity classes by number of votes and quality classes by score; highest bound first.

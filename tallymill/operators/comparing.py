@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.constants import ABOVE_AVERAGE, BELOW_AVERAGE
 from tallymill.operators.grouping import group_stats
+from tallymill.operators.joins import join_to_groups
 
 
 def _average(df: DataFrame, column: str) -> Column:
@@ -68,19 +69,22 @@ def vs_group_avg(
 ) -> DataFrame:
     """Deviation of each row from the rounded mean of its group.
 
-    Groups under ``min_rows`` rows drop out; ``where`` filters the compared rows only. The join
-    carries no hint: adaptive execution broadcasts the averages when their measured size is
-    small and splits a skewed key when it is not.
+    Groups under ``min_rows`` rows drop out; ``where`` filters the compared rows only. Rows
+    without a key have no group.
     """
-    avg_name = f"{key_name}_avg_score"
+    avg_name, size = f"{key_name}_avg_score", "__n"
     averages = group_stats(
-        df, {key_name: key}, {avg_name: ("avg", score, digits)}, where=groups_where, min_rows=min_rows
+        df,
+        {key_name: key},
+        {avg_name: ("avg", score, digits), size: ("count",)},
+        where=key.isNotNull() if groups_where is None else key.isNotNull() & groups_where,
+        min_rows=min_rows,
     )
     rows = df.withColumn(key_name, key)
     if where is not None:
         rows = rows.filter(where)
     gap = F.col(score) - F.col(avg_name)
-    compared = rows.join(averages, key_name).withColumns(
+    compared = join_to_groups(rows, averages, [key_name], size).withColumns(
         {
             "above_avg": F.round(gap, digits),
             "vs_avg": F.when(F.col(score) >= F.col(avg_name), ABOVE_AVERAGE).otherwise(BELOW_AVERAGE),

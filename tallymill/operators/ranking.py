@@ -16,16 +16,7 @@ from tallymill.operators.chunking import (
     position_on_line,
     sort_columns,
 )
-from tallymill.session import write_once
-
-
-def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on same-named columns in which NULL equals NULL; the keys appear once."""
-    right = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return df.join(right, condition, how).drop(*[f"__r_{k}" for k in keys])
+from tallymill.operators.joins import join_null_safe, join_to_groups
 
 
 def rank_columns(df: DataFrame, keys: Sequence[str], ranks: dict[str, tuple[Column, Sequence[Column]]]) -> DataFrame:
@@ -91,22 +82,27 @@ def row_numbers(
     chunk = ["__c1", "__c2"]
     cut = add_order_chunks(df, order, chunk, parts)
     ids = [*keys, *chunk]
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(*chunk)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
+    earlier = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    headers = (
         cut.groupBy(*ids)
         .agg(F.count(F.lit(1)).alias("__size"))
         .withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
         .drop("__size")
     )
-    within = Window.partitionBy(*ids).orderBy(*sort_columns(order))
-    numbered = join_null_safe(cut, offsets, ids).withColumn(
-        out, F.row_number().over(within) + F.col("__offset")
+    # The offset travels as the first row of its chunk: one shuffle, no join, NULL keys included.
+    rows = cut.withColumn("__offset", F.lit(None).cast("bigint"))
+    within = Window.partitionBy(*ids).orderBy(F.col("__offset").asc_nulls_last(), *sort_columns(order))
+    numbered = rows.unionByName(headers, allowMissingColumns=True).withColumns(
+        {
+            "__first": F.max("__offset").over(within.rowsBetween(Window.unboundedPreceding, 0)),
+            out: F.row_number().over(within),
+        }
+    )
+    return (
+        numbered.filter(F.col("__offset").isNull())
+        .withColumn(out, F.col("__first") + F.col(out) - 1)
+        .drop("__offset", "__first", *chunk)
     )
-    return numbered.drop("__offset", *chunk)
 
 
 def percent_rank_top(
@@ -129,15 +125,13 @@ def percent_rank_global(
     out: str = "percentile",
     digits: int | None = None,
     parts: int | None = None,
-    hot_share: int = 1000,
+    **sizes: int,
 ) -> DataFrame:
     """PERCENT_RANK of every row over the whole table, NULLs last, without one big partition.
 
     Rows are first counted per distinct value. Running totals are taken inside chunks of the
-    value range and shifted by the total of earlier chunks. Values held by more than 1 in
-    ``hot_share`` rows (so at most ``hot_share`` values) go back to their rows by broadcast, all
-    others by a shuffled join, in which no value is large. The table of ranks, one row per
-    distinct value, is written once to the shared folder because both joins use it.
+    value range and shifted by the total of earlier chunks. ``join_to_groups`` then takes the
+    ranks, one row per distinct value, back to the rows; ``sizes`` are its limits.
     """
     parts = parts or default_parts(df)
     line = position_on_line(df, column)
@@ -171,12 +165,7 @@ def percent_rank_global(
         .select(
             F.col(column),
             _percent(F.col("__ahead") + F.col("__shift"), total, digits).alias(out),
-            (F.col("__n") * hot_share > total).alias("__hot"),
+            "__n",
         )
     )
-    ranks = write_once(ranks, "ranks")
-    hot = F.broadcast(ranks.filter("__hot").drop("__hot"))
-    rest = ranks.filter(~F.col("__hot")).drop("__hot")
-    return join_null_safe(df, hot, [column]).unionByName(
-        join_null_safe(join_null_safe(df, hot.drop(out), [column], "left_anti"), rest, [column])
-    )
+    return join_to_groups(df, ranks, [column], "__n", **sizes)

@@ -4,6 +4,7 @@ from the definitions: plain windows and joins instead of the chunked forms."""
 from __future__ import annotations
 
 from tallymill.functions.constants import (
+    ALL_SPACES,
     FIRST_YEAR,
     POPULARITY,
     POPULARITY_REST,
@@ -12,7 +13,6 @@ from tallymill.functions.constants import (
     QUALITY_REST,
     UNKNOWN,
     UNKNOWN_TITLE,
-    WHITESPACE,
 )
 
 TITLES = """
@@ -220,17 +220,19 @@ def _case(column: str, lows: list, rest: str) -> str:
     return f"CASE {whens} ELSE '{rest}' END"
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+def _class(characters: str) -> str:
+    """A quoted regular-expression class of the characters."""
+    escaped = "".join(f"\\x{{{ord(c):x}}}" for c in characters)
+    return f"'[{escaped}]"
 
 
 CLEAN_WORDS = f"""words AS (
   SELECT unnest(regexp_split_to_array(
-    regexp_replace(lower(text), {_quoted(PUNCTUATION)}, ' ', 'g'), '\\s+')) AS word FROM documents),
+    regexp_replace(lower(text), {_class(PUNCTUATION)}', ' ', 'g'), '\\s+')) AS word FROM documents),
 counts AS (SELECT word, count(*) AS count FROM words WHERE length(word) >= 2 GROUP BY word)"""
 
 RAW_WORDS = f"""words AS (
-  SELECT unnest(regexp_split_to_array(text, {_quoted(WHITESPACE)})) AS word FROM documents),
+  SELECT unnest(regexp_split_to_array(text, {_class(ALL_SPACES)}+')) AS word FROM documents),
 counts AS (SELECT word, count(*) AS count FROM words WHERE length(word) >= 1 GROUP BY word)"""
 
 GENRE = "split_part(genres, '/', 1)"
@@ -242,9 +244,9 @@ def _missing(expression: str) -> str:
     return ", ".join(f"{expression.format(c)} AS {c}" for c in MOVIE_COLUMNS.split(", "))
 
 
-def _category(source: str, category: str, value: str, quantity: str, exact: str) -> str:
+def _category(source: str, category: str, value: str, quantity: str, units: int) -> str:
     return f"""SELECT {category} AS category, count(*) AS cnt,
-  CAST(sum(CAST({value} AS {exact})) AS DOUBLE) AS total_value, round(avg({value}), 4) AS avg_value,
+  sum(CAST(round({value} * {units}) AS BIGINT)) / {units} AS total_value, round(avg({value}), 4) AS avg_value,
   CAST(sum({quantity}) AS BIGINT) AS total_qty FROM {source} GROUP BY 1"""
 
 
@@ -264,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "synth_group": "WITH synth AS (SELECT o_orderkey AS id, "
         "CAST((o_orderkey * 7919) % 10 AS INTEGER) AS category, "
         "(o_orderkey * 104729) % 1000000 / 1000 AS value, (o_orderkey * 31) % 20 + 1 AS quantity FROM orders) "
-        + _category("synth", "category", "value", "quantity", "DECIMAL(18,3)"),
+        + _category("synth", "category", "value", "quantity", 1000),
         # profiles
         "missing_counts": f"WITH {MESSY} SELECT {_missing('count(*) - count({0})')} FROM messy",
         "missing_rates": f"WITH {MESSY} SELECT "
@@ -413,7 +415,7 @@ FROM movies""",
         "count(*) AS distinct_words FROM counts",
         "word_count_raw": f"WITH {RAW_WORDS} SELECT word, count FROM counts ORDER BY count DESC, word LIMIT 10",
         "category_agg": _category(
-            "lineitem", "l_returnflag", "l_extendedprice", "l_quantity", "DECIMAL(18,2)"
+            "lineitem", "l_returnflag", "l_extendedprice", "l_quantity", 100
         ),
         "category_count_filtered": "SELECT l_returnflag AS category, count(*) AS count FROM lineitem "
         "WHERE l_extendedprice > 50000 GROUP BY 1",

@@ -25,6 +25,7 @@ from tallymill.functions.constants import (
     UNKNOWN_YEAR,
 )
 from tallymill.operators import cleaning as c
+from tallymill.session import write_once
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,27 @@ class Dedupe:
     apply: Callable[[DataFrame], DataFrame]
 
 
-Step = Keep | Change | Dedupe
+@dataclass(frozen=True)
+class Store:
+    """Write the rows so far to the shared folder, before steps that read them more than once."""
+
+    label: str
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return write_once(df, self.label)
 
 
-def run(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
+Step = Keep | Change | Dedupe | Store
+
+
+def run(df: DataFrame, steps: Sequence[Step], store: bool = True) -> DataFrame:
+    """Apply the steps. With ``store=False`` nothing is written and the plan stays lazy, at the
+    price of repeating the work before each statistic."""
     for step in steps:
-        df = df.filter(step.predicate(df)) if isinstance(step, Keep) else step.apply(df)
+        if isinstance(step, Keep):
+            df = df.filter(step.predicate(df))
+        elif store or not isinstance(step, Store):
+            df = step.apply(df)
     return df
 
 
@@ -150,6 +166,7 @@ CLUSTER_STEPS: list[Step] = [
         }
     ),
     Dedupe("whole_row_copies", c.dedupe_rows),
+    Store("titles"),
     Change(lambda df: c.cast_columns(df, {"amount": "double", "quantity": "int"})),
     _scores(0.0, 10.0),
     _YEARS,
@@ -174,6 +191,7 @@ LOCAL_STEPS: list[Step] = [
         }
     ),
     Dedupe("movie_id_copies", _by_votes),
+    Store("titles"),
     # Ids stay BIGINT: at full scale they outgrow INT.
     Change(lambda df: c.cast_columns(df, {"year": "int", "movie_id": "bigint"})),
     _scores(1.0, 10.0),
@@ -220,16 +238,16 @@ GENRE_STEPS: list[Step] = [
 ]
 
 
-def clean_cluster(df: DataFrame) -> DataFrame:
+def clean_cluster(df: DataFrame, store: bool = True) -> DataFrame:
     """Fill scores with their mean and the rest with constants, drop whole-row copies, keep scores
     in 0..10, plausible years and votes within 3 sigma, trim all strings."""
-    return run(df, CLUSTER_STEPS)
+    return run(df, CLUSTER_STEPS, store)
 
 
-def clean_local(df: DataFrame) -> DataFrame:
+def clean_local(df: DataFrame, store: bool = True) -> DataFrame:
     """Drop rows without a year, fill, keep one row per movie_id, convert, keep scores in 1..10,
     plausible years and votes within 3 sigma, trim the named strings."""
-    return run(df, LOCAL_STEPS)
+    return run(df, LOCAL_STEPS, store)
 
 
 def prep_analysis(df: DataFrame) -> DataFrame:

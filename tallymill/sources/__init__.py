@@ -5,6 +5,7 @@ from tallymill.sources.files import (
     read_lines,
     read_table,
     register_view,
+    spread,
     write_csv,
 )
 from tallymill.sources.streams import MESSAGE_SCHEMA, read_sensor_stream
@@ -20,6 +21,7 @@ __all__ = [
     "read_sensor_stream",
     "read_table",
     "register_view",
+    "spread",
     "synth_table",
     "write_csv",
 ]

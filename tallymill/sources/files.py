@@ -18,7 +18,7 @@ def read_csv(
     """CSV with a header row. Without ``schema`` the types are inferred in an extra pass.
 
     ``multiline`` accepts quoted newlines and doubled quotes, but Spark cannot split such a
-    file: write many files of moderate size rather than one large one.
+    file: ``write_csv`` has ``rows_per_file`` to keep such files of moderate size.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
     if multiline:
@@ -27,7 +27,7 @@ def read_csv(
     return reader.csv(path)
 
 
-def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, multiline: bool = False, rows_per_file: int | None = None) -> None:
     """Overwrite ``path`` with CSV files that carry a header row.
 
     ``multiline`` doubles quotes, the form ``read_csv(multiline=True)`` expects. Spaces at
@@ -42,6 +42,8 @@ def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
     )
     if multiline:
         writer = writer.option("escape", '"')
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.csv(path)
 
 
@@ -55,6 +57,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain file scan to all cores if the scan has fewer splits than cores.
+
+    For costly work on few files, such as splitting text. Large inputs have more splits than
+    cores and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_first(
     spark: SparkSession,
     paths: Sequence[str],

@@ -143,6 +143,8 @@ def test_clean_local(dirty):
     assert out["Lantern"].rating_count == 4000
     scores = [8.0, 8.0, 7.0, 7.0, 0.5, 9.9, 7.5, 6.0, 6.0]
     assert out["Unscored"].rating_score == pytest.approx(sum(scores) / 9)
+    lazy = pipelines.clean_local(dirty, store=False)
+    assert lazy.exceptAll(pipelines.clean_local(dirty)).count() == 0
 
 
 @pytest.mark.parametrize("steps", [pipelines.CLUSTER_STEPS, pipelines.LOCAL_STEPS, pipelines.ANALYSIS_STEPS])

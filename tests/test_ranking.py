@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators import ranking
 from tallymill.operators.chunking import add_chunk
+from tallymill.operators.joins import join_to_groups
 
 
 def same_rows(left, right):
@@ -64,9 +65,9 @@ def test_chunk_numbers_rise_with_the_value(spark):
 
 
 @pytest.mark.parametrize("desc", [True, False])
-@pytest.mark.parametrize("hot_share", [3, 1000])
-def test_percent_rank_global_matches_the_window(skewed, desc, hot_share):
-    got = ranking.percent_rank_global(skewed, "s", desc=desc, out="p", hot_share=hot_share)
+@pytest.mark.parametrize("sizes", [{}, {"small": 0}, {"small": 0, "hot_share": 3}])
+def test_percent_rank_global_matches_the_window(skewed, desc, sizes):
+    got = ranking.percent_rank_global(skewed, "s", desc=desc, out="p", **sizes)
     order = F.col("s").desc_nulls_last() if desc else F.col("s").asc_nulls_last()
     want = skewed.withColumn("p", F.percent_rank().over(W.orderBy(order)))
     same_rows(got, want)
@@ -114,3 +115,11 @@ def test_rank_columns(skewed):
     )
     ends = got.filter("a = 1").select("b").distinct().collect()
     assert [r.b for r in ends] == [1.0]
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_join_to_groups_finds_every_row_once(spark, skewed, small):
+    groups = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    got = join_to_groups(skewed, groups, ["k"], "n", small=small, hot_share=2)
+    last = W.partitionBy("k")
+    same_rows(got, skewed.withColumn("last", F.max("id").over(last)))
