@@ -217,7 +217,7 @@ def windowed_readings(spark: SparkSession, folder: str) -> DataFrame:
     return _round(windows, {"avg_temperature": 6, "avg_humidity": 6})
 
 
-# Streams. The messages are written as a feed of files and read back in three batches, in an
+# Streams. The messages are written as a feed of files and read back in two batches, in an
 # order that has nothing to do with event time; the watermark is wide enough to keep them all.
 
 _KEEP_ALL = "4000 days"
@@ -225,10 +225,10 @@ _KEEP_ALL = "4000 days"
 
 def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str, str]:
     root = new_path(spark, "feed")
-    files = max(spark.sparkContext.defaultParallelism, 3)
+    files = max(spark.sparkContext.defaultParallelism, 2)
     writer = stand_ins.messages(spark, folder).repartition(files).write
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/in")
-    stream = read_sensor_stream(spark, f"{root}/in", TOPICS, math.ceil(files / 3))
+    stream = read_sensor_stream(spark, f"{root}/in", TOPICS, math.ceil(files / 2))
     return stream, f"{root}/out", f"{root}/checkpoint"
 
 
