@@ -103,22 +103,48 @@ def rolling_mean(
 ) -> DataFrame:
     """Mean of ``column`` over the row and its ``n - 1`` predecessors in the same group.
 
-    Rows are numbered per group without sorting a group in one task, then cut into blocks of
+    Rows are numbered per group without sorting a group in one task, then cut into blocks of about
     ``block_rows``. The last ``n - 1`` rows of a block are copied into the next one as context,
-    so every block is complete by itself and no task sees more than ``block_rows + n`` rows.
+    so every block is complete by itself and no task needs more than one block.
+
+    Inside a block the rows form segments of ``n``. The last ``n`` values before any row are the
+    head of its own segment and the tail of the segment before, so two running sums replace
+    ``n`` additions per row, and only values inside the frame are ever added up.
     """
-    block_rows = max(block_rows, n)
-    place = "__place"
+    place, block, segment = "__place", "__block", "__segment"
+    block_rows = max(block_rows // n, 1) * n
     rows = row_numbers(df, keys, order, place, parts)
     at = F.col(place) - 1
-    block = F.floor(at / block_rows)
-    own = F.struct(block.alias("block"), F.lit(False).alias("context"))
-    ahead = F.struct((block + 1).alias("block"), F.lit(True).alias("context"))
-    tail = F.pmod(at, F.lit(block_rows)) >= block_rows - (n - 1)
-    spread = rows.withColumn("__b", F.explode(F.when(tail, F.array(own, ahead)).otherwise(F.array(own))))
-    frame = Window.partitionBy(*keys, "__b.block").orderBy(place).rowsBetween(-(n - 1), 0)
-    mean = round_to(F.avg(column).over(frame), digits)
-    return spread.withColumn(out, mean).filter(~F.col("__b.context")).drop("__b", place)
+    own = F.struct(F.floor(at / block_rows).alias("b"), F.lit(False).alias("context"))
+    ahead = F.struct((own["b"] + 1).alias("b"), F.lit(True).alias("context"))
+    is_tail = F.pmod(at, F.lit(block_rows)) > block_rows - n
+    copies = F.explode(F.when(is_tail, F.array(own, ahead)).otherwise(F.array(own)))
+    cut = (
+        rows.withColumn("__copy", copies)
+        .withColumns(
+            {block: F.col("__copy.b"), "__context": F.col("__copy.context"), segment: F.floor(at / n)}
+        )
+        .drop("__copy")
+        .repartition(*keys, block)
+    )
+    in_segment = Window.partitionBy(*keys, block, segment)
+    head = in_segment.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    tail = in_segment.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy(*keys, block).orderBy(segment, place)
+
+    def frame_total(name: str) -> Column:
+        ends_segment = F.pmod(at, F.lit(n)) == n - 1
+        before = F.lag(f"__tail_{name}", n - 1).over(in_block)
+        return F.col(f"__head_{name}") + F.when(ends_segment, 0).otherwise(F.coalesce(before, F.lit(0)))
+
+    value = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    sums = {"sum": F.sum(value), "count": F.count(column)}
+    cut = cut.withColumns({f"__tail_{k}": f.over(tail) for k, f in sums.items()})
+    cut = cut.withColumns({f"__head_{k}": f.over(head) for k, f in sums.items()})
+    cut = cut.withColumns({f"__{k}": frame_total(k) for k in sums})
+    mean = F.when(F.col("__count") > 0, F.col("__sum") / F.col("__count"))
+    kept = cut.filter(~F.col("__context")).withColumn(out, round_to(mean, digits))
+    return kept.select(*df.columns, out)
 
 
 def latency_summary(

@@ -14,6 +14,7 @@ from tallymill.functions.constants import (
     UNKNOWN,
     UNKNOWN_TITLE,
 )
+from tallymill.plans.catalogue import NULLABLE_INTEGERS
 
 TITLES = """
 titles AS (
@@ -257,7 +258,19 @@ def _describe(column: str) -> str:
     )
 
 
+def _as_doubles(sql: str, columns: list[str]) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
+    return {
+        name: _as_doubles(sql, NULLABLE_INTEGERS[name]) if name in NULLABLE_INTEGERS else sql
+        for name, sql in _oracle_sql().items()
+    }
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         # sources and sinks
         "csv_roundtrip": f"WITH {TITLES} SELECT * FROM titles",

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tallymill.sources.tables import SCHEMAS
+
 
 def read_csv(
     spark: SparkSession,
@@ -53,8 +55,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``<folder>/<name>.parquet``."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """``<folder>/<name>.parquet``; the schema of a known table is not looked up in the files."""
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.constants import TOPIC_HUMIDITY, TOPIC_STATUS, TOPIC_TEMPERATURE
-from tallymill.sources.files import read_table
+from tallymill.sources.files import read_table, spread
 
 
 def _unless(condition: Column, value: Column) -> Column:
@@ -77,7 +77,10 @@ def messy_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """One message per event and a second delivery of every eighth, five seconds later."""
-    events = read_table(spark, folder, "events")
+    return _delivered(read_table(spark, folder, "events"))
+
+
+def _delivered(events: DataFrame) -> DataFrame:
     event_id, user = F.col("event_id"), F.col("user_id").cast("string")
     deliveries = F.when(_every("event_id", 8), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     delay = (event_id % 1000 + F.col("delivery") * 5000) / 1000
@@ -102,7 +105,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """The same readings as JSON text, mixed with status messages, empty objects, payloads that
     name the ``device`` only, and text that is not JSON."""
-    rows = readings(spark, folder)
+    rows = _delivered(spread(read_table(spark, folder, "events")))
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     gap = F.col("ts") - epoch
     seconds = (

@@ -10,10 +10,13 @@ from tallymill.sources import (
     read_csv,
     read_first,
     read_lines,
+    read_table,
     register_view,
+    spread,
     synth_table,
     write_csv,
 )
+from tallymill.sources.tables import SCHEMAS
 
 SCHEMA = "id int, name string, x double"
 
@@ -65,6 +68,19 @@ def test_synthetic_table_repeats(spark):
     assert row[0] == 0 and row[1] == 9 and 0 <= row[2] < row[3] < 1000 and (row[4], row[5], row[6]) == (1, 20, 1)
 
 
+def test_declared_table_schemas_are_those_of_the_files(spark):
+    for name in SCHEMAS:
+        path = f"/root/testdata/sf0.001/{name}.parquet"
+        assert read_table(spark, "/root/testdata/sf0.001", name).dtypes == spark.read.parquet(path).dtypes
+
+
+def test_spread_only_touches_small_scans(spark):
+    small = read_table(spark, "/root/testdata/sf0.001", "documents")
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 50)
+    assert spread(wide) is wide
+
+
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "/shared/x/"}[key]))

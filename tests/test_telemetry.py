@@ -82,7 +82,7 @@ def test_distinct_readings_keep_the_first_arrival(spark):
 def test_rolling_mean_matches_the_window(spark, n, block_rows):
     rng = random.Random(n)
     rows = [
-        ("hot" if rng.random() < 0.7 else rng.choice(["a", None]), i, at(rng.randrange(300)), float(rng.randrange(100)))
+        ("hot" if rng.random() < 0.7 else rng.choice(["a", None]), i, at(rng.randrange(300)), rng.choice([None, float(rng.randrange(100))]))
         for i in range(1500)
     ]
     df = spark.createDataFrame(rows, "device_id string, seq bigint, ts timestamp_ntz, x double")
