@@ -64,16 +64,15 @@ def at_least_or_sentinel(column: str, low: float, sentinel: float) -> Column:
 
 def within_sigma(df: DataFrame, column: str, k: float = 3.0, floor: float | None = 0.0) -> Column:
     """mean ± k sample deviations of ``df``; true for every row if the deviation is NULL, 0 or NaN."""
-    c = F.col(column)
-    stats = df.agg(
-        F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("dev")).alias("stats")
-    ).scalar()
-    mean, dev = stats["mean"], stats["dev"]
-    low = mean - k * dev
+    mean, dev = F.avg(column), F.stddev_samp(column)
+    low, high = mean - k * dev, mean + k * dev
     if floor is not None:
         low = F.greatest(F.lit(float(floor)), low)
-    no_spread = dev.isNull() | F.isnan(dev) | (dev == 0)
-    return F.when(no_spread, F.lit(True)).otherwise((c >= low) & (c <= mean + k * dev))
+    spread = dev.isNotNull() & ~F.isnan(dev) & (dev > 0)
+    bounds = df.agg(
+        F.when(spread, F.struct(low.alias("low"), high.alias("high"))).alias("bounds")
+    ).scalar()
+    return bounds.isNull() | F.col(column).between(bounds["low"], bounds["high"])
 
 
 def filter_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

@@ -60,6 +60,11 @@ def _on_prepared(report: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_messy(lambda df: report(pipelines.prep_analysis(df)))
 
 
+def _on_stored(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """For reports that read the prepared titles more than once."""
+    return _on_prepared(lambda df: report(write_once(df, "prepared")))
+
+
 def _on_table(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: query(read_table(spark, folder, name))
 
@@ -155,13 +160,13 @@ def sensor_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def rolling_by(*keys: str) -> Query:
+def rolling_by(*keys: str, order: str = "ts") -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         # Numbering reads its input three times; the de-duplication is done once.
         rows = telemetry.rolling_mean(
             write_once(_measured(spark, folder), "readings"),
             keys,
-            [("ts", "asc"), ("seq", "asc")],
+            [(order, "asc"), ("seq", "asc")],
             "latency",
             "avg_latency",
             n=500,
@@ -418,9 +423,9 @@ def _queries() -> dict[str, Query]:
             )
         ),
         "sentinel_filter": _on_titles(filled_genres),
-        "above_avg_collect": _on_prepared(lambda df: _scores(reports.above_avg_collect(df))),
+        "above_avg_collect": _on_stored(lambda df: _scores(reports.above_avg_collect(df))),
         "hidden_gems": _on_titles(reports.good_but_overlooked),
-        "vs_group_avg": _on_prepared(lambda df: _scores(reports.vs_genre_avg(df))),
+        "vs_group_avg": _on_stored(lambda df: _scores(reports.vs_genre_avg(df))),
         # aggregates
         "genre_stats": _on_titles(reports.genre_stats),
         "genre_stats_full": _on_prepared(reports.genre_stats_full),
@@ -458,11 +463,11 @@ def _queries() -> dict[str, Query]:
         ),
         # ranks and top-k
         "top3_per_genre": _on_titles(reports.top3_per_genre),
-        "genre_ranks": _on_prepared(lambda df: _scores(reports.genre_ranks(df))),
+        "genre_ranks": _on_stored(lambda df: _scores(reports.genre_ranks(df))),
         "global_percent_rank": _on_titles(reports.global_percent_rank),
         "percent_rank_all": _on_titles(
             lambda df: ranking.percent_rank_global(
-                df.select("movie_id", "rating_score"), "rating_score", digits=9
+                write_once(df.select("movie_id", "rating_score"), "scores"), "rating_score", digits=9
             ).select("movie_id", "percentile")
         ),
         "genre_row_number": _on_titles(lambda df: reports.genre_row_number(pipelines.prep_bench(df))),
@@ -481,6 +486,7 @@ def _queries() -> dict[str, Query]:
         ),
         "rolling_mean": rolling_by("device_id"),
         "rolling_mean_by_topic": rolling_by("topic"),
+        "rolling_mean_all": rolling_by(order="arrival_ts"),
         "latency_summary": latency_summary,
         "latest_by_device": lambda spark, folder: telemetry.latest_by_device(
             stand_ins.readings(spark, folder)

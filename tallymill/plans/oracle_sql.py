@@ -483,6 +483,9 @@ SELECT device_id, topic, seq, ts, latency, round(avg(latency) OVER (PARTITION BY
   ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM measured""",
         "rolling_mean_by_topic": f"""WITH {MEASURED}
 SELECT device_id, topic, seq, ts, latency, round(avg(latency) OVER (PARTITION BY topic ORDER BY ts, seq
+  ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM measured""",
+        "rolling_mean_all": f"""WITH {MEASURED}
+SELECT device_id, topic, seq, ts, latency, round(avg(latency) OVER (ORDER BY arrival_ts, seq
   ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM measured""",
         "latency_summary": f"""WITH {MEASURED},
 last AS (SELECT latency * 1000 AS ms FROM measured ORDER BY arrival_ts DESC, seq DESC LIMIT 500)

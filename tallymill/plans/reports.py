@@ -23,6 +23,7 @@ from tallymill.operators.grouping import (
     top_k,
 )
 from tallymill.operators.ranking import percent_rank_top, row_numbers, top_n_per_group
+from tallymill.session import write_once
 
 
 def main_genre() -> Column:
@@ -346,6 +347,8 @@ def genre_row_number(df: DataFrame, votes: int = 5_000, year: int = 2000) -> Dat
     """Every recent title with its place in its main genre by score."""
     rows = df.filter((F.col("rating_count") > votes) & (F.col("year") >= year))
     rows = rows.select("movie_id", "title", "year", "rating_score", main_genre().alias("genre"))
+    # Numbering reads its input three times.
+    rows = write_once(rows, "ranked-titles")
     numbered = row_numbers(rows, ["genre"], [("rating_score", "desc"), ("movie_id", "asc")])
     return numbered.select("title", "year", "rating_score", "rn")
 

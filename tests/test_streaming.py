@@ -123,6 +123,26 @@ def test_status_and_rejects(spark, run):
     assert [r.value for r in rejects] == ["oops"]
 
 
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """New files after a stop: nothing is read twice, nothing old is forgotten."""
+    root = new_path(spark, "restart")
+    folder = tmp_path / "feed"
+    folder.mkdir()
+
+    def deliver(i):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(m) for m in BATCHES[i]))
+        stream = read_sensor_stream(spark, str(folder), ["sensors/temperature", "sensors/humidity"])
+        jobs.start_history(stream, f"{root}/history", f"{root}/c1", delay="2 hours").awaitTermination()
+        jobs.start_latest(stream, f"{root}/latest", f"{root}/c2").awaitTermination()
+
+    for i in range(3):
+        deliver(i)
+    rows = spark.read.parquet(f"{root}/history").collect()
+    assert sorted((r.device_id, r.seq) for r in rows) == [("a", 1), ("a", 2), ("a", 9), ("b", 1), ("b", 2)]
+    latest = {r.device_id: (r.temperature, r.humidity) for r in jobs.latest(spark, f"{root}/latest").collect()}
+    assert latest == {"a": (21.0, 5.0), "b": (31.0, 1.0)}
+
+
 def test_a_repeated_batch_replaces_its_rows(spark):
     out = new_path(spark, "repeat")
     for value in (1, 2):

@@ -94,6 +94,13 @@ def test_rolling_mean_matches_the_window(spark, n, block_rows):
     assert got.count() == 1500 and got.exceptAll(want).count() == 0
 
 
+def test_rolling_mean_over_all_devices(spark):
+    df = spark.createDataFrame([(i, at(i // 3), float(i * 7 % 11)) for i in range(400)], "seq bigint, ts timestamp_ntz, x double")
+    got = telemetry.rolling_mean(df, [], [("ts", "asc"), ("seq", "asc")], "x", "m", n=9, digits=9, parts=5, block_rows=50)
+    want = df.withColumn("m", F.round(F.avg("x").over(W.orderBy("ts", "seq").rowsBetween(-8, 0)), 9))
+    assert got.count() == 400 and got.exceptAll(want).count() == 0
+
+
 def test_latency_summary(spark):
     df = spark.createDataFrame([(i, i / 1000) for i in range(600)], "seq bigint, latency double")
     row = telemetry.latency_summary(df, [F.desc("seq")]).first()
