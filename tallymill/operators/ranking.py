@@ -16,7 +16,7 @@ from tallymill.operators.chunking import (
     position_on_line,
     sort_columns,
 )
-from tallymill.operators.joins import join_null_safe, join_to_groups
+from tallymill.operators.joins import join_null_safe
 
 
 def rank_columns(df: DataFrame, keys: Sequence[str], ranks: dict[str, tuple[Column, Sequence[Column]]]) -> DataFrame:
@@ -125,47 +125,40 @@ def percent_rank_global(
     out: str = "percentile",
     digits: int | None = None,
     parts: int | None = None,
-    **sizes: int,
 ) -> DataFrame:
     """PERCENT_RANK of every row over the whole table, NULLs last, without one big partition.
 
-    Rows are first counted per distinct value. Running totals are taken inside chunks of the
-    value range and shifted by the total of earlier chunks. ``join_to_groups`` then takes the
-    ranks, one row per distinct value, back to the rows; ``sizes`` are its limits.
+    The value range is cut into chunks; the rank is the rank inside the chunk plus the rows of
+    earlier chunks. A value with very many copies is alone in its chunk, where every row has rank
+    1, so such a chunk may be split anywhere: it is split by the task its rows come from.
     """
     parts = parts or default_parts(df)
     line = position_on_line(df, column)
     if line is None:
         raise ValueError(f"percent_rank_global needs a numeric or time column, not {column}")
-    way = [(column, "desc" if desc else "asc")]
     cuts = borders(df, {column: line}, parts)[column]
+    nan_chunk, null_chunk = 2 * len(cuts) + 2, 2 * len(cuts) + 3
 
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    counts = add_chunk(counts, line, cuts, "__chunk")
-    chunk = -F.col("__chunk") if desc else F.col("__chunk")
-    counts = counts.withColumn("__chunk", F.coalesce(chunk, F.lit(2 * len(cuts) + 3)))
+    cut = add_chunk(df, line, cuts, "__c")
+    one_value = F.col("__c").isNull() | (F.col("__c") % 2 == 1) | (F.col("__c") == nan_chunk)
+    split = F.when(one_value, F.pmod(F.spark_partition_id(), F.lit(parts))).otherwise(0)
+    chunk = F.coalesce(-F.col("__c") if desc else F.col("__c"), F.lit(null_chunk))
+    cut = cut.withColumns({"__split": split, "__chunk": chunk}).drop("__c")
 
-    # One row per chunk, at most 2 * parts + 1 rows: a single task and a broadcast are fine here.
-    before_chunk = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per chunk, at most 2 * parts + 3 rows: a single task and a broadcast are fine here.
+    everywhere = Window.orderBy("__chunk")
     shifts = (
-        counts.groupBy("__chunk")
-        .agg(F.sum("__n").alias("__chunk_rows"))
-        .withColumn("__shift", F.coalesce(F.sum("__chunk_rows").over(before_chunk), F.lit(0)))
-        .drop("__chunk_rows")
-    )
-    before_value = (
-        Window.partitionBy("__chunk")
-        .orderBy(*sort_columns(way))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    total = df.agg(F.count(F.lit(1))).scalar()
-    ranks = (
-        counts.withColumn("__ahead", F.coalesce(F.sum("__n").over(before_value), F.lit(0)))
-        .join(F.broadcast(shifts), "__chunk")
+        cut.groupBy("__chunk")
+        .agg(F.count(F.lit(1)).alias("__rows"))
         .select(
-            F.col(column),
-            _percent(F.col("__ahead") + F.col("__shift"), total, digits).alias(out),
-            "__n",
+            "__chunk",
+            (F.sum("__rows").over(everywhere) - F.col("__rows")).alias("__shift"),
+            F.sum("__rows").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
         )
     )
-    return join_to_groups(df, ranks, [column], "__n", **sizes)
+    value = sort_columns([(column, "desc" if desc else "asc")])
+    inside = F.rank().over(Window.partitionBy("__chunk", "__split").orderBy(*value)) - 1
+    ranked = cut.join(F.broadcast(shifts), "__chunk").withColumn(
+        out, _percent(inside + F.col("__shift"), F.col("__total"), digits)
+    )
+    return ranked.select(*df.columns, out)

@@ -65,9 +65,9 @@ def test_chunk_numbers_rise_with_the_value(spark):
 
 
 @pytest.mark.parametrize("desc", [True, False])
-@pytest.mark.parametrize("sizes", [{}, {"small": 0}, {"small": 0, "hot_share": 3}])
-def test_percent_rank_global_matches_the_window(skewed, desc, sizes):
-    got = ranking.percent_rank_global(skewed, "s", desc=desc, out="p", **sizes)
+@pytest.mark.parametrize("parts", [1, 2, 9, 200])
+def test_percent_rank_global_matches_the_window(skewed, desc, parts):
+    got = ranking.percent_rank_global(skewed.repartition(5), "s", desc=desc, out="p", parts=parts)
     order = F.col("s").desc_nulls_last() if desc else F.col("s").asc_nulls_last()
     want = skewed.withColumn("p", F.percent_rank().over(W.orderBy(order)))
     same_rows(got, want)
