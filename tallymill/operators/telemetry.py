@@ -168,10 +168,11 @@ def latency_summary(
 def event_order(ts: str = "ts", seq: str = "seq") -> Column:
     """(ts, seq) as one number, so that aggregates ordered by it can hash instead of sort.
 
-    Microseconds take the upper 19 digits, the sequence number the lower 19.
+    Microseconds take the upper 19 digits, the sequence number (0 if missing) the lower 19.
     """
     shift = F.lit("1" + "0" * 19).cast("decimal(20,0)")
-    return epoch_micros(ts).cast("decimal(19,0)") * shift + F.col(seq).cast("decimal(19,0)")
+    number = F.coalesce(F.col(seq), F.lit(0)).cast("decimal(19,0)")
+    return epoch_micros(ts).cast("decimal(19,0)") * shift + number
 
 
 def _latest_of(metric: str, position: str) -> Column:

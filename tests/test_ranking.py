@@ -117,9 +117,9 @@ def test_rank_columns(skewed):
     assert [r.b for r in ends] == [1.0]
 
 
-@pytest.mark.parametrize("small", [0, 100])
-def test_join_to_groups_finds_every_row_once(spark, skewed, small):
+@pytest.mark.parametrize("limits", [{}, {"small": 0}, {"small_bytes": 0}])
+def test_join_to_groups_finds_every_row_once(spark, skewed, limits):
     groups = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-    got = join_to_groups(skewed, groups, ["k"], "n", small=small, hot_share=2)
+    got = join_to_groups(skewed, groups, ["k"], "n", hot_share=2, **limits)
     last = W.partitionBy("k")
     same_rows(got, skewed.withColumn("last", F.max("id").over(last)))
