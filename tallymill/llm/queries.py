@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import simhash
+from tallymill.llm import quality, simhash
 from tallymill.llm.common import read
 
 
@@ -16,8 +16,21 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    labels = read(spark, folder, "labels").select("doc_id", "quality")
+    fold = quality.crc_fold(F.col("doc_id"))
+    scored = quality.score(docs, quality.train(docs, labels.where(fold != 0)))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
