@@ -39,6 +39,8 @@ FEATURES = 1 << 16
 FACTORS = 8
 PER_CLASS = 3000
 EPOCHS = 6
+#: A small sample is passed over more often, up to this many steps.
+STEPS = 300
 BATCH = 128
 SEED = 20
 #: Words whose bucket a task remembers.
@@ -137,8 +139,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float | None = No
     weight = np.where(labels == 1, share / ones, (1 - share) / (len(rows) - ones)) * len(rows)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", model.weights), ("v", model.factors))}
     step = 0
-    for epoch in range(EPOCHS):
-        rate = 0.03 / (1 + epoch)
+    epochs = max(EPOCHS, STEPS * BATCH // len(rows))
+    for epoch in range(epochs):
+        rate = 0.03 / (1 + EPOCHS * epoch / epochs)
         order = rng.permutation(len(rows))
         for begin in range(0, len(order), BATCH):
             chosen = order[begin : begin + BATCH]
