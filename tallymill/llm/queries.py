@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import quality, simhash
+from tallymill.llm import pii, quality, simhash
 from tallymill.llm.common import read
 
 
@@ -29,8 +29,15 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = pii.find(docs, pii.train(docs))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
