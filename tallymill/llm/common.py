@@ -8,11 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.session import ship_package
+
 #: Rows that a Python task holds as Python objects at a time.
 SLICE_ROWS = 512
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the folder; the workers get this package, if they lack it."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
