@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import pii, quality, simhash
+from tallymill.llm import mixing, pii, quality, simhash
+from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 
 
@@ -36,9 +37,13 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": oracles.OP8}
