@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import mixing, pii, quality, simhash
+from tallymill.llm import mixing, packing, pii, quality, simhash
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
+from tallymill.llm.tokens import vocabulary
+
+WORDS = "word_bpe_49k.json"
 
 
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,12 +40,19 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read(spark, folder, "documents"), vocabulary(WORDS))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length"
+    )
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op8_mixing)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op7_packing, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
