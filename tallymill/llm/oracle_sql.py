@@ -46,3 +46,72 @@ SELECT conv_id,
     )::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+OP9 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), windows AS (
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 7], ' ')) AS times
+    FROM docs, generate_series(1, len(w) - 7) AS g(i)
+), repeats AS (
+    SELECT rid, count(DISTINCT i + j) AS n_repeat_words
+    FROM windows, generate_series(0, 7) AS h(j) WHERE times > 1 GROUP BY rid
+), lines AS (
+    SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), counted AS (
+    SELECT rid, doc_id, lang, source, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM docs LEFT JOIN lines USING (rid) LEFT JOIN repeats USING (rid)
+), each_measure AS (
+    SELECT rid, lang, source, 'symbols' AS measure, n_symbols / n_words AS x FROM counted WHERE n_words > 0
+    UNION ALL SELECT rid, lang, source, 'dup', n_dup_lines / n_lines FROM counted WHERE n_words > 0
+    UNION ALL SELECT rid, lang, source, 'repeat', n_repeat_words / n_words FROM counted WHERE n_words > 0
+    UNION ALL SELECT rid, lang, source, 'word', word_chars / n_words FROM counted WHERE n_words > 0
+), bucketed AS (
+    SELECT *, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.01::DOUBLE / 0.99::DOUBLE)) ELSE -2147483648 END AS bucket
+    FROM each_measure
+), levels AS (
+    SELECT 0 AS level, lang, source, lang AS l, source AS s, measure, bucket FROM bucketed
+    UNION ALL SELECT 1, lang, source, lang, NULL, measure, bucket FROM bucketed
+    UNION ALL SELECT 2, lang, source, NULL, NULL, measure, bucket FROM bucketed
+), ranked AS (
+    SELECT level, l, s, measure, bucket, count(*) OVER (PARTITION BY level, l, s, measure) AS total,
+        count(*) OVER (PARTITION BY level, l, s, measure ORDER BY bucket) AS upto
+    FROM levels
+), quantiles AS (
+    SELECT level, l, s, measure, max(total) AS total,
+        min(bucket) FILTER (WHERE upto * 1000 >= total * 250) AS b25,
+        min(bucket) FILTER (WHERE upto * 1000 >= total * 500) AS b50,
+        min(bucket) FILTER (WHERE upto * 1000 >= total * 750) AS b75
+    FROM ranked GROUP BY level, l, s, measure
+), valued AS (
+    SELECT level, l, s, measure, total,
+        CASE WHEN b25 > -2147483648 THEN exp((b25 - 0.5) * ln(1.01::DOUBLE / 0.99::DOUBLE)) ELSE 0 END AS q25,
+        CASE WHEN b50 > -2147483648 THEN exp((b50 - 0.5) * ln(1.01::DOUBLE / 0.99::DOUBLE)) ELSE 0 END AS q50,
+        CASE WHEN b75 > -2147483648 THEN exp((b75 - 0.5) * ln(1.01::DOUBLE / 0.99::DOUBLE)) ELSE 0 END AS q75
+    FROM quantiles
+), checked AS (
+    SELECT b.rid,
+        bool_and(b.x <= v.q50 + 4 * (v.q75 - v.q50)
+                + CASE b.measure WHEN 'symbols' THEN 0.2 WHEN 'dup' THEN 0.4 WHEN 'repeat' THEN 0.25 ELSE 1.0 END
+            AND (b.measure <> 'word' OR b.x >= v.q50 - 4 * (v.q50 - v.q25) - 1.0)) AS good
+    FROM bucketed b
+    JOIN valued own ON own.level = 0 AND own.l IS NOT DISTINCT FROM b.lang AND own.s IS NOT DISTINCT FROM b.source AND own.measure = b.measure
+    JOIN valued language ON language.level = 1 AND language.l IS NOT DISTINCT FROM b.lang AND language.measure = b.measure
+    JOIN valued v ON v.measure = b.measure AND (
+        CASE WHEN own.total >= 100 THEN v.level = 0 AND v.l IS NOT DISTINCT FROM b.lang AND v.s IS NOT DISTINCT FROM b.source
+             WHEN language.total >= 100 THEN v.level = 1 AND v.l IS NOT DISTINCT FROM b.lang
+             ELSE v.level = 2 END)
+    GROUP BY b.rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(good, false) AS kept
+FROM counted LEFT JOIN checked USING (rid)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, mixing, packing, pii, quality, simhash
+from tallymill.llm import chat, mixing, packing, pii, quality, rules, simhash
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
@@ -51,6 +51,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(read(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -60,8 +66,8 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": oracles.OP8, "op10_chat_formatting": oracles.OP10}
+    return {"op8_mixing": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_chat_formatting": oracles.OP10}
