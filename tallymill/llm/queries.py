@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, mixing, packing, pii, quality, rules, simhash
+from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
@@ -20,6 +20,10 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.with_neighbours(read(spark, folder, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     labels = read(spark, folder, "labels").select("doc_id", "quality")
@@ -66,7 +70,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
