@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash
+from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash, unigram
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
 
-WORDS = "word_bpe_49k.json"
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.count_tokens(read(spark, folder, "documents"), vocabulary(PIECES))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +74,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
