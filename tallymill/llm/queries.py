@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash, unigram
+from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash, tokenfile, unigram
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
+from tallymill.session import new_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -24,6 +25,12 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_path(spark, "token-files")
+    tokenfile.write(read(spark, folder, "documents"), out, vocabulary(WORDS))
+    return tokenfile.digests(spark, out)
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.with_neighbours(read(spark, folder, "documents"))
 
@@ -74,7 +81,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_token_files, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
