@@ -85,6 +85,12 @@ def _byte_mask(positions: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def _free_bits(mask: int) -> list[int]:
+    """The single bits, as signed integers, that a mask leaves free."""
+    bits = [1 << b if b < 63 else -(1 << 63) for b in range(64)]
+    return [bit for bit in bits if not bit & mask]
+
+
 CHOICES = [_byte_mask(p) for p in combinations(range(8), MATCHES)]
 
 
@@ -129,15 +135,7 @@ def links(distinct: DataFrame) -> DataFrame:
     near = lists.where(F.size("fps") <= PAIRWISE).select(F.explode(pairs(F.col("fps"))).alias("x")).select("x.a", "x.b")
 
     # one-bit flips inside the two free bytes, and the value itself
-    flips = F.array(
-        *[
-            F.filter(
-                F.transform(F.array(F.lit(0), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)]), lambda bit: bit),
-                lambda bit, m=m: bit.bitwiseAND(F.lit(m)) == 0,
-            )
-            for m in CHOICES
-        ]
-    )
+    flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(bit) for bit in _free_bits(m)]) for m in CHOICES])
     members = (
         lists.where(F.size("fps") > PAIRWISE)
         .select("c", F.explode("fps").alias("fp"))
@@ -198,18 +196,18 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = write_once(fingerprints(df, id_col, text_col, shingle), "simhash")
     found = write_once(_assign(rows), "simhash-assigned")
     key = F.col(f"`{id_col}`")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = df.join(kept, key == kept.doc_id, "left_semi")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
+    named = df.join(kept, key == F.col("_tm_id"), "left_semi")
     order = [F.col(f"`{c}`") for c, kind in df.dtypes if c in (id_col, text_col) or kind in ("string", "bigint", "int")]
     named = named.withColumn("_tm_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_tm_n = 1").drop("_tm_n")
     # rows without an id stand for components in which no row has one
-    lone = found.where("component_id is null").select("fp", "label").distinct()
+    lone = found.where("component_id is null").select(F.col("fp").alias("_tm_of"), F.col("label").alias("_tm_label")).distinct()
     unnamed = df.where(key.isNull())
     if unnamed.isEmpty():
         return named
     with_fp = unnamed.withColumn("_tm_fp", _fingerprint_udf(shingle)(F.col(f"`{text_col}`").cast("string")))
-    with_fp = with_fp.join(lone, with_fp["_tm_fp"] == lone.fp).drop("fp")
-    first = Window.partitionBy("label").orderBy(*order)
+    with_fp = with_fp.join(lone, F.col("_tm_fp") == F.col("_tm_of"))
+    first = Window.partitionBy("_tm_label").orderBy(*order)
     with_fp = with_fp.withColumn("_tm_n", F.row_number().over(first)).where("_tm_n = 1")
     return named.unionByName(with_fp.select(*[f"`{c}`" for c in df.columns]))
 
