@@ -2,7 +2,9 @@
 
 A tokenizer that drops white space and never joins what it separates gives a text the ids of its
 words, one after another. For such a file each distinct word is encoded once per worker process and
-remembered (a bounded number of words); others encode text by text. Both give the library's ids.
+remembered (a bounded number of words); of plain words, letters and the signs behind them go to the
+library's model directly, as its splitter would hand them on. Other files encode text by text. All
+ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ import os
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import json  # noqa: E402
+import re  # noqa: E402
+from array import array  # noqa: E402
 
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words remembered by a worker process.
-REMEMBERED = 500_000
+#: Words remembered by a worker process, and as many of their parts.
+REMEMBERED = 700_000
 #: Words encoded in one call.
 TOGETHER = 1000
 
@@ -38,11 +42,28 @@ _SPLIT = {
 }
 
 
+#: Lower-case Latin letters, then signs: what the splitter makes one part each of, and what
+#: normalising leaves as it is. (An apostrophe may begin a part of its own.)
+_SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!#$%&()*+,\-./:;=?@\[\]^_{|}~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def _by_word(spec: dict) -> bool:
     normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     return (
         tuple(normalizer.get("normalizers", ())) == _NORMALIZERS
         and splitter.get("pretokenizers", [None])[0] == _SPLIT
+        and splitter["pretokenizers"][1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        and not spec.get("post_processor")
         and not any(set(t["content"]) & set(" \t\n\r\v\f") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
     )
 
@@ -57,6 +78,8 @@ class Encoder:
         self.by_word = _by_word(spec)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
         between = self.ids(_BETWEEN.decode())
         self.between = between[0] if len(between) == 1 else None
 
@@ -84,13 +107,21 @@ class Encoder:
     def _learn(self, words: list[list[bytes]]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        fresh = list(set().union(*words).difference(known))
+        known, simple = self.known, _SIMPLE.fullmatch
+        fresh = []
+        for word in set().union(*words).difference(known):
+            found = simple(word.decode().lower())
+            if found:
+                letters, signs = found.groups()
+                known[word] = self._part(letters) + self._part(signs)
+            else:
+                fresh.append(word)
         alone = self.between is None
         together = [] if alone else [w for w in fresh if _BETWEEN not in w and not any(a in w for a in self.added)]
         for at in range(0, len(together), TOGETHER):
             part = together[at : at + TOGETHER]
-            ids = self.ids((b" " + _BETWEEN + b" ").join(part).decode())
+            joined = (b" " + _BETWEEN + b" ").join(part).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.between)
             if len(cuts) != len(part) - 1:
                 continue
@@ -103,6 +134,17 @@ class Encoder:
                 known[word] = self.ids(word.decode()).tobytes()
 
 
+    def _part(self, part: str) -> bytes:
+        """The ids of what the library's splitter would hand to its model."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts = {"": b""}
+            letters = part if part.isascii() else "".join([_BYTE_LETTERS[b] for b in part.encode()])
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
+
+
 _encoders: dict[str, Encoder] = {}
 
 
