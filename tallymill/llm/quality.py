@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
 from tallymill.llm.common import SLICE_ROWS
@@ -175,12 +176,12 @@ def crc_fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def _feature_rows(df: DataFrame, metadata: Sequence[str]) -> DataFrame:
+def _feature_rows(df: DataFrame, n_metadata: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                extra = list(zip(*[part.column(2 + i).to_pylist() for i in range(len(metadata))], strict=True)) or [()] * part.num_rows
+                extra = list(zip(*[part.column(2 + i).to_pylist() for i in range(n_metadata)], strict=True)) or [()] * part.num_rows
                 made = [features(t, m) for t, m in zip(part.column(1).to_pylist(), extra, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())],
@@ -211,11 +212,14 @@ def train(
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(*by_hash).limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("l_id"))
+    extra = [F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(metadata)]
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *extra)
+    rows = rows.join(F.broadcast(chosen), F.col("own_id") == F.col("l_id"))
     # one row of each id, or repeated ids would break the bound on the sample
-    first = Window.partitionBy("l_id").orderBy(F.xxhash64(text_col), *metadata)
-    rows = rows.withColumn("l_n", F.row_number().over(first)).where("l_n = 1").select("label", text_col, *metadata)
-    rows = _feature_rows(rows, metadata)
+    names = [f"m{i}" for i in range(len(metadata))]
+    first = Window.partitionBy("l_id").orderBy(F.xxhash64("text"), *names)
+    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("label", "text", *names)
+    rows = _feature_rows(rows, len(names))
     found = [(r["label"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["value"], np.float32)) for r in rows.collect()]
     found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     total = sum(count.values())
@@ -224,7 +228,8 @@ def train(
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = ()) -> DataFrame:
     """doc_id and score (0 to 1), one row per row of ``df``."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *metadata)
+    extra = [F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(metadata)]
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *extra)
     kind = rows.schema["doc_id"].dataType.simpleString()
     run = _scorer(model, len(metadata), 1, "score")
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
@@ -234,7 +239,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text", metadata: Se
     """``df`` with a last column _tm_score."""
     names = df.columns
     rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("_tm_text"), *[F.col(f"`{m}`").alias(f"_tm_m{i}") for i, m in enumerate(metadata)])
-    schema = df.schema.add("_tm_score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("_tm_score", T.DoubleType())])
     return rows.mapInArrow(_scorer(model, len(metadata), len(names), "_tm_score"), schema)
 
 
