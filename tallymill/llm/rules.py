@@ -112,10 +112,10 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
 
 def measures(counts: DataFrame) -> dict[str, Column]:
     return {
-        "symbols_per_word": F.col("n_symbols") / F.col("n_words"),
-        "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"),
-        "repeat_share": F.col("n_repeat_words") / F.col("n_words"),
-        "mean_word": F.col("word_chars") / F.col("n_words"),
+        "symbols_per_word": F.try_divide("n_symbols", "n_words"),
+        "dup_line_share": F.try_divide("n_dup_lines", "n_lines"),
+        "repeat_share": F.try_divide("n_repeat_words", "n_words"),
+        "mean_word": F.try_divide("word_chars", "n_words"),
     }
 
 
