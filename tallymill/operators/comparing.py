@@ -73,14 +73,16 @@ def vs_group_avg(
     without a key have no group.
     """
     avg_name, size = f"{key_name}_avg_score", "__n"
+    in_groups = key.isNotNull() if groups_where is None else key.isNotNull() & groups_where
     averages = group_stats(
         df,
         {key_name: key},
         {avg_name: ("avg", score, digits), size: ("count",)},
-        where=key.isNotNull() if groups_where is None else key.isNotNull() & groups_where,
+        where=in_groups,
         min_rows=min_rows,
     )
-    rows = df.withColumn(key_name, key)
+    # rows of no group, such as those of a frequent placeholder, must not reach a shuffle
+    rows = df.filter(in_groups).withColumn(key_name, key)
     if where is not None:
         rows = rows.filter(where)
     gap = F.col(score) - F.col(avg_name)

@@ -6,6 +6,8 @@ history and run on batch tables (or inside ``foreachBatch``).
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.functions.columns import (
+    as_column,
     epoch_micros,
     round_to,
     seconds_between,
@@ -21,7 +24,7 @@ from tallymill.functions.columns import (
 )
 from tallymill.functions.constants import TOPICS, UNKNOWN_DEVICE
 from tallymill.operators.chunking import Order
-from tallymill.operators.cleaning import dedupe_key
+from tallymill.operators.cleaning import dedupe_key, total_order
 from tallymill.operators.ranking import row_numbers
 
 READING_SCHEMA = (
@@ -29,6 +32,8 @@ READING_SCHEMA = (
     "unit_temp string, unit_humid string, seq bigint, status string"
 )
 METRICS = ("temperature", "humidity")
+#: Epoch seconds of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800.0, 253_402_300_799.0
 
 
 def parse_readings(
@@ -37,21 +42,27 @@ def parse_readings(
     """Decode the JSON in ``value`` into columns and ``ts``. *stream*
 
     Missing fields get their defaults: the device is ``device_id``, else ``device``, else
-    'unknown'; the timestamp is 0. ``bad`` holds the text of a payload that is not JSON or has a
-    field of the wrong type, and NULL for a good one.
+    'unknown'; the timestamp is 0. ``bad`` holds the text of a payload that is not JSON, has a
+    field of the wrong type or a time that no calendar has (``ts`` is NULL then), or carries no
+    metric, status or sequence number; it is NULL for a good one. A NULL payload is bad as ''.
     """
     options = {"columnNameOfCorruptRecord": bad}
     parsed = raw.withColumn("__p", F.from_json(value, f"{schema}, {bad} string", options))
     timestamp = F.coalesce(F.col("__p.timestamp"), F.lit(0.0))
     names = [f.name for f in parsed.schema["__p"].dataType.fields]
     rest = [n for n in names if n not in ("device_id", "device", "timestamp", bad)]
+    # NaN is above every number
+    has_time = timestamp.between(FIRST_SECOND, LAST_SECOND)
+    content = [F.col(f"__p.{n}").isNotNull() for n in rest if n in (*METRICS, "status", "seq")]
+    broken = F.col("__p").isNull() | F.col(f"__p.{bad}").isNotNull()
+    useless = ~has_time | ~functools.reduce(operator.or_, content, F.lit(not content))
     return parsed.select(
         *[c for c in raw.columns if c != value],
         F.coalesce("__p.device_id", "__p.device", F.lit(UNKNOWN_DEVICE)).alias("device_id"),
         timestamp.alias("timestamp"),
-        timestamp_from_epoch(timestamp).alias("ts"),
+        timestamp_from_epoch(F.when(has_time, timestamp)).alias("ts"),
         *[F.col(f"__p.{n}").alias(n) for n in rest],
-        F.when(F.col("__p").isNull(), F.col(value)).otherwise(F.col(f"__p.{bad}")).alias(bad),
+        F.when(broken | useless, F.coalesce(F.col(value), F.lit(""))).alias(bad),
     )
 
 
@@ -68,8 +79,16 @@ def rejected(parsed: DataFrame, bad: str = "bad_payload") -> DataFrame:
 
 
 def readings_only(parsed: DataFrame) -> DataFrame:
-    """Numbered readings; status messages and empty objects carry no sequence number. *stream*"""
-    return parsed.filter(F.col("seq").isNotNull())
+    """Messages with a sequence number or a metric; status messages have neither. *stream*"""
+    carries = [F.col(c).isNotNull() for c in ("seq", *METRICS) if c in parsed.columns]
+    return parsed.filter(functools.reduce(operator.or_, carries))
+
+
+def reading_key(df: DataFrame) -> Column:
+    """What tells readings of one device apart: the sequence number, or what the reading says if
+    it has none. *stream*"""
+    says = F.to_json(F.struct(*[c for c in ("ts", *METRICS) if c in df.columns]))
+    return F.coalesce(F.concat(F.lit("#"), F.col("seq").cast("string")), says)
 
 
 def topic_filter(df: DataFrame, topics: Sequence[str] = TOPICS) -> DataFrame:
@@ -84,10 +103,12 @@ def latency(df: DataFrame, arrival: str = "arrival_ts", sent: str = "ts", digits
 
 
 def distinct_readings(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """One message per reading (device_id, seq): publishers send a reading on several topics and
-    may send it again. The earliest arrival stays."""
+    """One message per reading (``reading_key``): publishers send a reading on several topics and
+    may send it again. The earliest arrival stays; ties are decided by all other columns."""
+    keys = ["device_id", "__reading"]
     order = order or [F.col("arrival_ts").asc_nulls_last(), F.col("topic").asc_nulls_last()]
-    return dedupe_key(df, ["device_id", "seq"], order)
+    keyed = df.withColumn("__reading", reading_key(df))
+    return dedupe_key(keyed, keys, total_order(keyed, keys, order)).drop("__reading")
 
 
 def rolling_mean(
@@ -249,12 +270,11 @@ def recent(df: DataFrame, order: Sequence[Column], n: int = 100, columns: Sequen
 
 
 def device_status(df: DataFrame, order: Column | str = "arrival_ts") -> DataFrame:
-    """Status per device of the message that is last in ``order``. *stream* (update mode)"""
-    return (
-        df.filter(F.col("status").isNotNull())
-        .groupBy("device_id")
-        .agg(F.max_by("status", order).alias("status"))
-    )
+    """Status per device of the message that is last in ``order``, of equal ones the greatest.
+    *stream* (update mode)"""
+    last = F.max(F.struct(as_column(order).alias("at"), "status"))
+    found = df.filter(F.col("status").isNotNull()).groupBy("device_id").agg(last.alias("__last"))
+    return found.select("device_id", F.col("__last.status").alias("status"))
 
 
 def windowed_readings(

@@ -182,8 +182,10 @@ STREAMED = (
     READINGS.replace("readings AS (", "all_readings AS (")
     + """,
 kinds AS (SELECT *, CASE WHEN seq % 19 = 0 THEN 'text' WHEN seq % 23 = 0 THEN 'empty'
-  WHEN topic = 'sensors/status' THEN 'status' ELSE 'reading' END AS kind FROM all_readings),
-readings AS (SELECT * FROM kinds WHERE kind = 'reading')"""
+  WHEN topic = 'sensors/status' THEN 'status' WHEN seq % 29 = 0 THEN 'millis' WHEN seq % 31 = 0 THEN 'nan'
+  WHEN seq % 11 = 0 THEN 'unnumbered' ELSE 'reading' END AS kind FROM all_readings),
+readings AS (SELECT * REPLACE (CASE WHEN kind = 'reading' THEN seq END AS seq) FROM kinds
+  WHERE kind = 'reading' OR kind = 'unnumbered' AND (temperature IS NOT NULL OR humidity IS NOT NULL))"""
 )
 
 
@@ -258,14 +260,14 @@ def _describe(column: str) -> str:
     )
 
 
-def _as_doubles(sql: str, columns: list[str]) -> str:
-    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+def _as_text(sql: str, columns: list[str]) -> str:
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
     return f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        name: _as_doubles(sql, NULLABLE_INTEGERS[name]) if name in NULLABLE_INTEGERS else sql
+        name: _as_text(sql, NULLABLE_INTEGERS[name]) if name in NULLABLE_INTEGERS else sql
         for name, sql in _oracle_sql().items()
     }
 
@@ -273,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
 def _oracle_sql() -> dict[str, str]:
     return {
         # sources and sinks
-        "csv_roundtrip": f"WITH {TITLES} SELECT * FROM titles",
+        "csv_roundtrip": f"WITH {TITLES} SELECT * REPLACE (CASE WHEN movie_id % 70 = 0 THEN '' ELSE genres END AS genres) FROM titles",
         "csv_multiline_roundtrip": "SELECT doc_id, lang, text FROM documents",
         "source_fallback": "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY 1",
         "synth_group": "WITH synth AS (SELECT o_orderkey AS id, "
@@ -389,7 +391,7 @@ FROM movies WHERE countries <> '{UNKNOWN}' GROUP BY 1 HAVING count(*) >= 5
 ORDER BY avg_rating DESC NULLS LAST, 1 LIMIT 10""",
         "year_high_rated": f"""WITH {TITLES}
 SELECT year, count(*) AS high_rated_count, round(avg(rating_score), 2) AS avg_rating
-FROM titles WHERE year >= 1950 AND rating_score >= 9.0 GROUP BY 1 ORDER BY year DESC LIMIT 30""",
+FROM titles WHERE year >= 1950 AND rating_score >= 9.0 GROUP BY 1 ORDER BY year DESC""",
         "year_high_top": f"""WITH {ANALYSIS}
 SELECT year, count(*) AS high_rated_count, round(avg(rating_score), 2) AS avg_rating
 FROM movies WHERE year >= 1950 AND rating_score >= 8.5 GROUP BY 1
@@ -465,15 +467,19 @@ ORDER BY rating_score DESC NULLS LAST, rating_count DESC NULLS LAST, movie_id LI
         # telemetry
         "sensor_parse": f"""WITH {READINGS},
 kinds AS (SELECT *, CASE WHEN seq % 19 = 0 THEN 'text' WHEN seq % 23 = 0 THEN 'empty'
-  WHEN topic = 'sensors/status' THEN 'status' ELSE 'reading' END AS kind FROM readings)
+  WHEN topic = 'sensors/status' THEN 'status' WHEN seq % 29 = 0 THEN 'millis' WHEN seq % 31 = 0 THEN 'nan'
+  WHEN seq % 11 = 0 THEN 'unnumbered' ELSE 'reading' END AS kind FROM readings)
 SELECT topic, arrival_ts,
-  CASE WHEN kind IN ('text', 'empty') THEN 'unknown' ELSE device_id END AS device_id,
-  CASE WHEN kind = 'reading' THEN ts ELSE TIMESTAMP '1970-01-01 00:00:00' END AS ts,
-  CASE WHEN kind = 'reading' THEN temperature END AS temperature,
-  CASE WHEN kind = 'reading' THEN humidity END AS humidity,
-  CASE WHEN kind = 'reading' THEN seq END AS seq,
+  CASE WHEN kind IN ('text', 'empty', 'nan') THEN 'unknown' ELSE device_id END AS device_id,
+  CASE WHEN kind IN ('reading', 'unnumbered') THEN ts
+    WHEN kind IN ('text', 'empty', 'status') THEN TIMESTAMP '1970-01-01 00:00:00' END AS ts,
+  CASE WHEN kind IN ('reading', 'unnumbered', 'millis') THEN temperature WHEN kind = 'nan' THEN 1.0 END AS temperature,
+  CASE WHEN kind IN ('reading', 'unnumbered') THEN humidity END AS humidity,
+  CASE WHEN kind IN ('reading', 'millis', 'nan') THEN seq END AS seq,
   CASE WHEN kind = 'status' THEN status END AS status,
-  CASE WHEN kind = 'text' THEN 'not json ' || CAST(seq AS VARCHAR) END AS bad_payload
+  CASE WHEN kind = 'text' THEN 'not json' WHEN kind = 'empty' THEN '{{}}' WHEN kind = 'millis' THEN 'time'
+    WHEN kind = 'nan' THEN 'time' WHEN kind = 'unnumbered' AND temperature IS NULL AND humidity IS NULL THEN 'nothing'
+    END AS reject
 FROM kinds""",
         "topic_filter": f"WITH {READINGS} SELECT device_id, seq, topic FROM readings "
         "WHERE topic IN ('sensors/temperature', 'sensors/humidity')",
@@ -502,11 +508,19 @@ SELECT count(*) AS samples, round(avg(ms), 1) AS avg_ms, round(max(ms), 1) AS ma
         "stream_unexpired": _unexpired("1 day", STREAMED),
         "stream_history": f"WITH {STREAMED} SELECT DISTINCT device_id, seq, ts, temperature, humidity "
         "FROM readings WHERE temperature IS NOT NULL",
-        "stream_windows": f"WITH {STREAMED} {WINDOWS.format('readings')}",
+        "stream_windows": f"""WITH {STREAMED},
+once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings)
+{WINDOWS.format("once")}""",
         "stream_status": f"WITH {STREAMED} SELECT device_id, (array_agg(status ORDER BY arrival_ts DESC, "
         "seq DESC))[1] AS status FROM kinds WHERE kind = 'status' GROUP BY device_id",
-        "stream_rejects": f"WITH {STREAMED} SELECT topic, arrival_ts, 'not json ' || CAST(seq AS VARCHAR) AS value "
-        "FROM kinds WHERE kind = 'text'",
+        "stream_rejects": f"""WITH {STREAMED} SELECT topic, arrival_ts,
+  CASE WHEN kind = 'text' THEN 'not json ' || CAST(seq AS VARCHAR) WHEN kind = 'empty' THEN '{{}}'
+    WHEN kind = 'nan' THEN '{{"timestamp": NaN, "temperature": 1.0, "seq": ' || CAST(seq AS VARCHAR) || '}}'
+    WHEN kind = 'millis' THEN 'millis' ELSE 'nothing' END AS value
+FROM kinds WHERE kind IN ('text', 'empty', 'nan', 'millis')
+  OR kind = 'unnumbered' AND temperature IS NULL AND humidity IS NULL""",
+        "readings_without_seq": f"""WITH {STREAMED}
+SELECT DISTINCT device_id, ts, temperature, humidity FROM readings WHERE seq IS NULL""",
         "device_status": f"WITH {READINGS} SELECT device_id, (array_agg(status ORDER BY arrival_ts DESC, "
         "seq DESC))[1] AS status FROM readings WHERE topic = 'sensors/status' GROUP BY device_id",
         "windowed_readings": f"""WITH {READINGS},

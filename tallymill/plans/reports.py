@@ -181,7 +181,7 @@ def director_stats(df: DataFrame, min_rows: int = 2) -> DataFrame:
     )
 
 
-def _high_rated(df: DataFrame, score: float, order: list[Column], top: int) -> DataFrame:
+def _high_rated(df: DataFrame, score: float, order: list[Column], top: int | None) -> DataFrame:
     return group_stats(
         df,
         {"year": F.col("year").cast("int")},
@@ -193,8 +193,8 @@ def _high_rated(df: DataFrame, score: float, order: list[Column], top: int) -> D
 
 
 def year_high_rated(df: DataFrame, score: float = 9.0) -> DataFrame:
-    """Titles of at least ``score`` per year, latest years first, at most 30 years."""
-    return _high_rated(df, score, [F.col("year").desc()], 30)
+    """Titles of at least ``score`` per year, latest years first."""
+    return _high_rated(df, score, [F.col("year").desc()], None)
 
 
 def year_high_top(df: DataFrame, score: float = 8.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,11 +33,15 @@ _own_folder: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests on one machine) a local folder is made.
+    Where the setting is missing, a temporary folder serves a local master, whose executors are
+    this machine; any other master is an error.
     """
     global _own_folder
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="tallymill-")
         path = _own_folder
     return path.rstrip("/")

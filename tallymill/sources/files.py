@@ -11,6 +11,9 @@ from pyspark.sql.types import StructType
 from tallymill.sources.tables import SCHEMAS
 
 
+_NULL = "\x00NULL\x00"
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -22,7 +25,8 @@ def read_csv(
     ``multiline`` accepts quoted newlines and doubled quotes, but Spark cannot split such a
     file: ``write_csv`` has ``rows_per_file`` to keep such files of moderate size.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    # an empty field is NULL and a quoted empty one is '', as NULL is read by a name no text has
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("nullValue", _NULL)
     if multiline:
         reader = reader.option("multiLine", True).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -33,7 +37,7 @@ def write_csv(df: DataFrame, path: str, multiline: bool = False, rows_per_file:
     """Overwrite ``path`` with CSV files that carry a header row.
 
     ``multiline`` doubles quotes, the form ``read_csv(multiline=True)`` expects. Spaces at
-    the ends of a value survive the round trip; an empty string comes back as NULL.
+    the ends of a value survive the round trip, and so does the difference of '' and NULL.
     """
     writer = (
         df.write.mode("overwrite")

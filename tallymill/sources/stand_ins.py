@@ -104,7 +104,8 @@ def _delivered(events: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """The same readings as JSON text, mixed with status messages, empty objects, payloads that
-    name the ``device`` only, and text that is not JSON."""
+    name the ``device`` only, readings without a sequence number, times in milliseconds or NaN, and
+    text that is not JSON."""
     rows = _delivered(spread(read_table(spark, folder, "events")))
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     gap = F.col("ts") - epoch
@@ -126,12 +127,18 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     short = F.struct(
         F.col("device_id").alias("device"), "seq", "temperature", "humidity", seconds.alias("timestamp")
     )
+    unnumbered = F.struct("device_id", "temperature", "humidity", seconds.alias("timestamp"))
+    in_millis = F.struct("device_id", "seq", "temperature", (seconds * 1000).alias("timestamp"))
+    no_number = F.concat(F.lit('{"timestamp": NaN, "temperature": 1.0, "seq": '), F.col("seq").cast("string"), F.lit("}"))
     status = F.struct(F.col("device_id").alias("device"), "status")
     return rows.select(
         "topic",
         F.when(_every("seq", 19), F.concat(F.lit("not json "), F.col("seq").cast("string")))
         .when(_every("seq", 23), F.lit("{}"))
         .when(F.col("topic") == TOPIC_STATUS, F.to_json(status))
+        .when(_every("seq", 29), F.to_json(in_millis))
+        .when(_every("seq", 31), no_number)
+        .when(_every("seq", 11), F.to_json(unnumbered))
         .when(_every("seq", 7), F.to_json(short))
         .otherwise(F.to_json(full))
         .alias("value"),

@@ -14,11 +14,18 @@ def readings_stream(messages: DataFrame, delay: str) -> DataFrame:
     """Decoded readings with ``event_time`` (an instant, as watermarks need one) and a watermark
     ``delay`` behind the newest."""
     parsed = telemetry.good_readings(telemetry.parse_readings(messages))
+    # good readings have times of the years 1 to 9999, so the number fits
     micros = F.round(F.col("timestamp") * 1_000_000).cast("bigint")
     timed = telemetry.readings_only(parsed).withColumn("event_time", F.timestamp_micros(micros))
     return timed.withWatermark("event_time", delay)
 
 
+def once_each(readings: DataFrame) -> DataFrame:
+    """One message per reading, however often and on however many topics it came within the watermark."""
+    keyed = readings.withColumn("__reading", telemetry.reading_key(readings))
+    return keyed.dropDuplicatesWithinWatermark(["device_id", "__reading"]).drop("__reading")
+
+
 def start_latest(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Latest values per device. State: one row per device."""
     parsed = telemetry.good_readings(telemetry.parse_readings(messages))
@@ -49,7 +56,7 @@ def start_history(
 ) -> StreamingQuery:
     """Readings with a temperature, each once, in Parquet by date. State: keys within ``delay``."""
     readings = readings_stream(messages, delay)
-    single = readings.filter(readings.temperature.isNotNull()).dropDuplicatesWithinWatermark(["device_id", "seq"])
+    single = once_each(readings.filter(readings.temperature.isNotNull()))
     return sinks.start_append(sinks.with_date(single), out, checkpoint, ["date"], once)
 
 
@@ -61,8 +68,9 @@ def start_windows(
     delay: str = "10 minutes",
     once: bool = True,
 ) -> StreamingQuery:
-    """Means per device and window; a window is updated until the watermark passes its end."""
-    windows = telemetry.windowed_readings(readings_stream(messages, delay), width, time="event_time")
+    """Means per device and window, each reading once; a window is updated until the watermark
+    passes its end. State: keys within ``delay`` and open windows."""
+    windows = telemetry.windowed_readings(once_each(readings_stream(messages, delay)), width, time="event_time")
     return sinks.start_upserts(windows, out, checkpoint, once)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tallymill.operators.cleaning import dedupe_key
-from tallymill.operators.telemetry import good_readings, parse_readings, rejected
+from tallymill.operators.telemetry import good_readings, parse_readings, readings_only, rejected
 
 BATCH = "batch_id"
 
@@ -55,7 +55,7 @@ def start_late_rows(
 ) -> StreamingQuery:
     """Store readings that come more than ``delay_seconds`` behind the newest reading of earlier
     batches, the rows that stateful queries with that watermark skip without a word."""
-    readings = good_readings(parse_readings(messages)).filter(F.col("seq").isNotNull())
+    readings = readings_only(good_readings(parse_readings(messages)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -37,17 +37,17 @@ def dirty(spark):
     nan = float("nan")
     return spark.createDataFrame(
         [
-            (1, "Harbour", "Harbour", 1990, 8.0, 1000, "drama/crime", "FR", "Abel", 10),
-            (1, "Harbour", "Harbour", 1990, 8.0, 1000, "drama/crime", "FR", "Abel", 10),
-            (2, "Lantern ", " Lantern", 2001, 7.0, 3000, "comedy", "IT/FR", "Bea/Cy", 20),
-            (2, "Lantern", "Lantern", 2001, 7.0, 4000, "comedy", "IT/FR", "Bea/Cy", 20),
-            (3, "Blank", None, None, -1.0, None, None, None, None, None),
-            (4, "Faint", "Faint", 2020, 0.5, 10, "drama", "US", "Dee", 5),
-            (5, "Loud", "Loud", 2023, 9.9, 99_999_999, "comedy", "CN", "Eli", 99),
-            (6, None, "Nameless", 2022, 7.5, 5000, None, "UK", None, 30),
-            (7, "Early", "Early", 1887, 6.0, 100, "drama", "US", "Fay", 7),
-            (8, "First", "First", 1888, 6.0, 100, "drama", "US", "Fay", 7),
+            (7, "Early", "Early", 1871, 6.4, 140, "drama", "US", "Fay", 7),
+            (8, "First", "First", 1888, 6.4, 140, "drama", "US", "Fay", 8),
+            (1, "Harbour", "Harbour", 1990, 8.2, 1000, "drama/crime", "FR", "Abel", 10),
+            (5, "Crowd", "Crowd", 2014, 9.4, 61_500_000, "comedy", "JP", "Eli", 99),
+            (2, "Lantern ", " Lantern", 2001, 7.2, 3000, "comedy", "IT/FR", "Bea/Cy", 20),
+            (3, "Void", None, None, -2.5, None, None, None, None, None),
+            (1, "Harbour", "Harbour", 1990, 8.2, 1000, "drama/crime", "FR", "Abel", 10),
             (None, "Unscored", "Unscored", 2010, nan, 200, "", "US", "Gus", 8),
+            (6, None, "Untitled", 2016, 7.8, 7200, None, "SE", None, 30),
+            (2, "Lantern", "Lantern", 2001, 7.2, 4000, "comedy", "IT/FR", "Bea/Cy", 20),
+            (4, "Dim", "Dim", 2006, 0.7, 35, "drama", "US", "Dee", 5),
         ],
         MOVIES,
     )

@@ -6,10 +6,11 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from tallymill.plans import catalogue, oracle_sql
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = oracle_sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,10 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_they_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -78,7 +78,7 @@ def test_filters(dirty):
     assert cleaning.filter_range(dirty, "rating_score", 1, 10).count() == 8
     years = cleaning.filter_min_or_sentinel(cleaning.fill_const(dirty, {"year": 0}), "year", 1888, 0)
     assert sorted(set(values(years, "year")))[:2] == [0, 1888]
-    assert 1887 not in values(years, "year")
+    assert 1871 not in values(years, "year")
 
 
 def test_filter_sigma_needs_enough_rows_to_reject_one(spark):
@@ -128,9 +128,9 @@ def test_schema_report(dirty):
 
 def test_clean_cluster(dirty):
     out = {r.title: r for r in pipelines.clean_cluster(dirty).collect()}
-    assert "Blank" not in out and "Early" not in out
-    assert set(out) == {"Harbour", "Lantern", "Faint", "Loud", UNKNOWN_TITLE, "First", "Unscored"}
-    scores = [8.0, 8.0, 7.0, 7.0, -1.0, 0.5, 9.9, 7.5, 6.0, 6.0]
+    assert "Void" not in out and "Early" not in out
+    assert set(out) == {"Harbour", "Lantern", "Dim", "Crowd", UNKNOWN_TITLE, "First", "Unscored"}
+    scores = [8.2, 8.2, 7.2, 7.2, -2.5, 0.7, 9.4, 7.8, 6.4, 6.4]
     assert out["Unscored"].rating_score == pytest.approx(sum(scores) / 10)
     assert out["Unscored"].movie_id == 0
     assert out[UNKNOWN_TITLE].genres == UNKNOWN
@@ -139,9 +139,9 @@ def test_clean_cluster(dirty):
 
 def test_clean_local(dirty):
     out = {r.title: r for r in pipelines.clean_local(dirty).collect()}
-    assert set(out) == {"Harbour", "Lantern", "Loud", UNKNOWN_TITLE, "First", "Unscored"}
+    assert set(out) == {"Harbour", "Lantern", "Crowd", UNKNOWN_TITLE, "First", "Unscored"}
     assert out["Lantern"].rating_count == 4000
-    scores = [8.0, 8.0, 7.0, 7.0, 0.5, 9.9, 7.5, 6.0, 6.0]
+    scores = [8.2, 8.2, 7.2, 7.2, 0.7, 9.4, 7.8, 6.4, 6.4]
     assert out["Unscored"].rating_score == pytest.approx(sum(scores) / 9)
     lazy = pipelines.clean_local(dirty, store=False)
     assert lazy.exceptAll(pipelines.clean_local(dirty)).count() == 0

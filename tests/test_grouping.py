@@ -98,7 +98,7 @@ def test_vs_group_avg(spark):
 def test_reports_on_dirty_rows(dirty):
     assert rows(reports.genre_stats(dirty))[0][:2] == ("drama", 5)
     assert reports.director_stats(dirty).count() == 3
-    assert rows(reports.year_high_rated(pipelines.prep_analysis(dirty))) == [(2023, 1, 9.9)]
+    assert rows(reports.year_high_rated(pipelines.prep_analysis(dirty))) == [(2014, 1, 9.4)]
 
 
 def test_word_count(spark):
@@ -117,3 +117,8 @@ def test_plain_word_count_splits_like_python(spark):
         for word in line.split():
             expected[word] = expected.get(word, 0) + 1
     assert dict(rows(text.word_count_plain(df, "t"))) == expected
+
+
+def test_years_are_not_cut(spark):
+    df = spark.createDataFrame([(1950 + i, 9.5) for i in range(70)], "year int, rating_score double")
+    assert [r.year for r in reports.year_high_rated(df).collect()] == list(range(2019, 1949, -1))

@@ -13,7 +13,7 @@ def test_clean_then_report(spark, dirty):
     results = jobs.clean(spark, [f"{root}/absent", f"{root}/raw"], f"{root}/clean")
     audit = results["audit"].orderBy("position").collect()
     assert audit[0].rows_before == 11 and audit[-1].rows_after == 8
-    assert results["missing"].first().genres == 3  # CSV turns '' into NULL
+    assert results["missing"].first().genres == 2  # '' is not NULL
     assert {r.column for r in results["summary"].collect()} == {"rating_score", "rating_count", "year", "collect_count"}
     cleaned = jobs.read_titles(spark, [f"{root}/clean"])
     assert cleaned.count() == 8 and cleaned.select("summary").distinct().collect()[0][0] == 'a "b"\nc'

@@ -26,7 +26,7 @@ def test_csv_with_newlines_quotes_spaces_and_nan(spark):
     path = new_path(spark, "csv")
     write_csv(literal_rows(spark, rows, SCHEMA), path, multiline=True)
     back = {r.id: r for r in read_csv(spark, path, SCHEMA, multiline=True).collect()}
-    assert [back[i].name for i in (1, 2, 3, 4)] == ['a "quoted"\nline', "  padded ", None, None]
+    assert [back[i].name for i in (1, 2, 3, 4)] == ['a "quoted"\nline', "  padded ", "", None]
     assert back[2].x != back[2].x and back[3].x is None
 
 

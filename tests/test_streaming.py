@@ -113,7 +113,7 @@ def test_late_rows_are_kept_aside(spark, run):
 
 def test_windows_are_the_batch_result(spark, feed, run):
     out = run(jobs.start_windows, delay="2 hours")
-    same(jobs.windows(spark, out), telemetry.windowed_readings(batch_readings(spark, feed)))
+    same(jobs.windows(spark, out), telemetry.windowed_readings(telemetry.distinct_readings(batch_readings(spark, feed))))
 
 
 def test_status_and_rejects(spark, run):

@@ -50,15 +50,23 @@ def test_parse_readings(spark):
         "not json",
         json.dumps({"device_id": "d1", "temperature": "warm"}),
         None,
+        json.dumps({**full, "timestamp": epoch(1.5) * 1000}),
+        json.dumps({**full, "timestamp": float("nan")}),
+        json.dumps({"device_id": "d4", "timestamp": epoch(3), "humidity": 1.0}),
     ]
     raw = spark.createDataFrame([("t", p) for p in payloads], "topic string, value string")
     rows = telemetry.parse_readings(raw).collect()
     assert [r.device_id for r in rows[:5]] == ["d1", "d2", "d3", "unknown", "unknown"]
     assert rows[0].ts == at(1.5) and rows[0].temperature == 20.5
     assert rows[1].temperature is None and rows[2].status == "online" and rows[3].ts == EPOCH
-    assert [r.bad_payload is not None for r in rows] == [False, False, False, False, True, True, False]
-    assert telemetry.good_readings(telemetry.parse_readings(raw)).count() == 5
-    assert [r.value for r in telemetry.rejected(telemetry.parse_readings(raw)).collect()] == payloads[4:6]
+    assert [r.bad_payload is not None for r in rows] == [False] * 3 + [True] * 6 + [False]
+    assert rows[7].ts is None and rows[8].ts is None
+    good = telemetry.good_readings(telemetry.parse_readings(raw))
+    assert good.count() == 4
+    # one has no sequence number and is a reading all the same; the status message is none
+    assert [r.device_id for r in telemetry.readings_only(good).collect()] == ["d1", "d2", "d4"]
+    rejected = [r.value for r in telemetry.rejected(telemetry.parse_readings(raw)).collect()]
+    assert rejected == [*payloads[3:6], "", *payloads[7:9]]
 
 
 def test_latency_and_topics(spark):
@@ -78,6 +86,21 @@ def test_distinct_readings_keep_the_first_arrival(spark):
     assert sorted((r.seq, r.topic) for r in telemetry.distinct_readings(df).collect()) == [(1, "a"), (2, "c")]
 
 
+def test_readings_without_a_number_are_told_apart(spark):
+    df = spark.createDataFrame(
+        [("d", None, at(1), 1.0, at(2)), ("d", None, at(1), 1.0, at(3)), ("d", None, at(1), 2.0, at(2)), ("d", None, at(4), 1.0, at(2))],
+        "device_id string, seq bigint, ts timestamp_ntz, temperature double, arrival_ts timestamp_ntz",
+    ).withColumn("topic", F.lit("t"))
+    kept = telemetry.distinct_readings(df).collect()
+    assert sorted((r.ts, r.temperature, r.arrival_ts) for r in kept) == [(at(1), 1.0, at(2)), (at(1), 2.0, at(2)), (at(4), 1.0, at(2))]
+
+
+def test_status_ties_are_settled(spark):
+    rows = [("d", "offline", at(1)), ("d", "online", at(1)), ("e", "online", at(2)), ("e", "offline", at(3))]
+    df = spark.createDataFrame(rows, "device_id string, status string, arrival_ts timestamp_ntz")
+    assert {r.device_id: r.status for r in telemetry.device_status(df).collect()} == {"d": "online", "e": "offline"}
+
+
 @pytest.mark.parametrize("n, block_rows", [(1, 1), (5, 5), (7, 64), (500, 1000)])
 def test_rolling_mean_matches_the_window(spark, n, block_rows):
     rng = random.Random(n)
