@@ -5,10 +5,16 @@ hold a large part of the data, the operators here cut it along its order into ch
 the chunks in parallel and add per-chunk offsets. Chunk borders are quantiles of the column.
 They only balance the work: results are exact for any borders, since the borders become
 constants of the plan and every task, and every retry of a task, sees the same ones.
+
+Quantiles are doubles, which cannot tell all integers and decimals apart. A border is therefore
+turned into a value of the column's own type, and rows are compared with that one: the chunk of a
+border holds this value and no other. Text is placed by the number that its first six bytes make;
+as many texts share such a number, text has no chunks of a single value.
 """
 
 from __future__ import annotations
 
+import decimal
 import math
 from collections.abc import Sequence
 
@@ -22,27 +28,50 @@ from tallymill.functions.columns import epoch_micros
 Order = Sequence[tuple[str, str]]
 
 
+#: Rows of a chunk, about, where that needs more chunks than the session has shuffle partitions.
+CHUNK_ROWS = 4_000_000
+
+
 def default_parts(df: DataFrame) -> int:
-    """As many chunks as the session has shuffle partitions, within 8 and 4096."""
+    """As many chunks as the session has shuffle partitions, and enough for ``CHUNK_ROWS`` each."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(parts, 8), 4096)
+    return max(parts, 8, math.ceil(df.count() / CHUNK_ROWS))
 
 
 def position_on_line(df: DataFrame, column: str) -> Column | None:
-    """The column as a double that keeps its order, or None where there is none (strings)."""
+    """The column as a number that keeps its order exactly, or None where there is none."""
     data_type = df.schema[column].dataType
     c = F.col(column)
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
+    if isinstance(data_type, T.FloatType):
         return c.cast("double")
+    if isinstance(data_type, (T.DecimalType, T.DoubleType)):
+        return c
+    if isinstance(data_type, (T.NumericType, T.BooleanType)):
+        return c.cast("bigint")
     if isinstance(data_type, T.TimestampNTZType):
-        return epoch_micros(c).cast("double")
+        return epoch_micros(c)
     if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(c).cast("double")
+        return F.unix_micros(c)
     if isinstance(data_type, T.DateType):
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c).cast("bigint")
+    if isinstance(data_type, T.StringType):
+        first_bytes = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(first_bytes, 16, 10).cast("bigint")
     return None
 
 
+def _own_value(border: float, kind: T.DataType) -> Column:
+    """A border as a value of the line's type, clipped to its range."""
+    if isinstance(kind, T.DecimalType):
+        most = decimal.Decimal(10) ** (kind.precision - kind.scale) - decimal.Decimal(10) ** -kind.scale
+        exact = min(max(decimal.Decimal(border), -most), most)
+        with decimal.localcontext(prec=80):
+            return F.lit(str(exact.quantize(decimal.Decimal(10) ** -kind.scale, decimal.ROUND_FLOOR))).cast(kind)
+    if isinstance(kind, T.LongType):
+        return F.lit(min(max(math.floor(border), -(1 << 63)), (1 << 63) - 1)).cast("bigint")
+    return F.lit(border)
+
+
 def borders(df: DataFrame, lines: dict[str, Column], parts: int) -> dict[str, list[float]]:
     """Approximate quantiles of each expression, at most ``parts - 1`` numbers per column.
 
@@ -51,7 +80,7 @@ def borders(df: DataFrame, lines: dict[str, Column], parts: int) -> dict[str, li
     probabilities = [i / parts for i in range(1, parts)]
     if not probabilities or not lines:
         return {name: [] for name in lines}
-    found = df.select(*[c.alias(name) for name, c in lines.items()]).approxQuantile(
+    found = df.select(*[c.cast("double").alias(name) for name, c in lines.items()]).approxQuantile(
         list(lines), probabilities, 1 / (4 * parts)
     )
     return {
@@ -66,18 +95,19 @@ def add_chunk(df: DataFrame, line: Column, cuts: Sequence[float], out: str) -> D
     Every border is a chunk of its own (an odd number), so that a value with very many copies
     is never mixed with other values; the open intervals between borders are the even numbers.
     """
-    raw, below = "__line", "__below"
-    df = df.withColumn(raw, line)
+    own, raw, below = "__own", "__line", "__below"
+    df = df.withColumn(own, line).withColumn(raw, F.col(own).cast("double"))
+    kind = df.schema[own].dataType
     if not cuts:
-        return df.withColumn(out, F.when(F.col(raw).isNotNull(), F.lit(0))).drop(raw)
+        return df.withColumn(out, F.when(F.col(raw).isNotNull(), F.lit(0))).drop(own, raw)
     splits = [-math.inf, *cuts, math.inf]
     stage = Bucketizer(splits=splits, inputCol=raw, outputCol=below, handleInvalid="keep")
     n = F.col(below).cast("int")
-    last = F.get(F.array(*[F.lit(v) for v in cuts]), n - 1)
-    chunk = F.when(F.isnan(raw), 2 * len(cuts) + 2).otherwise(
-        2 * n - F.when((n > 0) & (F.col(raw) == last), 1).otherwise(0)
-    )
-    return stage.transform(df).withColumn(out, chunk).drop(raw, below)
+    border = F.get(F.array(*[_own_value(v, kind) for v in cuts]), n - 1)
+    # as doubles the row is at or above its border; by its own type it may be the border or below
+    back = F.when(n == 0, 0).when(F.col(own) == border, 1).when(F.col(own) < border, 2).otherwise(0)
+    chunk = F.when(F.isnan(raw), 2 * len(cuts) + 2).otherwise(2 * n - back)
+    return stage.transform(df).withColumn(out, chunk).drop(own, raw, below)
 
 
 def add_order_chunks(
@@ -102,7 +132,8 @@ def add_order_chunks(
     if lines[name] is None:
         return df.withColumns({first: F.lit(0), second: F.lit(0)})
     df = add_chunk(df, lines[name], cuts[name], first)
-    single = F.col(first).isNull() | (F.col(first) % 2 == 1)
+    is_text = isinstance(df.schema[name].dataType, T.StringType)
+    single = F.col(first).isNull() | (F.lit(not is_text) & (F.col(first) % 2 == 1))
     if len(used) > 1 and lines[used[1][0]] is not None:
         name2, way2 = used[1]
         df = add_chunk(df, lines[name2], cuts[name2], second)

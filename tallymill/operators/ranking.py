@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymill.operators.chunking import (
     Order,
@@ -135,12 +136,13 @@ def percent_rank_global(
     parts = parts or default_parts(df)
     line = position_on_line(df, column)
     if line is None:
-        raise ValueError(f"percent_rank_global needs a numeric or time column, not {column}")
+        raise ValueError(f"percent_rank_global can't order {column}")
+    is_text = isinstance(df.schema[column].dataType, T.StringType)
     cuts = borders(df, {column: line}, parts)[column]
     nan_chunk, null_chunk = 2 * len(cuts) + 2, 2 * len(cuts) + 3
 
     cut = add_chunk(df, line, cuts, "__c")
-    one_value = F.col("__c").isNull() | (F.col("__c") % 2 == 1) | (F.col("__c") == nan_chunk)
+    one_value = F.col("__c").isNull() | (F.lit(not is_text) & ((F.col("__c") % 2 == 1) | (F.col("__c") == nan_chunk)))
     split = F.when(one_value, F.pmod(F.spark_partition_id(), F.lit(parts))).otherwise(0)
     chunk = F.coalesce(-F.col("__c") if desc else F.col("__c"), F.lit(null_chunk))
     cut = cut.withColumns({"__split": split, "__chunk": chunk}).drop("__c")

@@ -144,6 +144,11 @@ def filled_genres(df: DataFrame) -> DataFrame:
     return reports.genre_known(filled).select("movie_id", "genres")
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Numbers from 2^53 on, where doubles skip every other integer."""
+    return df.select("movie_id", "countries", (F.lit(1 << 53) + F.col("movie_id") % 4).alias("big"))
+
+
 # Telemetry
 
 
@@ -489,6 +494,19 @@ def _queries() -> dict[str, Query]:
                 write_once(df.select("movie_id", "rating_score"), "scores"), "rating_score", digits=9
             ).select("movie_id", "percentile")
         ),
+        "percent_rank_wide": _on_titles(
+            lambda df: ranking.percent_rank_global(write_once(_wide(df), "wide"), "big", digits=9).select("movie_id", "percentile")
+        ),
+        "row_number_wide": _on_titles(
+            lambda df: ranking.row_numbers(write_once(_wide(df), "wide"), ["countries"], [("big", "asc"), ("movie_id", "asc")]).select(
+                "movie_id", "rn"
+            )
+        ),
+        "row_number_by_text": _on_titles(
+            lambda df: ranking.row_numbers(
+                write_once(df.select("movie_id", "directors"), "directors"), [], [("directors", "asc"), ("movie_id", "asc")]
+            ).select("movie_id", "rn")
+        ),
         "genre_row_number": _on_titles(lambda df: reports.genre_row_number(pipelines.prep_bench(df))),
         "top50_titles": _on_titles(lambda df: reports.top50_titles(pipelines.prep_bench(df))),
         "top100_value": _on_table(

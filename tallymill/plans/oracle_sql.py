@@ -456,6 +456,14 @@ ORDER BY rating_score DESC NULLS LAST, movie_id LIMIT 10""",
         "percent_rank_all": f"""WITH {TITLES}
 SELECT movie_id, round(percent_rank() OVER (ORDER BY rating_score DESC NULLS LAST), 9) AS percentile
 FROM titles""",
+        "percent_rank_wide": f"""WITH {TITLES}
+SELECT movie_id, round(percent_rank() OVER (ORDER BY 9007199254740992 + movie_id % 4 DESC), 9) AS percentile
+FROM titles""",
+        "row_number_wide": f"""WITH {TITLES}
+SELECT movie_id, row_number() OVER (PARTITION BY countries ORDER BY 9007199254740992 + movie_id % 4, movie_id) AS rn
+FROM titles""",
+        "row_number_by_text": f"""WITH {TITLES}
+SELECT movie_id, row_number() OVER (ORDER BY directors NULLS LAST, movie_id) AS rn FROM titles""",
         "genre_row_number": f"""WITH {TITLES_BENCH}
 SELECT title, year, rating_score, row_number() OVER (PARTITION BY {GENRE}
   ORDER BY rating_score DESC NULLS LAST, movie_id) AS rn

@@ -34,8 +34,9 @@ def test_row_numbers_match_the_window(skewed, way, parts):
     same_rows(got, want)
 
 
-def test_row_numbers_by_text_fall_back_to_one_chunk(skewed):
-    got = ranking.row_numbers(skewed, ["t"], [("k", "asc"), ("id", "desc")])
+@pytest.mark.parametrize("parts", [3, 40])
+def test_row_numbers_by_text(skewed, parts):
+    got = ranking.row_numbers(skewed, ["t"], [("k", "asc"), ("id", "desc")], parts=parts)
     order = [F.col("k").asc_nulls_last(), F.col("id").desc()]
     want = skewed.withColumn("rn", F.row_number().over(W.partitionBy("t").orderBy(*order)).cast("bigint"))
     same_rows(got, want)
@@ -76,8 +77,42 @@ def test_percent_rank_global_matches_the_window(skewed, desc, parts):
 def test_percent_rank_of_one_row_and_of_text(skewed):
     one = ranking.percent_rank_global(skewed.limit(1), "id", out="p").collect()
     assert [r.p for r in one] == [0.0]
+    texts = skewed.select("id", F.concat(F.lit("prefix"), F.col("k"), F.col("id") % 50).alias("x"))
+    for column, df in (("k", skewed), ("x", texts)):
+        for desc in (True, False):
+            got = ranking.percent_rank_global(df, column, desc=desc, out="p", parts=9)
+            order = F.col(column).desc_nulls_last() if desc else F.col(column).asc_nulls_last()
+            same_rows(got, df.withColumn("p", F.percent_rank().over(W.orderBy(order))))
     with pytest.raises(ValueError):
-        ranking.percent_rank_global(skewed, "k")
+        ranking.percent_rank_global(skewed.select(F.array("k").alias("a")), "a")
+
+
+WIDE = {
+    "bigint": "9007199254740992 + id % 4",
+    "low": "-9223372036854775807 - 1 + id % 3",
+    "high": "9223372036854775807 - id % 3",
+    "decimal": "cast(12345678901234567890.12 as decimal(38,2)) + cast(id % 5 as decimal(38,2)) / 100",
+    "float": "cast(id % 7 / 3 as float)",
+    "time": "timestamp_ntz'0001-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 5 / 1000000)",
+}
+
+
+@pytest.mark.parametrize("name", list(WIDE))
+def test_values_that_doubles_do_not_tell_apart(spark, name):
+    df = spark.range(0, 2000, 1, 7).select("id", F.expr(WIDE[name]).alias("v"))
+    for parts in (2, 8):
+        got = ranking.percent_rank_global(df, "v", desc=False, out="p", parts=parts)
+        same_rows(got, df.withColumn("p", F.percent_rank().over(W.orderBy("v"))))
+        got = ranking.row_numbers(df, [], [("v", "desc"), ("id", "asc")], parts=parts)
+        same_rows(got, df.withColumn("rn", F.row_number().over(W.orderBy(F.desc("v"), "id")).cast("bigint")))
+
+
+def test_a_hot_group_ordered_by_text_is_cut(spark):
+    from tallymill.operators.chunking import add_order_chunks
+
+    df = spark.range(3000).select(F.lit("hot").alias("k"), F.hex(F.xxhash64("id")).alias("name"), "id")
+    cut = add_order_chunks(df, [("name", "asc"), ("id", "asc")], ["c1", "c2"], parts=20)
+    assert cut.groupBy("k", "c1", "c2").count().agg(F.max("count")).first()[0] < 3000 / 8
 
 
 def test_percent_rank_top(skewed):
