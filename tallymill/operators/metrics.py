@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from tallymill.functions.columns import seconds_between
 
 
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _seconds(interval: str) -> int:
+    number, unit = interval.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
 def _increase(later: Column, earlier: Column) -> Column:
     return F.when(later < earlier, later).otherwise(later - earlier)
 
@@ -30,10 +38,15 @@ def counter_rate(
 ) -> DataFrame:
     """Rate per series and window: series columns, window_start, increase, seconds, rate.
 
+    ``series`` must name all labels: samples that differ in another one would be taken for one
+    counter.
+
     Neighbours inside one time chunk (the window itself, or the shorter ``chunk`` that must
     divide it) are compared in parallel. Each chunk is then one row with its first and last
     sample, and only those rows are ordered per series to add the pairs across chunks.
     """
+    if chunk and _seconds(width) % _seconds(chunk):
+        raise ValueError(f"{chunk} does not divide {width}")
     order = [F.col(ts), *([F.col(tie)] if tie else [])]
     slot = F.window(ts, chunk or width)
     cut = df.withColumn("__slot", slot.getField("start"))
@@ -74,9 +87,10 @@ def cpu_busy(
     width: str = "5 minutes",
     mode: str = "idle",
     tie: str | None = None,
+    chunk: str | None = None,
 ) -> DataFrame:
     """100 minus the mean idle rate in percent, per instance and window."""
-    idle = counter_rate(df.filter(F.col("mode") == mode), series, width, tie=tie)
+    idle = counter_rate(df.filter(F.col("mode") == mode), series, width, tie=tie, chunk=chunk)
     return idle.groupBy(*by, "window_start").agg((100 - F.avg("rate") * 100).alias("cpu_busy"))
 
 
@@ -105,11 +119,12 @@ def rate_sum_by(
     scale: float = 1.0,
     tie: str | None = None,
     out: str = "total_rate",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Sum of the series' rates per group and window, times ``scale``."""
     if where is not None:
         df = df.filter(where)
-    rates = counter_rate(df, series, width, tie=tie)
+    rates = counter_rate(df, series, width, tie=tie, chunk=chunk)
     return rates.groupBy(*by, "window_start").agg((F.sum("rate") * scale).alias(out))
 
 
@@ -122,12 +137,13 @@ def tx_rx(
     width: str = "5 minutes",
     where: Column | None = None,
     tie: str | None = None,
+    chunk: str | None = None,
 ) -> DataFrame:
     """Bytes per second sent and received per group and window, as two labelled series.
 
     Both metrics go through one pass, with the metric as part of the series.
     """
     both = df.filter(F.col("metric").isin(sent, received))
-    rates = rate_sum_by(both, ["metric", *series], ["metric", *by], width, where, 1.0, tie, "bytes_per_second")
+    rates = rate_sum_by(both, ["metric", *series], ["metric", *by], width, where, 1.0, tie, "bytes_per_second", chunk)
     direction = F.when(F.col("metric") == sent, "TX").otherwise("RX")
     return rates.select(direction.alias("direction"), *by, "window_start", "bytes_per_second")

@@ -305,22 +305,30 @@ def _workload() -> Column:
     return (F.col("namespace") == "default") & (F.col("container") != "")
 
 
-def counter_rate(spark: SparkSession, folder: str) -> DataFrame:
-    rates = metrics.counter_rate(stand_ins.metrics(spark, folder), ["pod"], "1 day", tie="event_id")
-    return _round(rates, {"seconds": 6, "rate": 9})
+def _metric(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    return stand_ins.metrics(spark, folder).filter(F.col("metric").isin(*names))
+
+
+def counter_rates(width: str, chunk: str | None = None) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        sent = _metric(spark, folder, "net_tx")
+        rates = metrics.counter_rate(sent, stand_ins.METRIC_LABELS, width, tie="event_id", chunk=chunk)
+        return _round(rates, {"seconds": 6, "rate": 9})
+
+    return query
 
 
 def cpu_busy(spark: SparkSession, folder: str) -> DataFrame:
     busy = metrics.cpu_busy(
-        stand_ins.metrics(spark, folder), ["instance", "pod"], ["instance"], "1 day", tie="event_id"
+        _metric(spark, folder, "cpu_seconds"), stand_ins.METRIC_LABELS, ["instance"], "1 day", tie="event_id", chunk="2 hours"
     )
     return _round(busy, {"cpu_busy": 6})
 
 
 def gauge_sum_by(spark: SparkSession, folder: str) -> DataFrame:
     memory = metrics.gauge_sum_by(
-        stand_ins.metrics(spark, folder),
-        ["instance", "pod", "container"],
+        _metric(spark, folder, "memory_bytes"),
+        stand_ins.METRIC_LABELS,
         ["pod"],
         where=_workload(),
         position=telemetry.event_order("ts", "event_id"),
@@ -331,14 +339,15 @@ def gauge_sum_by(spark: SparkSession, folder: str) -> DataFrame:
 
 def rate_sum_by(spark: SparkSession, folder: str) -> DataFrame:
     usage = metrics.rate_sum_by(
-        stand_ins.metrics(spark, folder),
-        ["metric", "pod", "container"],
+        _metric(spark, folder, "cpu_seconds"),
+        stand_ins.METRIC_LABELS,
         ["pod"],
         "1 day",
         where=_workload(),
         scale=100.0,
         tie="event_id",
         out="cpu_percent",
+        chunk="2 hours",
     )
     return _round(usage, {"cpu_percent": 6})
 
@@ -348,11 +357,12 @@ def tx_rx(spark: SparkSession, folder: str) -> DataFrame:
         stand_ins.metrics(spark, folder),
         "net_tx",
         "net_rx",
-        ["pod"],
+        stand_ins.METRIC_LABELS,
         ["pod"],
         "1 day",
         where=F.col("namespace") == "default",
         tie="event_id",
+        chunk="2 hours",
     )
     return _round(traffic, {"bytes_per_second": 9})
 
@@ -542,7 +552,8 @@ def _queries() -> dict[str, Query]:
         "stream_status": stream_status,
         "stream_rejects": stream_rejects,
         # metrics
-        "counter_rate": counter_rate,
+        "counter_rate": counter_rates("1 day", "1 hour"),
+        "counter_rate_5_minutes": counter_rates("5 minutes"),
         "cpu_busy": cpu_busy,
         "gauge_sum_by": gauge_sum_by,
         "rate_sum_by": rate_sum_by,

@@ -154,7 +154,8 @@ measured AS (
 
 METRICS = """
 samples AS (
-  SELECT CASE WHEN event_id % 2 = 0 THEN 'net_tx' ELSE 'net_rx' END AS metric,
+  SELECT CASE event_id % 4 WHEN 0 THEN 'cpu_seconds' WHEN 1 THEN 'memory_bytes' WHEN 2 THEN 'net_tx'
+      ELSE 'net_rx' END AS metric,
     'node-' || CAST(user_id % 5 AS VARCHAR) AS instance, 'pod-' || CAST(user_id AS VARCHAR) AS pod,
     CASE WHEN user_id % 4 = 0 THEN 'kube-system' ELSE 'default' END AS namespace,
     CASE WHEN event_id % 13 = 0 THEN '' ELSE 'c1' END AS container,
@@ -163,13 +164,20 @@ samples AS (
   FROM events)"""
 
 
-def _rates(series: str, where: str = "true") -> str:
+RATE_COLUMNS = (
+    " SELECT instance, pod, namespace, container, mode, window_start, increase, "
+    "round(seconds, 6) AS seconds, round(rate, 9) AS rate FROM rates"
+)
+LABELS = "metric, instance, pod, namespace, container, mode"
+
+
+def _rates(where: str, window: str = "date_trunc('day', ts)") -> str:
     return f"""{METRICS},
 pairs AS (
   SELECT *, lag(value) OVER w AS previous, lag(ts) OVER w AS previous_ts
-  FROM samples WHERE {where} WINDOW w AS (PARTITION BY {series} ORDER BY ts, event_id)),
+  FROM samples WHERE {where} WINDOW w AS (PARTITION BY {LABELS} ORDER BY ts, event_id)),
 rates AS (
-  SELECT {series}, date_trunc('day', ts) AS window_start,
+  SELECT {LABELS}, {window} AS window_start,
     sum(CASE WHEN value < previous THEN value ELSE value - previous END) AS increase,
     sum(epoch_us(ts) - epoch_us(previous_ts)) / 1000000 AS seconds,
     sum(CASE WHEN value < previous THEN value ELSE value - previous END)
@@ -536,18 +544,20 @@ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, seq
   ORDER BY arrival_ts, topic) AS rn FROM readings) WHERE rn = 1)
 {WINDOWS.format("once")}""",
         # metrics
-        "counter_rate": f"WITH {_rates('pod')} SELECT pod, window_start, increase, "
-        "round(seconds, 6) AS seconds, round(rate, 9) AS rate FROM rates",
-        "cpu_busy": f"WITH {_rates('instance, pod', "mode = 'idle'")} SELECT instance, window_start, "
+        "counter_rate": f"WITH {_rates("metric = 'net_tx'")} {RATE_COLUMNS}",
+        "counter_rate_5_minutes": "WITH "
+        + _rates("metric = 'net_tx'", "time_bucket(INTERVAL '5 minutes', ts)")
+        + RATE_COLUMNS,
+        "cpu_busy": f"WITH {_rates("metric = 'cpu_seconds' AND mode = 'idle'")} SELECT instance, window_start, "
         "round(100 - avg(rate) * 100, 6) AS cpu_busy FROM rates GROUP BY ALL",
         "gauge_sum_by": f"""WITH {METRICS},
-latest AS (SELECT * FROM samples WHERE namespace = 'default' AND container <> ''
-  QUALIFY row_number() OVER (PARTITION BY instance, pod, container ORDER BY ts DESC, event_id DESC) = 1)
+latest AS (SELECT * FROM samples WHERE metric = 'memory_bytes' AND namespace = 'default' AND container <> ''
+  QUALIFY row_number() OVER (PARTITION BY {LABELS} ORDER BY ts DESC, event_id DESC) = 1)
 SELECT pod, round(sum(value) / 1024 / 1024, 9) AS memory_mib FROM latest GROUP BY pod""",
         "rate_sum_by": "WITH "
-        + _rates("metric, pod, container", "namespace = 'default' AND container <> ''")
+        + _rates("metric = 'cpu_seconds' AND namespace = 'default' AND container <> ''")
         + " SELECT pod, window_start, round(sum(rate) * 100, 6) AS cpu_percent FROM rates GROUP BY ALL",
-        "tx_rx": f"WITH {_rates('metric, pod', "namespace = 'default'")} "
+        "tx_rx": f"WITH {_rates("metric IN ('net_tx', 'net_rx') AND namespace = 'default'")} "
         "SELECT CASE WHEN metric = 'net_tx' THEN 'TX' ELSE 'RX' END AS direction, pod, window_start, "
         "round(sum(rate), 9) AS bytes_per_second FROM rates GROUP BY ALL",
     }

@@ -13,6 +13,11 @@ from tallymill.functions.constants import TOPIC_HUMIDITY, TOPIC_STATUS, TOPIC_TE
 from tallymill.sources.files import read_table, spread
 
 
+METRIC_NAMES = ("cpu_seconds", "memory_bytes", "net_tx", "net_rx")
+#: With the metric's name, all of them together make a series.
+METRIC_LABELS = ("instance", "pod", "namespace", "container", "mode")
+
+
 def _unless(condition: Column, value: Column) -> Column:
     return F.when(~condition, value)
 
@@ -147,11 +152,11 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """One counter sample per event; counters reset often."""
+    """One sample of one of four metrics per event, with all labels; counters reset often."""
     events = read_table(spark, folder, "events")
     event_id, user = F.col("event_id"), F.col("user_id")
     return events.select(
-        F.when(_every("event_id", 2), F.lit("net_tx")).otherwise(F.lit("net_rx")).alias("metric"),
+        F.element_at(F.array(*map(F.lit, METRIC_NAMES)), (event_id % 4 + 1).cast("int")).alias("metric"),
         F.concat(F.lit("node-"), (user % 5).cast("string")).alias("instance"),
         F.concat(F.lit("pod-"), user.cast("string")).alias("pod"),
         F.when(_every("user_id", 4), F.lit("kube-system")).otherwise(F.lit("default")).alias("namespace"),

@@ -271,6 +271,12 @@ def test_counter_rate_matches_one_window_per_series(spark, chunk):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_a_chunk_must_divide_the_window(spark):
+    df = samples(spark, [("c", "p1", "x", 0, 1)])
+    with pytest.raises(ValueError):
+        metrics.counter_rate(df, ["pod"], "5 minutes", chunk="2 minutes")
+
+
 def test_dashboard_queries(spark):
     df = samples(
         spark,
