@@ -66,11 +66,12 @@ def vs_group_avg(
     groups_where: Column | None = None,
     top: int | None = 15,
     columns: Sequence[str] | None = None,
+    small: int = 100_000,
 ) -> DataFrame:
     """Deviation of each row from the rounded mean of its group.
 
     Groups under ``min_rows`` rows drop out; ``where`` filters the compared rows only. Rows
-    without a key have no group.
+    without a key have no group. Up to ``small`` groups are broadcast if their bytes allow it.
     """
     avg_name, size = f"{key_name}_avg_score", "__n"
     in_groups = key.isNotNull() if groups_where is None else key.isNotNull() & groups_where
@@ -86,7 +87,7 @@ def vs_group_avg(
     if where is not None:
         rows = rows.filter(where)
     gap = F.col(score) - F.col(avg_name)
-    compared = join_to_groups(rows, averages, [key_name], size).withColumns(
+    compared = join_to_groups(rows, averages, [key_name], size, small=small).withColumns(
         {
             "above_avg": F.round(gap, digits),
             "vs_avg": F.when(F.col(score) >= F.col(avg_name), ABOVE_AVERAGE).otherwise(BELOW_AVERAGE),

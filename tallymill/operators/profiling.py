@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,20 +44,31 @@ def summary_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: count, mean, stddev, min, max as numbers.
+    """One row per column, numbers and texts: count, mean, stddev, min and max as numbers, and for
+    texts first and last in order (NULL for numbers, as the numbers are for texts).
 
     All columns are aggregated in one pass into one row, which is then turned into rows.
     """
-    names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = list(columns or [n for n, t in types.items() if isinstance(t, (T.NumericType, T.StringType))])
+
+    def number(name: str, value: Column) -> Column:
+        return value.cast("double") if isinstance(types[name], T.NumericType) else F.lit(None).cast("double")
+
+    def text(name: str, value: Column) -> Column:
+        return value if isinstance(types[name], T.StringType) else F.lit(None).cast("string")
+
     profile = F.array(
         *[
             F.struct(
                 F.lit(n).alias("column"),
                 F.count(n).alias("count"),
-                F.avg(n).cast("double").alias("mean"),
-                F.stddev_samp(n).alias("stddev"),
-                F.min(n).cast("double").alias("min"),
-                F.max(n).cast("double").alias("max"),
+                number(n, F.avg(F.lit(None) if isinstance(types[n], T.StringType) else F.col(n))).alias("mean"),
+                number(n, F.stddev_samp(F.lit(None) if isinstance(types[n], T.StringType) else F.col(n))).alias("stddev"),
+                number(n, F.min(n)).alias("min"),
+                number(n, F.max(n)).alias("max"),
+                text(n, F.min(n)).alias("first"),
+                text(n, F.max(n)).alias("last"),
             )
             for n in names
         ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +20,14 @@ from tallymill.functions.constants import (
     UNKNOWN_TITLE,
     UNKNOWN_YEAR,
 )
-from tallymill.operators import cleaning, grouping, metrics, profiling, ranking, telemetry, text
+from tallymill.operators import cleaning, comparing, grouping, metrics, profiling, ranking, telemetry, text
 from tallymill.plans import pipelines, reports
 from tallymill.session import new_path, write_once
 from tallymill.sources import (
     add_synthetic_columns,
     read_csv,
     read_first,
+    read_lines,
     read_sensor_stream,
     read_table,
     spread,
@@ -149,6 +151,38 @@ def _wide(df: DataFrame) -> DataFrame:
     return df.select("movie_id", "countries", (F.lit(1 << 53) + F.col("movie_id") % 4).alias("big"))
 
 
+def vs_group_avg_large(df: DataFrame) -> DataFrame:
+    """The join for group tables too large to broadcast, with a placeholder on three rows in ten."""
+    marked = write_once(
+        df.select(
+            "movie_id",
+            "rating_score",
+            F.when(F.col("movie_id") % 10 < 3, F.lit(UNKNOWN)).otherwise(main_value("genres")).alias("main"),
+        ),
+        "marked",
+    )
+    key = F.col("main")
+    compared = comparing.vs_group_avg(
+        marked, "genre", key, "rating_score", [F.col("movie_id")], where=F.col("rating_score").isNotNull(), groups_where=key != UNKNOWN, top=None, small=0
+    )
+    return compared.select("movie_id", "genre", "genre_avg_score", "above_avg")
+
+
+def lines_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts written as text files, one folder per language, and read line by line."""
+    path = new_path(spark, "lines")
+    read_table(spark, folder, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    lines = read_lines(spark, path)
+    stats = {"lines": ("count",), "chars": ("sum", F.length("value").cast("bigint"))}
+    return grouping.group_stats(lines, ["lang"], stats)
+
+
+def schema_of_titles(df: DataFrame) -> DataFrame:
+    """Names and types beside the number of rows."""
+    report = profiling.schema_report(df).select("name", "type")
+    return report.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
+
+
 # Telemetry
 
 
@@ -267,7 +301,7 @@ def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
 def stream_unexpired(spark: SparkSession, folder: str) -> DataFrame:
     feed, out, checkpoint = _feed(spark, folder)
     jobs.start_slots(feed, out, checkpoint, "1 day", _KEEP_ALL).awaitTermination()
-    now = spark.read.parquet(out).agg(F.max("last_seen")).scalar()
+    now = sinks.current_rows(spark, out, ["device_id", "slot_start"]).agg(F.max("last_seen")).scalar()
     return jobs.unexpired(spark, out, now, "1 day")
 
 
@@ -298,6 +332,21 @@ def stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("topic", "arrival_ts", F.coalesce(short, F.lit("nothing")).alias("value"))
 
 
+def stream_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches, the second with every third message: what lies over a day behind the first."""
+    root = new_path(spark, "feed")
+    rows = stand_ins.messages(spark, folder)
+    files = max(spark.sparkContext.defaultParallelism, 2)
+    number = F.coalesce(F.get_json_object("value", "$.seq").cast("bigint"), F.lit(1))
+    for part, wanted in enumerate((number % 3 != 0, number % 3 == 0)):
+        writer = rows.where(wanted).repartition(files).write.mode("append")
+        writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/in")
+        time.sleep(0.05 * (1 - part))  # files are read in the order of their times
+    stream = read_sensor_stream(spark, f"{root}/in", TOPICS, files)
+    sinks.start_late_rows(stream, f"{root}/out", f"{root}/checkpoint", 86_400).awaitTermination()
+    return sinks.late_rows(spark, f"{root}/out").select("device_id", "seq", "ts", "temperature", "humidity", "arrival_ts")
+
+
 # Metrics
 
 
@@ -383,6 +432,7 @@ NULLABLE_INTEGERS = {
     "hidden_gems": ["year"],
     "global_percent_rank": ["year"],
     "sensor_parse": ["seq"],
+    "stream_late": ["seq"],
 }
 
 
@@ -406,7 +456,9 @@ def _queries() -> dict[str, Query]:
         "csv_multiline_roundtrip": csv_multiline_roundtrip,
         "source_fallback": source_fallback,
         "synth_group": synth_group,
+        "read_lines": lines_read,
         # profiles
+        "schema_report": _on_titles(schema_of_titles),
         "missing_counts": _on_messy(profiling.missing_counts),
         "missing_rates": _on_messy(
             lambda df: _round(profiling.missing_rates(df), {c: 6 for c in df.columns})
@@ -417,7 +469,7 @@ def _queries() -> dict[str, Query]:
         "describe_long": _on_table(
             "lineitem",
             lambda df: _round(
-                profiling.describe_long(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+                profiling.describe_long(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]),
                 {"mean": 4, "stddev": 4},
             ),
         ),
@@ -460,6 +512,7 @@ def _queries() -> dict[str, Query]:
         "above_avg_collect": _on_stored(lambda df: _scores(reports.above_avg_collect(df))),
         "hidden_gems": _on_titles(reports.good_but_overlooked),
         "vs_group_avg": _on_stored(lambda df: _scores(reports.vs_genre_avg(df))),
+        "vs_group_avg_large": _on_titles(vs_group_avg_large),
         # aggregates
         "genre_stats": _on_titles(reports.genre_stats),
         "genre_stats_full": _on_prepared(reports.genre_stats_full),
@@ -551,6 +604,7 @@ def _queries() -> dict[str, Query]:
         "stream_windows": stream_windows,
         "stream_status": stream_status,
         "stream_rejects": stream_rejects,
+        "stream_late": stream_late,
         # metrics
         "counter_rate": counter_rates("1 day", "1 hour"),
         "counter_rate_5_minutes": counter_rates("5 minutes"),

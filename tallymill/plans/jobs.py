@@ -18,6 +18,9 @@ TITLE_SCHEMA = (
     "summary string"
 )
 
+#: Multi-line CSV cannot be split, so its files are kept moderate.
+ROWS_PER_FILE = 500_000
+
 STEPS = {
     "cluster": pipelines.CLUSTER_STEPS,
     "local": pipelines.LOCAL_STEPS,
@@ -55,19 +58,22 @@ def read_titles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def clean(spark: SparkSession, paths: Sequence[str], out: str, steps: str = "cluster") -> dict[str, DataFrame]:
     """Write the cleaned titles to ``out``, as Parquet if it ends in ``.parquet``, else as CSV.
 
-    Returns the profile of the input, the audit and the profile of the result.
+    Returns the profile of the input, the audit and the profile of the result. The input, which
+    may be text that cannot be split, is read once; all else reads what was stored of it.
     """
-    raw = read_titles(spark, paths)
+    raw = write_once(read_titles(spark, paths), "raw")
     cleaned = pipelines.run(raw, STEPS[steps])
     if out.rstrip("/").endswith(".parquet"):
         cleaned.write.mode("overwrite").parquet(out)
+        written = spark.read.schema(cleaned.schema).parquet(out)
     else:
-        write_csv(cleaned, out, multiline=True)
+        write_csv(cleaned, out, multiline=True, rows_per_file=ROWS_PER_FILE)
+        written = read_csv(spark, out, cleaned.schema, multiline=True)
     return {
         "missing": missing_counts(raw),
         "missing_percent": missing_rates(raw),
         "audit": pipelines.clean_audit(raw, STEPS[steps]),
-        "summary": describe_long(cleaned, ["rating_score", "rating_count", "year", "collect_count"]),
+        "summary": describe_long(written, ["rating_score", "rating_count", "year", "collect_count"]),
     }
 
 

@@ -264,7 +264,15 @@ def _category(source: str, category: str, value: str, quantity: str, units: int)
 def _describe(column: str) -> str:
     return (
         f"SELECT '{column}' AS \"column\", count({column}) AS count, round(avg({column}), 4) AS mean, "
-        f"round(stddev_samp({column}), 4) AS stddev, min({column}) AS min, max({column}) AS max FROM lineitem"
+        f"round(stddev_samp({column}), 4) AS stddev, min({column}) AS min, max({column}) AS max, "
+        "CAST(NULL AS VARCHAR) AS first, CAST(NULL AS VARCHAR) AS last FROM lineitem"
+    )
+
+
+def _describe_text(column: str) -> str:
+    return (
+        f"SELECT '{column}' AS \"column\", count({column}) AS count, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev, "
+        f"CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, min({column}) AS first, max({column}) AS last FROM lineitem"
     )
 
 
@@ -297,9 +305,21 @@ def _oracle_sql() -> dict[str, str]:
         + " FROM messy",
         "summary_stats": "SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, "
         "min(value) AS min, max(value) AS max FROM events",
+        "vs_group_avg_large": f"""WITH {TITLES},
+marked AS (SELECT movie_id, rating_score, CASE WHEN movie_id % 10 < 3 THEN '{UNKNOWN}' ELSE {GENRE} END AS genre FROM titles),
+means AS (SELECT genre, round(avg(rating_score), 2) AS mean FROM marked
+  WHERE genre <> '{UNKNOWN}' GROUP BY genre HAVING count(*) >= 50)
+SELECT movie_id, genre, mean AS genre_avg_score, round(rating_score - mean, 2) AS above_avg
+FROM marked JOIN means USING (genre) WHERE rating_score IS NOT NULL""",
         "describe_long": " UNION ALL ".join(
-            _describe(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+            [*(_describe(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), _describe_text("l_returnflag")]
         ),
+        "read_lines": "SELECT lang, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM "
+        "(SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
+        "schema_report": "SELECT name, type, count AS rows FROM (VALUES ('movie_id', 'bigint'), ('title', 'string'), "
+        "('year', 'int'), ('rating_score', 'double'), ('rating_count', 'bigint'), ('genres', 'string'), "
+        "('countries', 'string'), ('directors', 'string'), ('collect_count', 'bigint')) AS v(name, type), "
+        f"(WITH {TITLES} SELECT count(*) AS count FROM titles)",
         # cleaning
         "drop_missing": f"WITH {MESSY} SELECT * FROM messy WHERE year IS NOT NULL AND rating_score IS NOT NULL",
         "fill_const": f"WITH {MESSY} SELECT * REPLACE (coalesce(title, '{UNKNOWN_TITLE}') AS title, "
@@ -535,6 +555,10 @@ once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings
     WHEN kind = 'millis' THEN 'millis' ELSE 'nothing' END AS value
 FROM kinds WHERE kind IN ('text', 'empty', 'nan', 'millis')
   OR kind = 'unnumbered' AND temperature IS NULL AND humidity IS NULL""",
+        "stream_late": f"""WITH {STREAMED},
+seen AS (SELECT max(ts) AS newest FROM readings WHERE coalesce(seq, 1) % 3 <> 0)
+SELECT device_id, seq, ts, temperature, humidity, arrival_ts FROM readings, seen
+WHERE seq % 3 = 0 AND ts <= newest - INTERVAL '1 day'""",
         "readings_without_seq": f"""WITH {STREAMED}
 SELECT DISTINCT device_id, ts, temperature, humidity FROM readings WHERE seq IS NULL""",
         "device_status": f"WITH {READINGS} SELECT device_id, (array_agg(status ORDER BY arrival_ts DESC, "

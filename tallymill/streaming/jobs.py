@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,11 +28,21 @@ def once_each(readings: DataFrame) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["device_id", "__reading"]).drop("__reading")
 
 
+def start_with_late_rows(
+    start: Callable[..., StreamingQuery], messages: DataFrame, out: str, checkpoint: str, delay_seconds: int, **options: object
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Start a job that has a watermark, and beside it the one that stores what the watermark makes
+    it skip, in ``<out>-late``."""
+    job = start(messages, out, checkpoint, delay=f"{delay_seconds} seconds", **options)
+    late = sinks.start_late_rows(messages, f"{out}-late", f"{checkpoint}-late", delay_seconds, options.get("once", True))
+    return job, late
+
+
 def start_latest(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Latest values per device. State: one row per device."""
     parsed = telemetry.good_readings(telemetry.parse_readings(messages))
     latest = telemetry.latest_by_device(telemetry.readings_only(parsed))
-    return sinks.start_upserts(latest, out, checkpoint, once)
+    return sinks.start_upserts(latest, out, checkpoint, ["device_id"], once)
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
@@ -42,7 +54,7 @@ def start_slots(
 ) -> StreamingQuery:
     """Slots for expiring values. State: one row per device and slot newer than the watermark."""
     slots = telemetry.ttl_slots(readings_stream(messages, delay), ttl, time="event_time")
-    return sinks.start_upserts(slots, out, checkpoint, once)
+    return sinks.start_upserts(slots, out, checkpoint, ["device_id", "slot_start"], once)
 
 
 def unexpired(spark: SparkSession, out: str, now: Column, ttl: str = "1 hour") -> DataFrame:
@@ -71,7 +83,7 @@ def start_windows(
     """Means per device and window, each reading once; a window is updated until the watermark
     passes its end. State: keys within ``delay`` and open windows."""
     windows = telemetry.windowed_readings(once_each(readings_stream(messages, delay)), width, time="event_time")
-    return sinks.start_upserts(windows, out, checkpoint, once)
+    return sinks.start_upserts(windows, out, checkpoint, ["device_id", "window_start"], once)
 
 
 def windows(spark: SparkSession, out: str) -> DataFrame:
@@ -81,7 +93,7 @@ def windows(spark: SparkSession, out: str) -> DataFrame:
 def start_status(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Last status per device by arrival. State: one row per device."""
     parsed = telemetry.good_readings(telemetry.parse_readings(messages))
-    return sinks.start_upserts(telemetry.device_status(parsed), out, checkpoint, once)
+    return sinks.start_upserts(telemetry.device_status(parsed), out, checkpoint, ["device_id"], once)
 
 
 def status(spark: SparkSession, out: str) -> DataFrame:

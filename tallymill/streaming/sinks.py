@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tallymill.operators.cleaning import dedupe_key
+from tallymill.operators.cleaning import dedupe_key, total_order
 from tallymill.operators.telemetry import good_readings, parse_readings, readings_only, rejected
 
-BATCH = "batch_id"
+BATCH, UPTO = "batch_id", "upto"
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
@@ -30,19 +31,64 @@ def start_append(
     return _start(writer, checkpoint, once)
 
 
-def start_upserts(df: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the groups that changed in each batch; ``current_rows`` shows the newest of each."""
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def start_upserts(
+    df: DataFrame, out: str, checkpoint: str, keys: Sequence[str], once: bool = True, compact_every: int = 20
+) -> StreamingQuery:
+    """Write the groups that changed in each batch; ``current_rows`` shows the newest of each key.
+
+    Every ``compact_every`` batches the newest row of each key goes into a snapshot, so that a
+    reader has the last snapshot and the changes after it before it. The changes that went into the
+    snapshot before the last are deleted; those of the last stay, for a batch that runs again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/changes/{BATCH}={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        newest = _newest(spark, out, keys, batch_id - 1)
+        newest.write.mode("overwrite").parquet(f"{out}/snapshots/{UPTO}={batch_id}")
+        last = batch_id - compact_every
+        for old in range(max(last - compact_every + 1, 0), last + 1):
+            _delete(spark, f"{out}/changes/{BATCH}={old}")
+        _delete(spark, f"{out}/snapshots/{UPTO}={last - compact_every}")
 
     return _start(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
 
 
+def _newest(spark: SparkSession, out: str, keys: Sequence[str], upto: int | None = None) -> DataFrame:
+    """The newest row per key, from the last snapshot (of batch ``upto`` or before) and the changes after it."""
+    changes = spark.read.parquet(f"{out}/changes")
+    snapshots = _table(spark, f"{out}/snapshots")
+    if snapshots is not None and upto is not None:
+        snapshots = snapshots.filter(F.col(UPTO) <= upto)
+    # both are partition columns: one number, and then only the folders that count
+    last = snapshots.agg(F.max(UPTO)).first()[0] if snapshots is not None else None
+    if last is not None:
+        changes = changes.filter(F.col(BATCH) > last)
+        old = snapshots.filter(F.col(UPTO) == last).drop(UPTO).withColumn(BATCH, F.lit(-1))
+        changes = old.unionByName(changes)
+    return dedupe_key(changes, keys, total_order(changes, [*keys, BATCH], [F.col(BATCH).desc()])).drop(BATCH)
+
+
 def current_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     """The newest row per key of what ``start_upserts`` wrote."""
-    changes = spark.read.parquet(out)
-    return dedupe_key(changes, keys, [F.col(BATCH).desc()]).drop(BATCH)
+    return _newest(spark, out, keys)
 
 
 def start_rejects(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -59,16 +105,18 @@ def start_late_rows(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = f"{out}/newest"
-        batch.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(
-            f"{newest}/{BATCH}={batch_id}"
-        )
-        # One row per batch, reduced to a single number inside the query.
-        seen = spark.read.parquet(newest).filter(F.col(BATCH) < batch_id)
-        limit = seen.agg(F.max("newest")).scalar() - F.lit(float(delay_seconds))
+        batch.persist()
+        # what the batches before have seen is one number in the folder of the last one
+        before = _table(spark, f"{out}/newest/{BATCH}={batch_id - 1}")
+        seen = before.first()["newest"] if before is not None else None
+        newest = batch.agg(F.greatest(F.max("timestamp"), F.lit(seen).cast("double")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{out}/newest/{BATCH}={batch_id}")
+        limit = F.lit(None if seen is None else seen - float(delay_seconds)).cast("double")
         batch.filter(F.col("timestamp") <= limit).write.mode("overwrite").parquet(
             f"{out}/rows/{BATCH}={batch_id}"
         )
+        _delete(spark, f"{out}/newest/{BATCH}={batch_id - 2}")
+        batch.unpersist()
 
     return _start(readings.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)
 

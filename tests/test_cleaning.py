@@ -117,6 +117,8 @@ def test_summary_and_describe(spark):
     described = {r.column: r for r in profiling.describe_long(df).collect()}
     assert described["b"]["count"] == 2
     assert described["b"].stddev == pytest.approx(math.sqrt(2))
+    texts = {r.column: r for r in profiling.describe_long(spark.createDataFrame([("b",), ("a",), (None,)], "t string")).collect()}
+    assert (texts["t"]["count"], texts["t"].first, texts["t"].last, texts["t"].mean) == (2, "a", "b", None)
     one = profiling.summary_stats(df.limit(1), "a").first()
     assert one.stddev is None
 

@@ -39,3 +39,22 @@ def test_words_command(spark, tmp_path, capsys):
     assert "|one |2    |" in shown and "|4          |2             |" in shown
     command.main(["words", "--plain", str(tmp_path / "t.txt")])
     assert "two," in capsys.readouterr().out
+
+
+def test_every_row_is_written(spark, tmp_path, capsys):
+    """Printing stops at some rows and says so; the folder has all of them."""
+    (tmp_path / "t.txt").write_text("\n".join(f"w{i:03}" for i in range(9)))
+    command.main(["--results", str(tmp_path / "out"), "words", str(tmp_path / "t.txt")])
+    assert spark.read.parquet(str(tmp_path / "out/totals")).first().total_words == 9
+    capsys.readouterr()
+    command.show("many", spark.range(80))
+    assert "... 30 more rows" in capsys.readouterr().out
+
+
+def test_the_raw_file_is_read_once(spark, dirty):
+    root = new_path(spark, "jobs")
+    raw = dirty.withColumn("year", F.col("year").cast("double")).withColumn("summary", F.lit("s"))
+    write_csv(raw, f"{root}/raw", multiline=True)
+    results = jobs.clean(spark, [f"{root}/raw"], f"{root}/out")
+    for df in results.values():
+        assert f"{root}/raw" not in df._jdf.queryExecution().toString()

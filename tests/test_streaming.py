@@ -111,6 +111,34 @@ def test_late_rows_are_kept_aside(spark, run):
     assert [(r.device_id, r.seq) for r in late] == [("a", 9)]
 
 
+def test_a_job_and_its_late_rows(spark, feed):
+    root = new_path(spark, "stream-test")
+    stream = read_sensor_stream(spark, feed, ["sensors/temperature", "sensors/humidity"], files_per_batch=1)
+    for query in jobs.start_with_late_rows(jobs.start_history, stream, f"{root}/out", f"{root}/checkpoint", 60):
+        query.awaitTermination()
+    assert [(r.device_id, r.seq) for r in sinks.late_rows(spark, f"{root}/out-late").collect()] == [("a", 9)]
+
+
+def test_snapshots_replace_old_changes(spark, tmp_path):
+    """Twelve batches, a snapshot every third: the result is that of all batches, the log stays short."""
+    root, folder = new_path(spark, "compaction"), tmp_path / "feed"
+    folder.mkdir()
+    import os
+
+    for i in range(12):
+        path = folder / f"{i:02}.json"
+        path.write_text("\n".join(json.dumps(message(d, i, i * 60, float(i * 10 + n))) for n, d in enumerate("abcd") if (i + n) % 3))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = read_sensor_stream(spark, str(folder), ["sensors/temperature"], files_per_batch=1)
+    parsed = telemetry.readings_only(telemetry.good_readings(telemetry.parse_readings(stream)))
+    latest = telemetry.latest_by_device(parsed)
+    sinks.start_upserts(latest, f"{root}/out", f"{root}/checkpoint", ["device_id"], compact_every=3).awaitTermination()
+    same(jobs.latest(spark, f"{root}/out"), telemetry.latest_by_device(batch_readings(spark, str(folder))))
+    kept = spark.read.parquet(f"{root}/out/changes").select(sinks.BATCH).distinct().count()
+    snapshots = spark.read.parquet(f"{root}/out/snapshots").select(sinks.UPTO).distinct().collect()
+    assert kept <= 6 and sorted(r[0] for r in snapshots) == [8, 11]
+
+
 def test_windows_are_the_batch_result(spark, feed, run):
     out = run(jobs.start_windows, delay="2 hours")
     same(jobs.windows(spark, out), telemetry.windowed_readings(telemetry.distinct_readings(batch_readings(spark, feed))))
@@ -147,5 +175,5 @@ def test_a_repeated_batch_replaces_its_rows(spark):
     out = new_path(spark, "repeat")
     for value in (1, 2):
         df = spark.createDataFrame([("d", value)], "device_id string, v int")
-        df.write.mode("overwrite").parquet(f"{out}/{sinks.BATCH}=7")
+        df.write.mode("overwrite").parquet(f"{out}/changes/{sinks.BATCH}=7")
     assert [tuple(r) for r in sinks.current_rows(spark, out, ["device_id"]).collect()] == [("d", 2)]
