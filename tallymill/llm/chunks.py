@@ -36,7 +36,7 @@ GEAR_BITS = 32
 STRICT_BITS, LOOSE_BITS = 6, 4
 SEED = 4
 #: Rows of a range of ids, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 8_000
 MOST_RANGES = 10_000
 
 _GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -127,8 +127,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, part (range number, in descending order of ids), guest: the first row of the next range once more."""
+def in_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, text, part (range number, in descending order of ids), guest: the first row of the next range once more. And how many ranges."""
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     n = ids.count()
@@ -152,15 +152,15 @@ def in_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     is_head = (F.col("part") == F.col("h_part")) & F.col("doc_id").eqNullSafe(F.col("h_id"))
     both = placed.join(F.broadcast(table), is_head, "left")
     to = F.array_compact(F.array(F.struct("part", F.lit(False).alias("guest")), F.when(F.col("h_part").isNotNull(), F.struct(F.col("h_before").alias("part"), F.lit(True).alias("guest")))))
-    return both.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.part", "to.guest")
+    return both.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.part", "to.guest"), len(cuts) + 2
 
 
 def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = in_ranges(df, id_col, text_col)
+    rows, parts = in_ranges(df, id_col, text_col)
     # the guest closes its range; of rows that tie for the head only the first is needed, so it sorts the same way
     order = [F.col("part"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ordered = rows.repartition("part").sortWithinPartitions(*order).select("doc_id", "text", "part", "guest")
+    ordered = rows.repartitionById(parts, "part").sortWithinPartitions(*order).select("doc_id", "text", "part", "guest")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
