@@ -45,7 +45,8 @@ _length = np.floor(np.log2(_values)).astype(np.int64)  # exact: the values are f
 SYMBOL_OF = 2 + 2 * (_length - 2) + ((_values >> (_length - 1)) & 1)
 BITS_OF = (_length - 1).astype(np.uint64)
 PLACE_OF = (_values & ((1 << (_length - 1)) - 1)).astype(np.uint64)
-CLASS_OF = SYMBOL_OF >> 2
+#: Of the id before: the first of the four rows that its class has.
+CLASS_OF = SYMBOL_OF >> 2 << 2
 #: Of a symbol: the first id of its class, and the number of plain bits.
 FIRST_OF, WIDTH_OF = np.zeros(_SYMBOLS, np.uint32), np.zeros(_SYMBOLS, np.uint64)
 for _s in range(2, _SYMBOLS):
@@ -57,6 +58,8 @@ del _values, _length
 # a symbol's row holds the upper ends of all symbols' intervals; where they move when s is seen
 _STEP = np.arange(1, _SYMBOLS + 1)
 _TARGET = np.array([[(((1 << _TOTAL_BITS) - _SYMBOLS) if j >= s else 0) + _STEP[j] for j in range(_SYMBOLS)] for s in range(_SYMBOLS)], np.int16)
+_ITEM = np.dtype(f"V{2 * _SYMBOLS}")
+_TARGET_ITEMS = _TARGET.view(_ITEM).reshape(-1)
 _START = (((1 << _TOTAL_BITS) - _SYMBOLS) * _STEP // _SYMBOLS + _STEP).astype(np.int16)
 
 
@@ -66,6 +69,7 @@ class _Model:
     def __init__(self, n: int):
         self.two, self.one = np.zeros(n << _SLOTS_BITS, np.uint32), np.zeros(n << _SLOTS_BITS, np.uint32)
         self.rows = np.tile(_START, (n * _ROWS, 1))
+        self.as_items = self.rows.view(_ITEM).reshape(-1)  # a row as one item is written at once
         self.slot_of = np.arange(n) << _SLOTS_BITS
         self.row_of = np.arange(n) * _ROWS
         self.flat_of = np.arange(n) * _SYMBOLS
@@ -82,12 +86,11 @@ class _Model:
         self.e_two, self.e_one = self.two.take(at_two), self.one.take(at_one)
         self.guess_two, self.guess_one = self.e_two & _ID, self.e_one & _ID
         self.sure_two, self.sure_one = self.e_two >= _SURE, self.e_one >= _SURE
-        row = last_class * 4
-        row += self.row_of[: len(row)]
+        row = last_class + self.row_of[: len(last_class)]
         row += self.sure_one
         row += self.sure_two
         row += self.sure_two
-        self.row, self.ends = row, self.rows.take(row, axis=0)
+        self.row, self.ends = row, self.as_items.take(row).view(np.int16).reshape(-1, _SYMBOLS)
 
     def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat = self.ends.reshape(-1)
@@ -100,11 +103,11 @@ class _Model:
         return lower.astype(np.uint64), upper.astype(np.uint64)
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray, same_two: np.ndarray, same_one: np.ndarray) -> None:
-        move = _TARGET.take(symbol, axis=0)
+        move = _TARGET_ITEMS.take(symbol).view(np.int16).reshape(-1, _SYMBOLS)
         move -= self.ends
         move >>= _RATE
         move += self.ends
-        self.rows[self.row] = move
+        self.as_items[self.row] = move.view(_ITEM).reshape(-1)
         confirmed = ids | _SURE
         # a guess that was right becomes sure; one that was wrong is no longer sure, or gives way
         self.two[self.at_two] = np.where(same_two, confirmed, np.where(self.sure_two, self.guess_two, ids))
@@ -222,7 +225,8 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
             r = sp >> _T
             value = np.minimum(co // r, most).astype(np.int16)
             below = (model.ends <= value[:, None]).view(np.uint64)
-            symbol = (below.sum(axis=1) * ones >> np.uint64(56)).astype(np.int64)
+            below = below[:, 0] + below[:, 1] + below[:, 2] + below[:, 3]
+            symbol = (below * ones >> np.uint64(56)).astype(np.int64)
             lower, size = model.interval(symbol)
             lower *= r
             co -= lower
