@@ -21,7 +21,7 @@ import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words remembered by a worker process, and as many of their parts.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Words encoded in one call.
 TOGETHER = 1000
 
