@@ -347,6 +347,33 @@ def stream_late(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.late_rows(spark, f"{root}/out").select("device_id", "seq", "ts", "temperature", "humidity", "arrival_ts")
 
 
+def _in_order_of_arrival(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The feed in two batches, the earlier half of the time first."""
+    root = new_path(spark, "feed")
+    files = max(spark.sparkContext.defaultParallelism, 2)
+    rows = stand_ins.messages(spark, folder)
+    first, last = rows.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    for part, wanted in enumerate((F.col("arrival_ts") < middle, F.col("arrival_ts") >= middle)):
+        writer = rows.where(wanted).repartition(files).write.mode("append")
+        writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/in")
+        time.sleep(0.05 * (1 - part))
+    return read_sensor_stream(spark, f"{root}/in", TOPICS, files), root
+
+
+def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
+    stream, root = _in_order_of_arrival(spark, folder)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    means = sinks.latencies(spark, f"{root}/out")
+    return _round(means, {"avg_latency": 12}).select("device_id", "seq", "ts", "arrival_ts", "latency", "avg_latency")
+
+
+def stream_latency_summary(spark: SparkSession, folder: str) -> DataFrame:
+    stream, root = _in_order_of_arrival(spark, folder)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return telemetry.latency_summary(sinks.last_readings(spark, f"{root}/out"), [F.col("arrival_ts").desc(), F.col("seq").desc_nulls_first()])
+
+
 # Metrics
 
 
@@ -433,6 +460,7 @@ NULLABLE_INTEGERS = {
     "global_percent_rank": ["year"],
     "sensor_parse": ["seq"],
     "stream_late": ["seq"],
+    "stream_latency": ["seq"],
 }
 
 
@@ -605,6 +633,8 @@ def _queries() -> dict[str, Query]:
         "stream_status": stream_status,
         "stream_rejects": stream_rejects,
         "stream_late": stream_late,
+        "stream_latency": stream_latency,
+        "stream_latency_summary": stream_latency_summary,
         # metrics
         "counter_rate": counter_rates("1 day", "1 hour"),
         "counter_rate_5_minutes": counter_rates("5 minutes"),

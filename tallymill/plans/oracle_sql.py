@@ -555,6 +555,15 @@ once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings
     WHEN kind = 'millis' THEN 'millis' ELSE 'nothing' END AS value
 FROM kinds WHERE kind IN ('text', 'empty', 'nan', 'millis')
   OR kind = 'unnumbered' AND temperature IS NULL AND humidity IS NULL""",
+        "stream_latency": f"""WITH {STREAMED}
+SELECT device_id, seq, ts, arrival_ts, (epoch_us(arrival_ts) - epoch_us(ts)) / 1000000 AS latency,
+  round(avg((epoch_us(arrival_ts) - epoch_us(ts)) / 1000000) OVER (ORDER BY arrival_ts, seq NULLS LAST, device_id, ts
+    ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM readings""",
+        "stream_latency_summary": f"""WITH {STREAMED},
+last AS (SELECT (epoch_us(arrival_ts) - epoch_us(ts)) / 1000 AS ms FROM readings
+  ORDER BY arrival_ts DESC, seq DESC NULLS FIRST LIMIT 500)
+SELECT count(*) AS samples, round(avg(ms), 1) AS avg_ms, round(max(ms), 1) AS max_ms, round(min(ms), 1) AS min_ms
+FROM last""",
         "stream_late": f"""WITH {STREAMED},
 seen AS (SELECT max(ts) AS newest FROM readings WHERE coalesce(seq, 1) % 3 <> 0)
 SELECT device_id, seq, ts, temperature, humidity, arrival_ts FROM readings, seen

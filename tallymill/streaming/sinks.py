@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tallymill.operators.cleaning import dedupe_key, total_order
-from tallymill.operators.telemetry import good_readings, parse_readings, readings_only, rejected
+from tallymill.operators.telemetry import good_readings, latency, parse_readings, readings_only, rejected, rolling_mean
 
 BATCH, UPTO = "batch_id", "upto"
 
@@ -121,6 +121,46 @@ def start_late_rows(
     return _start(readings.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)
 
 
+#: Order of messages as they arrive; ties are settled by what else tells them apart.
+ARRIVAL = [("arrival_ts", "asc"), ("seq", "asc"), ("device_id", "asc"), ("ts", "asc")]
+
+
+def start_latency(messages: DataFrame, out: str, checkpoint: str, n: int = 500, once: bool = True) -> StreamingQuery:
+    """Store each reading with the mean latency of it and the ``n - 1`` before it in order of arrival.
+
+    A batch is joined by the last ``n`` readings before it, which each batch leaves for the next, so
+    state is ``n`` rows. Batches must come in the order of arrival, as a message queue's do.
+    """
+    readings = readings_only(good_readings(parse_readings(messages)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = latency(batch).withColumn("fresh", F.lit(True))
+        before = _table(spark, f"{out}/last/{BATCH}={batch_id - 1}")
+        if before is not None:
+            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
+        rows.persist()
+        means = rolling_mean(rows, [], ARRIVAL, "latency", "avg_latency", n=n)
+        means.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
+        newest = rows.drop("fresh").orderBy(*[F.col(c).desc_nulls_first() for c, _ in ARRIVAL]).limit(n)
+        newest.write.mode("overwrite").parquet(f"{out}/last/{BATCH}={batch_id}")
+        _delete(spark, f"{out}/last/{BATCH}={batch_id - 2}")
+        rows.unpersist()
+
+    return _start(readings.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)
+
+
+def latencies(spark: SparkSession, out: str) -> DataFrame:
+    """What ``start_latency`` stored."""
+    return spark.read.parquet(f"{out}/rows").drop(BATCH)
+
+
+def last_readings(spark: SparkSession, out: str) -> DataFrame:
+    """The last readings of the newest batch, for ``latency_summary`` and ``recent``."""
+    last = spark.read.parquet(f"{out}/last")
+    return last.filter(F.col(BATCH) == last.agg(F.max(BATCH)).scalar()).drop(BATCH)
+
+
 def late_rows(spark: SparkSession, out: str) -> DataFrame:
     """What ``start_late_rows`` stored."""
     return spark.read.parquet(f"{out}/rows").drop(BATCH)

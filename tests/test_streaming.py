@@ -177,3 +177,25 @@ def test_a_repeated_batch_replaces_its_rows(spark):
         df = spark.createDataFrame([("d", value)], "device_id string, v int")
         df.write.mode("overwrite").parquet(f"{out}/changes/{sinks.BATCH}=7")
     assert [tuple(r) for r in sinks.current_rows(spark, out, ["device_id"]).collect()] == [("d", 2)]
+
+
+def test_rolling_latency_goes_on_across_batches(spark, tmp_path):
+    """Four batches in order of arrival, a mean over seven readings: the result of one window."""
+    import os
+
+    from pyspark.sql import Window as W
+
+    root, folder = new_path(spark, "latency"), tmp_path / "feed"
+    folder.mkdir()
+    for i in range(4):
+        path = folder / f"{i}.json"
+        path.write_text("\n".join(json.dumps(message("d", s, s, 1.0, arrival=s + s % 5 / 4)) for s in range(i * 9, i * 9 + 9)))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = read_sensor_stream(spark, str(folder), ["sensors/temperature"], files_per_batch=1)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint", n=7).awaitTermination()
+    got = sinks.latencies(spark, f"{root}/out").select("seq", F.round("avg_latency", 9).alias("m"))
+    rows = telemetry.latency(batch_readings(spark, str(folder)))
+    frame = W.orderBy("arrival_ts", "seq").rowsBetween(-6, 0)
+    same(got, rows.select("seq", F.round(F.avg("latency").over(frame), 9).alias("m")))
+    assert [r.seq for r in sinks.last_readings(spark, f"{root}/out").orderBy("arrival_ts", "seq").collect()][-1] == 35
+    assert sinks.last_readings(spark, f"{root}/out").count() == 7
