@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
+from tallymill.operators.chunking import add_chunk
+
 LEAST, USUAL, MOST = 12, 32, 255
 GEAR_BITS = 32
 STRICT_BITS, LOOSE_BITS = 6, 4
@@ -133,22 +135,26 @@ def in_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     ids = rows.select("doc_id")
     n = ids.count()
     parts = min(MOST_RANGES, n // RANGE_ROWS + 1)
-    cuts: list[int] = []
+    cuts: list[float] = []
     if parts > 1:
         shares = [(i + 1) / parts for i in range(parts - 1)]
         found = ids.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0]
-        cuts = sorted(set(found or ()))
+        cuts = sorted({float(c) for c in found or ()})
     # the ranges from the highest ids to the lowest; ids that tie stay together
-    above = F.size(F.filter(F.lit(cuts or [0]).cast("array<bigint>"), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    above = F.coalesce(above, F.lit(len(cuts)))
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above)
+
+    def with_part(df: DataFrame) -> DataFrame:
+        # a border is a chunk of its own; it goes with the ids above it
+        chunk = add_chunk(df, F.col("doc_id"), cuts, "chunk")
+        above = len(cuts) - F.floor((F.col("chunk") + 1) / 2).cast("int")
+        return chunk.withColumn("part", F.coalesce(above, F.lit(len(cuts) + 1))).drop("chunk")
+
     # one row per range, so small; descending: the range before has the higher ids
-    heads = ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect()
+    heads = with_part(ids).groupBy("part").agg(F.max("doc_id").alias("head")).collect()
     filled = sorted(r["part"] for r in heads)
     head = {r["part"]: r["head"] for r in heads}
     before = {p: filled[i - 1] for i, p in enumerate(filled)}  # of the first range: the last
     table = df.sparkSession.createDataFrame([(p, head[p], before[p]) for p in filled] or [(-1, None, -1)], "h_part int, h_id bigint, h_before int")
-    placed = rows.withColumn("part", part)
+    placed = with_part(rows)
     is_head = (F.col("part") == F.col("h_part")) & F.col("doc_id").eqNullSafe(F.col("h_id"))
     both = placed.join(F.broadcast(table), is_head, "left")
     to = F.array_compact(F.array(F.struct("part", F.lit(False).alias("guest")), F.when(F.col("h_part").isNotNull(), F.struct(F.col("h_before").alias("part"), F.lit(True).alias("guest")))))

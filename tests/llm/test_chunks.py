@@ -63,7 +63,7 @@ def test_the_ring_is_closed(spark, monkeypatch):
     """Over many small ranges: the successor of the lowest id is the highest, and no link is lost."""
     monkeypatch.setattr(chunks, "RANGE_ROWS", 7)
     rng = random.Random(11)
-    ids = rng.sample(range(-500, 5000), 200)
+    ids = [*rng.sample(range(-500, 5000), 200), *range((1 << 60), (1 << 60) + 30)]
     texts = {i: f"{i} " + "".join(rng.choices("abcdef ", k=60)) for i in ids}
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
     order = sorted(ids, reverse=True)
