@@ -18,6 +18,7 @@ read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -100,11 +101,12 @@ def write(df: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col:
     ordered.mapInArrow(run, SCHEMA).write.parquet(out)
 
 
-def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Decode all blocks: part, doc (its number in the part), doc_id, block, start (in the part), ids (little-endian unsigned 32-bit)."""
+def read_pieces(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """Decode all blocks: part, doc (its number in the part), doc_id, block, start (in the part), n,
+    crc (of its ids as little-endian unsigned 32-bit integers) and, if wanted, these ids."""
     blocks = spark.read.schema(SCHEMA).parquet(folder)
-    names = ["part", "doc", "doc_id", "block", "start", "ids"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["part", "doc", "doc_id", "block", "start", "n", "crc", *["ids"] * with_ids]
+    types = [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,19 +116,19 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
                 for row, ids in zip(rows, rangecoder.decode([r["code"] for r in rows]), strict=True):
                     raw, begin = ids.tobytes(), 0
                     for k, (doc_id, end) in enumerate(zip(row["doc_ids"], row["doc_ends"], strict=True)):
-                        made.append((row["part"], row["first_doc"] + k, doc_id, row["block"], row["first"] + begin, raw[4 * begin : 4 * end]))
+                        own = raw[4 * begin : 4 * end]
+                        place = (row["part"], row["first_doc"] + k, doc_id, row["block"], row["first"] + begin)
+                        made.append((*place, end - begin, zlib.crc32(own), *[own] * with_ids))
                         begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
 
-    return blocks.mapInArrow(run, "part int, doc bigint, doc_id bigint, block bigint, start bigint, ids binary")
+    schema = "part int, doc bigint, doc_id bigint, block bigint, start bigint, n bigint, crc bigint"
+    return blocks.mapInArrow(run, schema + ", ids binary" * with_ids)
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files."""
-    pieces = read_pieces(spark, folder).select(
-        "part", "doc", "doc_id", "block", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n"), F.crc32("ids").alias("crc")
-    )
-    docs = pieces.groupBy("part", "doc").agg(
+    docs = read_pieces(spark, folder, with_ids=False).groupBy("part", "doc").agg(
         F.first("doc_id").alias("doc_id"),
         F.min("start").alias("start"),
         F.sum("n").alias("n_tokens"),
@@ -137,6 +139,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     placed = docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "pieces")
+    whole = placed.where(F.size("pieces") == 1).select("doc_id", "start", "n_tokens", F.col("pieces")[0]["crc"].alias("ids_crc32"))
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,4 +152,5 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], names)
 
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    cut = placed.where(F.size("pieces") > 1)
+    return whole.unionByName(cut.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
