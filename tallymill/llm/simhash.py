@@ -15,10 +15,20 @@ Copies are collapsed to one fingerprint before the index, so the size of a group
 one partial aggregate. Components are found by label propagation with pointer jumping over tables
 written to the shared folder.
 
+``keep_first(similarity=...)`` asks for texts whose sets of word shingles are that similar (Jaccard),
+which a radius of a few bits does not find: two texts of 100 words that differ in one differ in about
+five bits. Candidates are texts that agree in one of ``BANDS`` groups of ``ROWS`` MinHash values; a
+pair of similarity 0.8 meets with probability 0.99995. They are compared by their whole sets of
+shingles. First each list is compared with two of its members; then, inside a list, whatever these
+comparisons left in different components is compared with each other, unless the MinHash values put
+the pair ``SLACK`` below the similarity. So a group of close copies costs time in proportion to its
+size, and no candidate is passed over because its list is long.
+
 Defined cases: a NULL or empty text has fingerprint zero and is linked like any other; rows
 repeated in the input are repeated in the output; a NULL id takes part in its component but never
 names it (``component_id`` is NULL only if no member has an id); columns other than id and text are
-not read; an empty table gives an empty result.
+not read; an empty table gives an empty result. ``keep_first`` keeps one row of each component, also
+where rows of different components share an id.
 """
 
 from __future__ import annotations
@@ -41,6 +51,12 @@ MATCHES = 8 - BITS
 PAIRWISE = 64
 SHINGLE = 3
 SEED = 42
+BANDS = 25
+ROWS = 5
+#: How far below the wanted similarity an estimate over all MinHash values may be: over five standard errors.
+SLACK = 0.2
+#: Members of a list that one row holds when all are compared with all.
+BLOCK = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -169,15 +185,141 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a shorter text is one shingle."""
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _node(words: list[bytes]) -> int:
+    """What texts of the same words share, as a signed integer."""
+    return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
+
+
+_random = np.random.default_rng(SEED)
+_FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MIX = _random.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _minhashes(hashes: np.ndarray) -> np.ndarray:
+    parts = [(hashes[at : at + 4096, None] * _FACTORS + _SHIFTS).min(axis=0) for at in range(0, len(hashes), 4096)]
+    return np.min(parts, axis=0)
+
+
+def _minhash_rows(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, fp (of the words), bands and sig (a byte of each MinHash value), one row per row of ``df``."""
+    kind = df.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bands, sigs = [], [], []
+            for part in slices(iter([batch])):
+                for words in map(_words, part["text"]):
+                    low = _minhashes(_shingles(words, shingle))
+                    nodes.append(_node(words))
+                    bands.append((low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64))
+                    sigs.append((low >> np.uint64(56) ^ low & np.uint64(255)).astype(np.uint8).tobytes())
+            flat = pa.array(np.concatenate(bands) if bands else [], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists, pa.array(sigs, pa.binary())], ["doc_id", "fp", "bands", "sig"])
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, bands array<bigint>, sig binary")
+
+
+def _shingle_sets(df: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """fp and its set of shingle hashes, for the texts that are ``wanted`` (fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [_shingles(_words(t), shingle).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["fp", "members"])
+
+    texts = df.select(_node_udf()(F.col(text_col).cast("string")).alias("fp"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    return write_once(texts.mapInArrow(run, "fp bigint, members binary"), "minhash-sets")
+
+
+def _node_udf():
+    return F.udf(lambda text: _node(_words(text)), "bigint", useArrow=True)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                few, many = sorted((len(x), len(y)))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if few >= similarity * many else 0
+                keep.append(shared >= similarity * (few + many - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of_b = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+    of_a = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
+    rows = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y")
+    return write_once(rows.mapInArrow(run, "a bigint, b bigint"), "minhash-pairs")
+
+
+def similar_links(df: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts; their components are those of all candidates that are similar enough."""
+    distinct = write_once(rows.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-distinct")
+    postings = distinct.select("fp", F.posexplode("bands").alias("c", "key"))
+    lists = postings.groupBy("c", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1")
+    members = write_once(postings.join(write_once(lists, "minhash-lists"), ["c", "key"]), "minhash-members")
+    sets = _shingle_sets(df, text_col, members.select("fp").distinct(), shingle)
+
+    ends = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("fp").alias("b")).where("a <> b")
+    near = _verified(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+
+    # lists of up to three are done: each pair has one of the two ends
+    labels = components(near).withColumnRenamed("node", "fp")
+    left = members.where("n > 3").join(labels, "fp", "left").select("c", "key", "fp", F.coalesce("label", "fp").alias("label"))
+    left = write_once(left, "minhash-left")
+    several = left.groupBy("c", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = left.join(several.select("c", "key", blocks.alias("blocks")), ["c", "key"]).join(distinct.select("fp", "sig"), "fp")
+    dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.groupBy("c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("fp", "label", "own", "sig")).alias("rows")
+    )
+    least = similarity - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                fps, labels, own = (np.array([r[k] for r in found], np.int64) for k in ("fp", "label", "own"))
+                sigs = np.frombuffer(b"".join(r["sig"] for r in found), np.uint8).reshape(len(found), -1)
+                for at in range(len(found)):
+                    # inside one block each pair once, between two only those that no other row has
+                    open_ = (labels != labels[at]) & (fps > fps[at]) & ((own != own[at]) | (i == j))
+                    others = np.flatnonzero(open_)
+                    others = others[(sigs[others] == sigs[at]).mean(axis=1) >= least]
+                    if len(others):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), fps[at])), pa.array(fps[others])], ["a", "b"])
+
+    further = dealt.select("i", "j", "rows").mapInArrow(run, "a bigint, b bigint").distinct()
+    return near.unionByName(_verified(further, sets, similarity)).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: one row per row of ``df``."""
     rows = write_once(fingerprints(df, id_col, text_col, shingle), "simhash")
     return _assign(rows)
 
 
-def _assign(rows: DataFrame) -> DataFrame:
+def _assign(rows: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     distinct = write_once(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    labels = components(links(distinct.select("fp")))
+    labels = components(links(distinct.select("fp")) if edges is None else edges)
     named = distinct.join(labels, distinct.fp == labels.node, "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
@@ -191,10 +333,23 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``df``, one of each component: that with its smallest id, then its smallest text."""
-    rows = write_once(fingerprints(df, id_col, text_col, shingle), "simhash")
-    found = write_once(_assign(rows), "simhash-assigned")
+def keep_first(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
+    """The rows of ``df``, one of each component: that with its smallest id, then its smallest text.
+
+    Components are those of fingerprints within ``BITS`` bits or, with a ``similarity``, of texts whose
+    sets of shingles are that similar.
+    """
+    if similarity is None:
+        rows = write_once(fingerprints(df, id_col, text_col, shingle), "simhash")
+        found = write_once(_assign(rows), "simhash-assigned")
+        fp_of = _fingerprint_udf(shingle)
+    else:
+        rows = write_once(_minhash_rows(df, id_col, text_col, shingle), "minhash")
+        edges = similar_links(df, rows, text_col, shingle, similarity)
+        found = write_once(_assign(rows.select("doc_id", "fp"), edges), "simhash-assigned")
+        fp_of = _node_udf()
     key = F.col(f"`{id_col}`")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
     named = df.join(kept, key == F.col("_tm_id"), "left_semi")
@@ -205,7 +360,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     unnamed = df.where(key.isNull())
     if unnamed.isEmpty():
         return named
-    with_fp = unnamed.withColumn("_tm_fp", _fingerprint_udf(shingle)(F.col(f"`{text_col}`").cast("string")))
+    with_fp = unnamed.withColumn("_tm_fp", fp_of(F.col(f"`{text_col}`").cast("string")))
     with_fp = with_fp.join(lone, F.col("_tm_fp") == F.col("_tm_of"))
     first = Window.partitionBy("_tm_label").orderBy(*order)
     with_fp = with_fp.withColumn("_tm_n", F.row_number().over(first)).where("_tm_n = 1")

@@ -88,3 +88,60 @@ def test_keep_first(docs, no_docs, spark):
     assert simhash.keep_first(no_docs).collect() == []
     alone = spark.createDataFrame([(None, "only rows without an id"), (None, "only rows without an id"), (None, "another text entirely")], "doc_id bigint, text string")
     assert sorted(r.text for r in simhash.keep_first(alone).collect()) == ["another text entirely", "only rows without an id"]
+
+
+def slow_similar(texts, least):
+    """Smallest position reachable, over all pairs of sets of five-word shingles."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def near_copies(words):
+    """Texts, copies of each with one word changed, and a group around one text that its members reach only in part."""
+    rng = random.Random(4)
+
+    def changed(text, n):
+        parts = text.split()
+        for at in rng.sample(range(len(parts)), n):
+            parts[at] = "changed" + str(rng.randrange(10**6))
+        return " ".join(parts)
+
+    texts = [" ".join(rng.choices(words, k=100)) for _ in range(60)]
+    texts += [changed(t, 1) for t in texts[:40]]
+    texts += [changed(texts[50], n % 6) for n in range(150)]
+    chain = [texts[51]]
+    for _ in range(12):
+        chain.append(changed(chain[-1], 1))
+    return [*texts, *chain, None, "", "one two", "One  two", "one three"]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_keep_first_by_similarity(spark, words, monkeypatch, block):
+    """Planted near copies against all pairs; two bits over three words find few of them."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = near_copies(words)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_first(frame, shingle=5, similarity=0.8).collect())
+    assert kept == slow_similar(texts, 0.8)
+    assert not set(kept) & set(range(60, 100))
+    assert len({r.doc_id for r in simhash.keep_first(frame).collect()} & set(range(60, 100))) > 20
+
+
+def test_stage_drops_near_copies(spark, words):
+    import corpus_pipeline
+
+    texts = near_copies(words)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == slow_similar(texts, 0.8)
