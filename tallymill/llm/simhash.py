@@ -350,21 +350,26 @@ def keep_first(
         edges = similar_links(df, rows, text_col, shingle, similarity)
         found = write_once(_assign(rows.select("doc_id", "fp"), edges), "simhash-assigned")
         fp_of = _node_udf()
-    key = F.col(f"`{id_col}`")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
-    named = df.join(kept, key == F.col("_tm_id"), "left_semi")
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    names = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_tm_id"), F.col("fp").alias("_tm_of"), F.col("label").alias("_tm_label")).distinct()
+    ids = names.where("_tm_id is not null").select("_tm_id").distinct()
     order = [F.col(f"`{c}`") for c, kind in df.dtypes if c in (id_col, text_col) or kind in ("string", "bigint", "int")]
-    named = named.withColumn("_tm_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_tm_n = 1").drop("_tm_n")
-    # rows without an id stand for components in which no row has one
-    lone = found.where("component_id is null").select(F.col("fp").alias("_tm_of"), F.col("label").alias("_tm_label")).distinct()
-    unnamed = df.where(key.isNull())
-    if unnamed.isEmpty():
+
+    def one_per(rows: DataFrame, of: Column | str) -> DataFrame:
+        numbered = rows.withColumn("_tm_n", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where("_tm_n = 1")
+        return numbered.select(*[f"`{c}`" for c in df.columns])
+
+    # an id of one fingerprint lies in one component; rows of other ids, or of none, are told apart by theirs
+    spread = found.join(ids, F.col("doc_id") == F.col("_tm_id"), "left_semi").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"))
+    spread = write_once(spread.where("x <> y").select(F.col("doc_id").alias("_tm_spread")), "simhash-spread")
+    plain = ids.join(spread, F.col("_tm_id") == F.col("_tm_spread"), "left_anti")
+    named = one_per(df.join(plain, key == F.col("_tm_id"), "left_semi"), key)
+    others = df.where(key.isNull()).unionByName(df.join(spread, key == F.col("_tm_spread"), "left_semi"))
+    if others.isEmpty():
         return named
-    with_fp = unnamed.withColumn("_tm_fp", fp_of(F.col(f"`{text_col}`").cast("string")))
-    with_fp = with_fp.join(lone, F.col("_tm_fp") == F.col("_tm_of"))
-    first = Window.partitionBy("_tm_label").orderBy(*order)
-    with_fp = with_fp.withColumn("_tm_n", F.row_number().over(first)).where("_tm_n = 1")
-    return named.unionByName(with_fp.select(*[f"`{c}`" for c in df.columns]))
+    others = others.withColumn("_tm_fp", fp_of(text))
+    others = others.join(names, key.eqNullSafe(F.col("_tm_id")) & (F.col("_tm_fp") == F.col("_tm_of")))
+    return named.unionByName(one_per(others, "_tm_label"))
 
 
 def _fingerprint_udf(shingle: int):

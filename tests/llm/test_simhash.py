@@ -145,3 +145,16 @@ def test_stage_drops_near_copies(spark, words):
     texts = near_copies(words)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == slow_similar(texts, 0.8)
+
+
+@pytest.mark.parametrize("how", [{}, {"shingle": 5, "similarity": 0.8}])
+def test_keep_first_where_texts_share_an_id(spark, how):
+    """One row of each component, whatever its id names elsewhere."""
+    a, b, c = ("first of the texts here", "quite another one it is", "a third text with no copy")
+    for rows, wanted in (
+        ([(1, a), (1, b)], [(1, a), (1, b)]),
+        ([(0, a), (1, a), (1, b)], [(0, a), (1, b)]),
+        ([(1, a), (1, b), (2, b), (2, c), (None, c), (None, a)], [(1, a), (1, b), (2, c)]),
+    ):
+        kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), **how).collect()
+        assert sorted(map(tuple, kept)) == wanted
