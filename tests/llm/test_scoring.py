@@ -178,3 +178,42 @@ def test_rules_keep_clean_documents(spark):
     rows = llm.op9_quality_rules(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("not base_failed")
     kept = {r["quality"]: r["share"] for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
     assert kept[1] > 0.99 and kept[0] < 0.2
+
+
+def forms(n):
+    """Documents with phones of six and seven groups and cards digit by digit, and the number in each."""
+    rng = np.random.default_rng(5)
+
+    def digits(k):
+        return "".join(map(str, rng.integers(0, 10, k)))
+
+    def card():
+        while not pii.luhn(found := digits(16)):
+            pass
+        return found
+
+    filler = "elle la des que oion the of an".split()
+    for i in range(n):
+        number = [
+            f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+            f"+49 (0) {digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+            "-".join(card()),
+        ][i % 3]
+        yield f"{' '.join(rng.choice(filler, 8))} {number} {' '.join(rng.choice(filler, 8))}", number
+
+
+def test_numbers_of_many_groups(spark):
+    """However many groups a number has, it is proposed whole, and added where the base rule swallowed it."""
+    beside = {
+        "+33 1 23 45 67 89": "call +33 1 23 45 67 89 190.137.223.204 du",
+        "+49 (0) 30 12 34 56 78": "call +49 (0) 30 12 34 56 78 190.137.223.204 du",
+        "-".join("4111111111111111"): "la " + "-".join("4111111111111111") + " 190.137.223.204 et",
+    }
+    planted = spark.createDataFrame([(t,) for t, _ in forms(400)], "text string")
+    model = pii.train(read(spark, "/root/testdata/sf0.1", "documents").where("doc_id < 4000").select("text").unionByName(planted))
+    for number, text in beside.items():
+        kind = "phone" if "+" in number else "card"
+        span = pii.Span(kind, text.index(number), text.index(number) + len(number))
+        assert span in pii.candidates(text) and span not in pii.base_spans(text)[0]
+        assert span in pii.all_spans(text, model)[1]
+    assert len(pii.candidates("7 " * 2000)) <= 2000 * pii.DIGITS
