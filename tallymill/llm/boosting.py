@@ -84,3 +84,13 @@ def calibrate(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
     last = np.append(scores[order][1:] != scores[order][:-1], True) if len(y) else np.zeros(0, bool)
     good = np.flatnonzero(last & (share >= precision) & (scores[order] >= 0.5))
     return float(scores[order][good[-1]]) if len(good) else 2.0
+
+
+def calibrate_bins(counts: list[tuple[int, int, int]], precision: float, per_logit: int) -> float:
+    """As ``calibrate``, from (bin, negatives, positives) with bins of 1 / ``per_logit`` from logit 0 on; the cut-off is a bin's lower end."""
+    best, wrong, right = 2.0, 0, 0
+    for at, n, p in sorted(counts, reverse=True):
+        wrong, right = wrong + n, right + p
+        if right and right >= precision * (right + wrong):
+            best = float(1 / (1 + np.exp(-at / per_logit)))
+    return best

@@ -9,12 +9,14 @@ r"""Personal data: rules, and boosted trees over overlapping candidates.
    context (neighbouring characters, key words, other candidates). They are trained here: candidates
    equal to a base span are positive; others are negative, but for those inside a match that a rule
    dropped and that the rule would take if they stood alone, which are unknown and left out.
-4. A cut-off per kind is calibrated on held-out documents for ``PRECISION``. Candidates at or above
+4. A cut-off per kind is calibrated for ``PRECISION`` on the quarter of all distinct documents that
+   fitting does not see, at any size, from counts per kind and bin of the score. Candidates at or above
    it are added, best first, where they overlap neither a base span nor one already added.
 
-The trees are fitted on a bounded sample: of the documents with a digit or ``@`` about
-``SAMPLE_DOCS``, chosen by a hash, and of each at most ``SAMPLE_PER_DOC`` candidates. Everything
-else covers every whole text. A run of number groups ends at ``DIGITS`` digits, so a text that is one
+The trees are fitted on a bounded sample, chosen by a hash: of the other documents with a digit or
+``@`` about ``SAMPLE_DOCS``, and about ``SAMPLE_PER_KIND`` of those with a base span of a kind, so that
+rare kinds teach too; of each at most ``SAMPLE_PER_DOC`` candidates. Everything else, the calibration
+included, covers every whole text. A run of number groups ends at ``DIGITS`` digits, so a text that is one
 long column of numbers costs time in proportion to its length.
 
 Defined cases: a NULL or empty text has no spans; rows repeated are treated alike; without training
@@ -35,13 +37,18 @@ from pyspark.sql import functions as F
 
 from tallymill.llm import boosting
 from tallymill.llm.common import SLICE_ROWS
+from tallymill.session import write_once
 
 KINDS = ("email", "ip", "card", "phone")
 #: The longest card number; it bounds the groups of a run too, as each has a digit.
 DIGITS = 19
 PRECISION = 0.995
 SAMPLE_DOCS = 6000
+SAMPLE_PER_KIND = 1500
 SAMPLE_PER_DOC = 64
+#: Bins of the score per unit of its logit, and candidates described at a time, in calibration.
+SCORE_BINS = 64
+STEP = 4096
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
@@ -271,22 +278,63 @@ def _alone(text: str, span: Span) -> bool:
     return Span(span.kind, 0, span.end - span.start) in base_spans(text[span.start : span.end])[0]
 
 
-def _training_rows(text: str, seed: int) -> tuple[list[list[int]], list[int]]:
+def _labelled(text: str) -> tuple[list[Span], list[int]]:
+    """The candidates with a known label, and the labels."""
     base, dropped = base_spans(text)
     known, unknown = set(base), _Cover(dropped)
     rows = [c for c in candidates(text) if c in known or not (unknown.meets(c.start, c.end) and _alone(text, c))]
+    return rows, [int(c in known) for c in rows]
+
+
+def _training_rows(text: str, seed: int) -> tuple[list[list[int]], list[int]]:
+    rows, labels = _labelled(text)
+    chosen = range(len(rows))
     if len(rows) > SAMPLE_PER_DOC:
-        rows = [rows[i] for i in sorted(np.random.default_rng(seed).choice(len(rows), SAMPLE_PER_DOC, replace=False))]
-    return [describe(text, c) for c in rows], [int(c in known) for c in rows]
+        chosen = sorted(np.random.default_rng(seed).choice(len(rows), SAMPLE_PER_DOC, replace=False))
+    return [describe(text, rows[i]) for i in chosen], [labels[i] for i in chosen]
+
+
+def _score_counts(text: str, model: boosting.Trees) -> np.ndarray:
+    """Rows of kind, bin, negatives, positives of a text's candidates with a score of 0.5 or more."""
+    rows, labels = _labelled(text)
+    found: dict[tuple[int, int], list[int]] = {}
+    for at in range(0, len(rows), STEP):
+        x = np.array([describe(text, c) for c in rows[at : at + STEP]])
+        bins = np.floor(np.clip(model.logits(x), -30, 30) * SCORE_BINS).astype(np.int64)
+        for kind, score, y in zip(x[:, 0].tolist(), bins.tolist(), labels[at : at + STEP], strict=True):
+            if score >= 0:
+                found.setdefault((kind, score), [0, 0])[y] += 1
+    return np.array([[*k, *n] for k, n in found.items()], np.int64).reshape(-1, 4)
+
+
+def _kinds_per_text(rows: DataFrame) -> DataFrame:
+    """h and kinds, a bit per kind that the text has a base span of; one row per distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [sum({1 << KINDS.index(s.kind) for s in base_spans(t)[0]}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kinds, pa.int64())], ["h", "kinds"])
+
+    return write_once(rows.mapInArrow(run, "h bigint, kinds bigint").groupBy("h").agg(F.min("kinds").alias("kinds")), "pii-kinds")
 
 
-def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> boosting.Trees | None:
+def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_per_kind: int = SAMPLE_PER_KIND) -> boosting.Trees | None:
     """Fit the trees and calibrate a cut-off per kind; None if there is nothing to learn from."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.col("text").rlike("[0-9@]"))
-    total = rows.count()
-    if total > sample_docs:
-        rows = rows.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * sample_docs / total))
+    every = df.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.col("text").rlike("[0-9@]"))
+    held = F.pmod("h", F.lit(4)) == 0
+    # copies of one text teach nothing new, and a large group of them would break the bound
+    known = _kinds_per_text(every.where(~held))
+    has = [F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(KINDS))]
+    total, *of_kind = known.agg(F.count("*"), *[F.count_if(x) for x in has]).first()
+
+    def chosen(wanted: int, there: int):
+        return F.pmod("h", F.lit(1_000_003)) < (1_000_003 if there <= wanted else int(1_000_003 * wanted / there))
+
+    take = chosen(sample_docs, total)
+    for x, there in zip(has, of_kind, strict=True):
+        take = take | (x & chosen(sample_per_kind, there))
+    rows = every.where(~held).join(F.broadcast(known.where(take).select("h")), "h", "left_semi").select("text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,19 +347,27 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
                     ys.append(bytes(y))
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["h", "x", "y"])
 
-    # copies of one text teach nothing new, and a large group of them would break the bound
     found = rows.mapInArrow(run, "h bigint, x binary, y binary").groupBy("h").agg(F.min("x").alias("x"), F.min("y").alias("y")).collect()
     if not found:
         return None
     found.sort(key=lambda r: r["h"])
     y = np.concatenate([np.frombuffer(r["y"], np.uint8) for r in found]).astype(np.int64)
     x = np.concatenate([np.frombuffer(r["x"], np.uint8) for r in found]).reshape(len(y), -1).astype(np.int64)
-    held = np.repeat([r["h"] % 4 == 0 for r in found], [len(r["y"]) for r in found])
-    model = boosting.fit(x[~held], y[~held])
-    scores = model.scores(x[held])
+    model = boosting.fit(x, y)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = _score_counts(t, model)
+                if len(counts):
+                    columns = [pa.array(np.full(len(counts), h)), *[pa.array(c) for c in counts.T]]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "kind", "bin", "n", "p"])
+
+    counts = every.where(held).mapInArrow(score, "h bigint, kind bigint, bin bigint, n bigint, p bigint").dropDuplicates(["h", "kind", "bin"])
+    bins = counts.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
     for i, kind in enumerate(KINDS):
-        of_kind = x[held][:, 0] == i
-        model.threshold[kind] = boosting.calibrate(scores[of_kind], y[held][of_kind], PRECISION)
+        of_this = [(r["bin"], r["n"], r["p"]) for r in bins if r["kind"] == i]
+        model.threshold[kind] = boosting.calibrate_bins(of_this, PRECISION, SCORE_BINS)
     return model
 
 

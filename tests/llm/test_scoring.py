@@ -217,3 +217,27 @@ def test_numbers_of_many_groups(spark):
         assert span in pii.candidates(text) and span not in pii.base_spans(text)[0]
         assert span in pii.all_spans(text, model)[1]
     assert len(pii.candidates("7 " * 2000)) <= 2000 * pii.DIGITS
+
+
+def test_rare_kinds_are_calibrated_on_all_documents(spark):
+    """A table far over the fitting sample still finds what one document in a hundred has."""
+    rng = np.random.default_rng(6)
+    texts = [f"ask a{i}@host{i % 7}.org in {rng.integers(1900, 2100)} or {rng.integers(10**6)} {rng.integers(10**6)}" for i in range(6000)]
+    for i in range(60):
+        number = next(c for c in iter(lambda: "".join(map(str, rng.integers(0, 10, 16))), None) if pii.luhn(c))
+        texts.append(f"ask b{i} la {number} et")
+    model = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), sample_docs=200)
+    assert model.threshold["card"] <= 1
+    text = "la 4111111111111111 5500000000000004 et"
+    assert {(s.start, s.end) for s in pii.all_spans(text, model)[1] if s.kind == "card"} == {(3, 19), (20, 36)}
+
+
+def test_calibration_by_bins():
+    rng = np.random.default_rng(9)
+    bins = rng.integers(0, 300, 4000)
+    y = (rng.random(4000) < 0.6 + bins / 700).astype(int)
+    scores = 1 / (1 + np.exp(-bins / 64))
+    counts = [(b, int(((bins == b) & (y == 0)).sum()), int(((bins == b) & (y == 1)).sum())) for b in set(bins.tolist())]
+    for precision in (0.7, 0.9, 0.95, 1.1):
+        assert np.isclose(boosting.calibrate_bins(counts, precision, 64), boosting.calibrate(scores, y, precision))
+    assert boosting.calibrate_bins([], 0.9, 64) == 2.0
