@@ -115,3 +115,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(good, false) AS kept
 FROM counted LEFT JOIN checked USING (rid)
 """
+
+OP11 = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+    SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS at FROM texts
+), windows AS (
+    SELECT rid, at, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n
+    FROM placed WINDOW w AS (PARTITION BY rid ORDER BY at ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), repeated AS (
+    SELECT rid, at, n = 35 AND count(*) OVER (PARTITION BY CASE WHEN n = 35 THEN words ELSE rid || ' ' || at END, n) > 1 AS twice FROM windows
+), covered AS (
+    SELECT rid, at, bool_or(twice) OVER (PARTITION BY rid ORDER BY at ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS removed FROM repeated
+), kept AS (
+    SELECT rid, count(*) FILTER (WHERE removed) AS n_removed,
+        coalesce(string_agg(word, ' ' ORDER BY at) FILTER (WHERE NOT removed), '') AS words
+    FROM placed JOIN covered USING (rid, at) GROUP BY rid
+)
+SELECT doc_id, len(t.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (rid)
+"""
+
+OP12 = r"""
+WITH held AS (
+    SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), sizes AS (
+    SELECT rid, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM held GROUP BY rid
+), totals AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sizes
+), counts AS (
+    SELECT rid, term, count(*)::BIGINT AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY rid, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term
+), worth AS (
+    SELECT c.rid, s.doc_id, c.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))) AS x
+    FROM counts c JOIN sizes s USING (rid) JOIN weights USING (term), totals
+), scored AS (
+    SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(x)::BIGINT AS score FROM worth JOIN asked USING (term) GROUP BY item_id, rid
+), ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

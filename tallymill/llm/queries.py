@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, chunks, mixing, packing, pii, quality, rules, simhash, tokenfile, unigram
+from tallymill.llm import balltree, chat, chunks, mixing, packing, pii, quality, rules, runs, simhash, tokenfile, unigram
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
@@ -80,9 +80,29 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold_events(events))))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.detect(runs.with_periodic_tails(read(spark, folder, "documents")))
+    best = runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_token_files, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_token_files, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting, op12_lexical_search, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_chat_formatting": oracles.OP10}
+    return {"op8_mixing": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_chat_formatting": oracles.OP10, "op12_lexical_search": oracles.OP12}
