@@ -120,18 +120,18 @@ OP11 = r"""
 WITH texts AS (
     SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), placed AS (
-    SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS at FROM texts
+    SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS pos FROM texts
 ), windows AS (
-    SELECT rid, at, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n
-    FROM placed WINDOW w AS (PARTITION BY rid ORDER BY at ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+    SELECT rid, pos, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n
+    FROM placed WINDOW w AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
 ), repeated AS (
-    SELECT rid, at, n = 35 AND count(*) OVER (PARTITION BY CASE WHEN n = 35 THEN words ELSE rid || ' ' || at END, n) > 1 AS twice FROM windows
+    SELECT rid, pos, n = 35 AND count(*) OVER (PARTITION BY CASE WHEN n = 35 THEN words ELSE rid || ' ' || pos END, n) > 1 AS twice FROM windows
 ), covered AS (
-    SELECT rid, at, bool_or(twice) OVER (PARTITION BY rid ORDER BY at ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS removed FROM repeated
+    SELECT rid, pos, bool_or(twice) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS removed FROM repeated
 ), kept AS (
     SELECT rid, count(*) FILTER (WHERE removed) AS n_removed,
-        coalesce(string_agg(word, ' ' ORDER BY at) FILTER (WHERE NOT removed), '') AS words
-    FROM placed JOIN covered USING (rid, at) GROUP BY rid
+        coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed), '') AS words
+    FROM placed JOIN covered USING (rid, pos) GROUP BY rid
 )
 SELECT doc_id, len(t.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (rid)

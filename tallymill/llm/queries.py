@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import balltree, chat, chunks, mixing, packing, pii, quality, rules, runs, simhash, tokenfile, unigram
+from tallymill.llm import balltree, chat, chunks, mixing, packing, pii, quality, rules, runs, simhash, substrings, tokenfile, unigram
 from tallymill.llm import oracle_sql as oracles
 from tallymill.llm.common import read
 from tallymill.llm.tokens import vocabulary
@@ -80,6 +80,11 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold_events(events))))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeated(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return balltree.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -101,8 +106,8 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_token_files, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting, op12_lexical_search, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_token_files, op4_fingerprints, op5_quality_classifier, op6_pii, op7_packing, op8_mixing, op9_quality_rules, op10_chat_formatting, op11_substring_dedup, op12_lexical_search, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_chat_formatting": oracles.OP10, "op12_lexical_search": oracles.OP12}
+    return {"op8_mixing": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_chat_formatting": oracles.OP10, "op11_substring_dedup": oracles.OP11, "op12_lexical_search": oracles.OP12}
