@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows).to_pydict()
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Tell how to drop what an operator keeps in a Python worker between its tasks."""
+    _forget[operator] = forget
+
+
+def working(operator: str) -> None:
+    """A task of ``operator`` begins: what others keep in this worker goes, as workers outlive a stage."""
+    for other, forget in _forget.items():
+        if other != operator:
+            forget()
+
+
 def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with the given columns; input columns of those names, in any case, make way."""
     taken = {name.lower() for name in columns}

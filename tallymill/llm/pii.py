@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import boosting
-from tallymill.llm.common import SLICE_ROWS
+from tallymill.llm.common import SLICE_ROWS, working
 from tallymill.session import write_once
 
 KINDS = ("email", "ip", "card", "phone")
@@ -311,6 +311,7 @@ def _kinds_per_text(rows: DataFrame) -> DataFrame:
     """h and kinds, a bit per kind that the text has a base span of; one row per distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             kinds = [sum({1 << KINDS.index(s.kind) for s in base_spans(t)[0]}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kinds, pa.int64())], ["h", "kinds"])
@@ -329,7 +330,8 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
     total, *of_kind = known.agg(F.count("*"), *[F.count_if(x) for x in has]).first()
 
     def chosen(wanted: int, there: int):
-        return F.pmod("h", F.lit(1_000_003)) < (1_000_003 if there <= wanted else int(1_000_003 * wanted / there))
+        # the lowest of all 2**64 hashes, however many texts there are
+        return F.lit(True) if there <= wanted else F.col("h") < -(1 << 63) + (wanted << 64) // there
 
     take = chosen(sample_docs, total)
     for x, there in zip(has, of_kind, strict=True):
@@ -337,6 +339,7 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
     rows = every.where(~held).join(F.broadcast(known.where(take).select("h")), "h", "left_semi").select("text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             hs, xs, ys = [], [], []
             for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -356,6 +359,7 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
     model = boosting.fit(x, y)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = _score_counts(t, model)
@@ -378,6 +382,7 @@ def find(df: DataFrame, model: boosting.Trees | None, id_col: str = "doc_id", te
     names = ["doc_id", *[f"n_{k}" for k in KINDS], "base", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
@@ -397,6 +402,7 @@ def redacted(df: DataFrame, model: boosting.Trees | None, text_col: str = "text"
     length = names.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

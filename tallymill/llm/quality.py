@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from tallymill.llm.common import SLICE_ROWS
+from tallymill.llm.common import SLICE_ROWS, remembers, working
 
 #: Documents below this score are predicted to have label 0.
 THRESHOLD = 0.3
@@ -57,6 +57,7 @@ class _Buckets(dict):
 
 
 _buckets = _Buckets()
+remembers("quality", _buckets.clear)
 
 
 def _lin(x: float, top: float, bins: int = 20) -> int:
@@ -178,6 +179,7 @@ def crc_fold(id_col: Column, folds: int = 5) -> Column:
 
 def _feature_rows(df: DataFrame, n_metadata: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
@@ -248,6 +250,7 @@ def _scorer(model: Model, n_metadata: int, passthrough: int, name: str):
     small = Model(model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

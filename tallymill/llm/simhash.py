@@ -33,16 +33,17 @@ where rows of different components share an id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tallymill.llm.common import slices
+from tallymill.llm.common import SLICE_ROWS, slices, working
 from tallymill.session import write_once
 
 BITS = 2
@@ -86,6 +87,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             fps: list[int] = []
             for part in slices(iter([batch])):
@@ -216,6 +218,7 @@ def _minhash_rows(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
     kind = df.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             nodes, bands, sigs = [], [], []
             for part in slices(iter([batch])):
@@ -236,25 +239,40 @@ def _shingle_sets(df: DataFrame, text_col: str, wanted: DataFrame, shingle: int)
     """fp and its set of shingle hashes, for the texts that are ``wanted`` (fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 sets = [_shingles(_words(t), shingle).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["fp", "members"])
 
-    texts = df.select(_node_udf()(F.col(text_col).cast("string")).alias("fp"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    texts = _with_number(df.select(F.col(text_col).cast("string").alias("text")), "text", "fp", lambda t: _node(_words(t)))
+    texts = texts.join(wanted, "fp", "left_semi").select("fp", "text").dropDuplicates(["fp"])
     return write_once(texts.mapInArrow(run, "fp bigint, members binary"), "minhash-sets")
 
 
-def _node_udf():
-    return F.udf(lambda text: _node(_words(text)), "bigint", useArrow=True)
+def _with_number(df: DataFrame, text_col: str, name: str, of: Callable[[str | None], int]) -> DataFrame:
+    """``df`` with a last column: a number of the text. (Spark runs a function of a row again for each filter it derives.)"""
+    names = df.columns
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(name))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = [of(t) for t in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.int64())], part.schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -295,6 +313,7 @@ def similar_links(df: DataFrame, rows: DataFrame, text_col: str, shingle: int, s
     least = similarity - SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             for i, j, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 fps, labels, own = (np.array([r[k] for r in found], np.int64) for k in ("fp", "label", "own"))
@@ -344,13 +363,19 @@ def keep_first(
     if similarity is None:
         rows = write_once(fingerprints(df, id_col, text_col, shingle), "simhash")
         found = write_once(_assign(rows), "simhash-assigned")
-        fp_of = _fingerprint_udf(shingle)
+
+        def fp_of(text: str | None) -> int:
+            return fingerprint(text, shingle)
+
     else:
         rows = write_once(_minhash_rows(df, id_col, text_col, shingle), "minhash")
         edges = similar_links(df, rows, text_col, shingle, similarity)
         found = write_once(_assign(rows.select("doc_id", "fp"), edges), "simhash-assigned")
-        fp_of = _node_udf()
-    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+
+        def fp_of(text: str | None) -> int:
+            return _node(_words(text))
+
+    key = F.col(f"`{id_col}`")
     names = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_tm_id"), F.col("fp").alias("_tm_of"), F.col("label").alias("_tm_label")).distinct()
     ids = names.where("_tm_id is not null").select("_tm_id").distinct()
     order = [F.col(f"`{c}`") for c, kind in df.dtypes if c in (id_col, text_col) or kind in ("string", "bigint", "int")]
@@ -367,10 +392,6 @@ def keep_first(
     others = df.where(key.isNull()).unionByName(df.join(spread, key == F.col("_tm_spread"), "left_semi"))
     if others.isEmpty():
         return named
-    others = others.withColumn("_tm_fp", fp_of(text))
+    others = _with_number(others, text_col, "_tm_fp", fp_of)
     others = others.join(names, key.eqNullSafe(F.col("_tm_id")) & (F.col("_tm_fp") == F.col("_tm_of")))
     return named.unionByName(one_per(others, "_tm_label"))
-
-
-def _fingerprint_udf(shingle: int):
-    return F.udf(lambda text: fingerprint(text, shingle), "bigint", useArrow=True)

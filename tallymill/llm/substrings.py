@@ -40,8 +40,8 @@ from tallymill.llm.common import SLICE_ROWS
 from tallymill.session import new_path, write_once
 
 WINDOW = 35
-PART_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+PART_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 DEPTH = 2
 LOAD = 4
 #: Bytes hashed at a time, and words longer than that are hashed by themselves.
@@ -74,10 +74,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Part:
     """The words of a part's texts, one after another, and the hashes of its windows."""
 
-    def __init__(self, texts: list[str | None], window: int = WINDOW):
-        plain = [b" ".join((t or "").encode().split()) for t in texts]
-        self.words = np.array([p.count(b" ") + 1 if p else 0 for p in plain], np.int64)
-        self.text = b" ".join([p for p in plain if p])
+    def __init__(self, texts: pa.ChunkedArray, window: int = WINDOW):
+        words, plain = [], []
+        for at in range(0, len(texts), SLICE_ROWS):
+            for text in texts.slice(at, SLICE_ROWS).to_pylist():
+                some = b" ".join((text or "").encode().split())
+                words.append(some.count(b" ") + 1 if some else 0)
+                if some:
+                    plain.append(some)
+        self.words = np.array(words, np.int64)
+        self.text = b" ".join(plain)
         self.window = window
         gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
         self.starts = np.concatenate(([0], gaps + 1)) if self.text else np.zeros(0, np.int64)
@@ -251,12 +257,16 @@ def _write_parts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and text (the kept words, one space between), one row per row of ``df``."""
+    """doc_id, n_words, n_removed and text (the kept words, one space between), one row per row of ``df``.
+
+    A task needs about 20 times ``PART_BYTES`` or ``SHARD_BYTES``; with larger executors both may grow, which
+    makes the rows between parts and shards fewer (their number is the product of both numbers).
+    """
     parts, size = _write_parts(df, id_col, text_col)
     shards = 1 + size // SHARD_BYTES
 
     def sketch(rows: pa.Table) -> pa.Table:
-        keys, times = np.unique(Part(rows["text"].to_pylist(), window).hashes(), return_counts=True)
+        keys, times = np.unique(Part(rows["text"], window).hashes(), return_counts=True)
         return _sent(rows["part"][0].as_py(), keys, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), times, shards)
 
     def likely(part: Part, answers: pa.Table) -> np.ndarray:
@@ -267,12 +277,12 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def digest(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _sent(0, np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), np.zeros(0), shards)
-        part = Part(rows["text"].to_pylist(), window)
+        part = Part(rows["text"], window)
         found, _, times = _different(part.digests(likely(part, answers)))
         return _sent(rows["part"][0].as_py(), found[:, 0], found, times, shards)
 
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(rows["text"].to_pylist(), window)
+        part = Part(rows["text"], window)
         some = likely(part, answers)
         found, which, _ = _different(part.digests(some))
         kept = list(part.without(some[_flags(answers, 1, found[:, 0], shards)[which]]))

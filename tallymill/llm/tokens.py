@@ -20,6 +20,8 @@ from array import array  # noqa: E402
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from tallymill.llm.common import remembers, working  # noqa: E402
+
 #: Words remembered by a worker process, and as many of their parts.
 REMEMBERED = 400_000
 #: Words encoded in one call.
@@ -146,10 +148,12 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
+    working("tokens")
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 
-from tallymill.llm import pii, quality, simhash, tokens  # noqa: E402
+from tallymill.llm import pii, quality, tokens  # noqa: E402
 from tallymill.session import write_once  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -48,21 +48,31 @@ def test_quality_stage(stages, spark):
 
 
 def test_dedup_stage(stages):
+    """All pairs of sets of five-word shingles."""
     given, kept, *_ = stages["near_dedup"]
-    fps = {r.doc_id: simhash.fingerprint(r.text) % (1 << 64) for r in given}
-    ids = sorted(fps)
-    root = {i: i for i in ids}
+    given = sorted(given, key=lambda r: r.doc_id)
+    number, sets = {}, []
+    for r in given:
+        words = r.text.encode().lower().split()
+        shingles = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        sets.append(np.array(sorted({number.setdefault(x, len(number)) for x in shingles})))
+    holders = {}
+    root = list(range(len(given)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+    for i, own in enumerate(sets):
+        shared = Counter(j for x in own.tolist() for j in holders.get(x, ()))
+        for j, n in shared.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    assert sorted(r.doc_id for r in kept) == [i for i in ids if find(i) == i]
+        for x in own.tolist():
+            holders.setdefault(x, []).append(i)
+    wanted = [r.doc_id for i, r in enumerate(given) if find(i) == i]
+    assert sorted(r.doc_id for r in kept) == wanted and len(wanted) < len(given)
 
 
 def test_pii_stage(stages, spark):

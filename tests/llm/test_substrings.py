@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallymill.llm import substrings
@@ -68,7 +69,7 @@ def test_merged_estimates_are_never_too_low():
 
 def test_equal_hashes_do_not_remove(monkeypatch, shared):
     """Estimates may be as wrong as they like: exact digests decide."""
-    part = substrings.Part(shared)
+    part = substrings.Part(pa.chunked_array([shared]))
     found, which, times = substrings._different(part.digests(np.arange(len(part.at))))
     rows = list(part.without(np.flatnonzero(times[which] > 1)))
     assert rows == slow_removed(shared)
@@ -78,7 +79,7 @@ def test_long_words(monkeypatch):
     """Words longer than a step are hashed by themselves; hashes are equal exactly if windows are."""
     monkeypatch.setattr(substrings, "STEP", 64)
     texts = [" ".join("x" * (i * 13 % 150 + 1) + str(i % 40) for i in range(200)), "y" * 1000, "y" * 1000 + " z"]
-    part = substrings.Part(texts, 5)
+    part = substrings.Part(pa.chunked_array([texts]), 5)
     keys = [part.text[part.starts[a] : part.stops[a + 4]] for a in part.at.tolist()]
     assert len(set(part.hashes().tolist())) == len(set(keys))
     by_key = {}
