@@ -21,7 +21,9 @@ five bits. Candidates are texts that agree in one of ``BANDS`` groups of ``ROWS`
 pair of similarity 0.8 meets with probability 0.99995. They are compared by their whole sets of
 shingles. First each list is compared with two of its members; then, inside a list, whatever these
 comparisons left in different components is compared with each other, unless the MinHash values put
-the pair ``SLACK`` below the similarity. So a group of close copies costs time in proportion to its
+the pair ``SLACK`` below the similarity. That happens between blocks of members that lie in memory with
+their sets: a link found connects its components at once, which spares the pairs between them, and only
+links are returned, no pairs. So a group of close copies costs time in proportion to its
 size, and no candidate is passed over because its list is long.
 
 Defined cases: a NULL or empty text has fingerprint zero and is linked like any other; rows
@@ -56,8 +58,9 @@ BANDS = 25
 ROWS = 5
 #: How far below the wanted similarity an estimate over all MinHash values may be: over five standard errors.
 SLACK = 0.2
-#: Members of a list that one row holds when all are compared with all.
+#: Members of a list, and bytes of their sets, that a block holds when all are compared with all.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -302,32 +305,46 @@ def similar_links(df: DataFrame, rows: DataFrame, text_col: str, shingle: int, s
     # lists of up to three are done: each pair has one of the two ends
     labels = components(near).withColumnRenamed("node", "fp")
     left = members.where("n > 3").join(labels, "fp", "left").select("c", "key", "fp", F.coalesce("label", "fp").alias("label"))
-    left = write_once(left, "minhash-left")
-    several = left.groupBy("c", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = left.join(several.select("c", "key", blocks.alias("blocks")), ["c", "key"]).join(distinct.select("fp", "sig"), "fp")
+    left = write_once(left.join(sets.select("fp", F.octet_length("members").alias("bytes")), "fp"), "minhash-left")
+    several = left.groupBy("c", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("x <> y")
+    left = left.drop("bytes")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = left.join(several.select("c", "key", blocks.alias("blocks")), ["c", "key"]).join(distinct.select("fp", "sig"), "fp").join(sets, "fp")
     dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("fp", "label", "own", "sig")).alias("rows")
-    )
-    least = similarity - SLACK
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("simhash")
-        for batch in batches:
-            for i, j, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                fps, labels, own = (np.array([r[k] for r in found], np.int64) for k in ("fp", "label", "own"))
-                sigs = np.frombuffer(b"".join(r["sig"] for r in found), np.uint8).reshape(len(found), -1)
-                for at in range(len(found)):
-                    # inside one block each pair once, between two only those that no other row has
-                    open_ = (labels != labels[at]) & (fps > fps[at]) & ((own != own[at]) | (i == j))
-                    others = np.flatnonzero(open_)
-                    others = others[(sigs[others] == sigs[at]).mean(axis=1) >= least]
-                    if len(others):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), fps[at])), pa.array(fps[others])], ["a", "b"])
-
-    further = dealt.select("i", "j", "rows").mapInArrow(run, "a bigint, b bigint").distinct()
-    return near.unionByName(_verified(further, sets, similarity)).distinct()
+    dealt = dealt.select("c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label", "own", "sig", "members")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found = _open_links(rows, similarity)
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    further = write_once(dealt.groupBy("c", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "minhash-further")
+    return near.unionByName(further).distinct()
+
+
+def _open_links(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between members of one block, or two, of a list that are not connected yet; a link found connects what it joins."""
+    working("simhash")
+    fps, labels, own = (rows[c].to_numpy().copy() for c in ("fp", "label", "own"))
+    one_block = rows["i"][0] == rows["j"][0]
+    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(fps), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["members"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    found = []
+    for at, mine in enumerate(sets):
+        # pairs inside a block of two are another group's
+        other = at + 1 + np.flatnonzero((labels[at + 1 :] != labels[at]) & (one_block | (own[at + 1 :] != own[at])))
+        other = other[np.minimum(sizes[other], len(mine)) >= similarity * np.maximum(sizes[other], len(mine))]
+        other = other[(sigs[other] == sigs[at]).mean(axis=1) >= similarity - SLACK]
+        if not len(other):
+            continue
+        every = np.concatenate([sets[o] for o in other])
+        same = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+        shared = np.add.reduceat(same, np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+        for o in other[shared >= similarity * (len(mine) + sizes[other] - shared)].tolist():
+            if labels[o] != labels[at]:
+                found.append((int(fps[at]), int(fps[o])))
+                labels[labels == labels[o]] = labels[at]
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
