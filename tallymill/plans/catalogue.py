@@ -26,6 +26,7 @@ from tallymill.session import new_path, write_once
 from tallymill.sources import (
     add_synthetic_columns,
     read_csv,
+    read_csv_split,
     read_first,
     read_lines,
     read_sensor_stream,
@@ -94,6 +95,14 @@ def csv_multiline_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, rows.schema, multiline=True)
 
 
+def csv_multiline_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = new_path(spark, "documents-csv")
+    # one large file, as a user would bring it
+    write_csv(rows.coalesce(1), path, multiline=True)
+    return read_csv_split(spark, path, rows.schema)
+
+
 def source_fallback(spark: SparkSession, folder: str) -> DataFrame:
     paths = [f"{folder}/cleaned_orders.parquet", f"{folder}/orders.parquet"]
     found = read_first(spark, paths, lambda s, p: s.read.parquet(p))
@@ -368,6 +377,13 @@ def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
     return _round(means, {"avg_latency": 12}).select("device_id", "seq", "ts", "arrival_ts", "latency", "avg_latency")
 
 
+def stream_latency_by_device(spark: SparkSession, folder: str) -> DataFrame:
+    stream, root = _in_order_of_arrival(spark, folder)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint", n=20, keys=["device_id"]).awaitTermination()
+    means = sinks.latencies(spark, f"{root}/out")
+    return _round(means, {"avg_latency": 12}).select("device_id", "seq", "ts", "arrival_ts", "latency", "avg_latency")
+
+
 def stream_latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     stream, root = _in_order_of_arrival(spark, folder)
     sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
@@ -461,6 +477,7 @@ NULLABLE_INTEGERS = {
     "sensor_parse": ["seq"],
     "stream_late": ["seq"],
     "stream_latency": ["seq"],
+    "stream_latency_by_device": ["seq"],
 }
 
 
@@ -482,6 +499,7 @@ def _queries() -> dict[str, Query]:
         # sources and sinks
         "csv_roundtrip": csv_roundtrip,
         "csv_multiline_roundtrip": csv_multiline_roundtrip,
+        "csv_multiline_split": csv_multiline_split,
         "source_fallback": source_fallback,
         "synth_group": synth_group,
         "read_lines": lines_read,
@@ -634,6 +652,7 @@ def _queries() -> dict[str, Query]:
         "stream_rejects": stream_rejects,
         "stream_late": stream_late,
         "stream_latency": stream_latency,
+        "stream_latency_by_device": stream_latency_by_device,
         "stream_latency_summary": stream_latency_summary,
         # metrics
         "counter_rate": counter_rates("1 day", "1 hour"),

@@ -197,6 +197,23 @@ readings AS (SELECT * REPLACE (CASE WHEN kind = 'reading' THEN seq END AS seq) F
 )
 
 
+#: Each streamed reading at its first arrival; readings without a number are told apart by what they say.
+STREAMED_ONCE = (
+    STREAMED
+    + """,
+arrived AS (SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY device_id, seq,
+  CASE WHEN seq IS NULL THEN ts END, CASE WHEN seq IS NULL THEN temperature END, CASE WHEN seq IS NULL THEN humidity END
+  ORDER BY arrival_ts, topic) = 1)"""
+)
+
+
+def _rolling_latency(rows: int, partition: str = "") -> str:
+    return f"""WITH {STREAMED_ONCE}
+SELECT device_id, seq, ts, arrival_ts, (epoch_us(arrival_ts) - epoch_us(ts)) / 1000000 AS latency,
+  round(avg((epoch_us(arrival_ts) - epoch_us(ts)) / 1000000) OVER ({partition} ORDER BY arrival_ts, seq NULLS LAST, device_id, ts
+    ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM arrived"""
+
+
 def _unexpired(ttl: str, readings: str = READINGS) -> str:
     return f"""WITH {readings},
 gaps AS (
@@ -293,6 +310,7 @@ def _oracle_sql() -> dict[str, str]:
         # sources and sinks
         "csv_roundtrip": f"WITH {TITLES} SELECT * REPLACE (CASE WHEN movie_id % 70 = 0 THEN '' ELSE genres END AS genres) FROM titles",
         "csv_multiline_roundtrip": "SELECT doc_id, lang, text FROM documents",
+        "csv_multiline_split": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "source_fallback": "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY 1",
         "synth_group": "WITH synth AS (SELECT o_orderkey AS id, "
         "CAST((o_orderkey * 7919) % 10 AS INTEGER) AS category, "
@@ -555,12 +573,10 @@ once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings
     WHEN kind = 'millis' THEN 'millis' ELSE 'nothing' END AS value
 FROM kinds WHERE kind IN ('text', 'empty', 'nan', 'millis')
   OR kind = 'unnumbered' AND temperature IS NULL AND humidity IS NULL""",
-        "stream_latency": f"""WITH {STREAMED}
-SELECT device_id, seq, ts, arrival_ts, (epoch_us(arrival_ts) - epoch_us(ts)) / 1000000 AS latency,
-  round(avg((epoch_us(arrival_ts) - epoch_us(ts)) / 1000000) OVER (ORDER BY arrival_ts, seq NULLS LAST, device_id, ts
-    ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 12) AS avg_latency FROM readings""",
-        "stream_latency_summary": f"""WITH {STREAMED},
-last AS (SELECT (epoch_us(arrival_ts) - epoch_us(ts)) / 1000 AS ms FROM readings
+        "stream_latency": _rolling_latency(500),
+        "stream_latency_by_device": _rolling_latency(20, "PARTITION BY device_id"),
+        "stream_latency_summary": f"""WITH {STREAMED_ONCE},
+last AS (SELECT (epoch_us(arrival_ts) - epoch_us(ts)) / 1000 AS ms FROM arrived
   ORDER BY arrival_ts DESC, seq DESC NULLS FIRST LIMIT 500)
 SELECT count(*) AS samples, round(avg(ms), 1) AS avg_ms, round(max(ms), 1) AS max_ms, round(min(ms), 1) AS min_ms
 FROM last""",

@@ -1,6 +1,7 @@
 from tallymill.sources.files import (
     literal_rows,
     read_csv,
+    read_csv_split,
     read_first,
     read_lines,
     read_table,
@@ -16,6 +17,7 @@ __all__ = [
     "add_synthetic_columns",
     "literal_rows",
     "read_csv",
+    "read_csv_split",
     "read_first",
     "read_lines",
     "read_sensor_stream",

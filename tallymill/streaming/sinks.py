@@ -6,12 +6,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tallymill.operators.cleaning import dedupe_key, total_order
-from tallymill.operators.telemetry import good_readings, latency, parse_readings, readings_only, rejected, rolling_mean
+from tallymill.operators.telemetry import (
+    distinct_readings,
+    good_readings,
+    latency,
+    parse_readings,
+    reading_key,
+    readings_only,
+    rejected,
+    rolling_mean,
+)
 
 BATCH, UPTO = "batch_id", "upto"
 
@@ -125,26 +134,57 @@ def start_late_rows(
 ARRIVAL = [("arrival_ts", "asc"), ("seq", "asc"), ("device_id", "asc"), ("ts", "asc")]
 
 
-def start_latency(messages: DataFrame, out: str, checkpoint: str, n: int = 500, once: bool = True) -> StreamingQuery:
-    """Store each reading with the mean latency of it and the ``n - 1`` before it in order of arrival.
+def start_latency(
+    messages: DataFrame,
+    out: str,
+    checkpoint: str,
+    n: int = 500,
+    once: bool = True,
+    keys: Sequence[str] = (),
+    copies_within: int = 3600,
+) -> StreamingQuery:
+    """Store each reading once, with the mean latency of it and the ``n - 1`` before it, per ``keys``, in
+    order of arrival.
 
-    A batch is joined by the last ``n`` readings before it, which each batch leaves for the next, so
-    state is ``n`` rows. Batches must come in the order of arrival, as a message queue's do.
+    A batch is joined by the last ``n`` readings before it (per key), which each batch leaves for the
+    next. It also leaves which readings came in the last ``copies_within`` seconds, so that a copy
+    that is delivered again in a later batch does not count; a copy that comes later than that may. State is ``n``
+    rows per key and the keys of those seconds. Batches must come in the order of arrival, as a message queue's do.
     """
     readings = readings_only(good_readings(parse_readings(messages)))
+    newest_first = [F.col(c).desc_nulls_first() for c, _ in ARRIVAL]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = latency(batch).withColumn("fresh", F.lit(True))
+        rows = latency(distinct_readings(batch))
+        rows = rows.withColumn("__reading", reading_key(rows))
+        seen = _table(spark, f"{out}/seen/{BATCH}={batch_id - 1}")
+        if seen is not None:
+            known = seen.select(F.col("device_id").alias("__device"), F.col("__reading").alias("__known"))
+            same = F.col("device_id").eqNullSafe(F.col("__device")) & (F.col("__reading") == F.col("__known"))
+            rows = rows.join(known, same, "left_anti")
+        rows = rows.withColumn("fresh", F.lit(True))
         before = _table(spark, f"{out}/last/{BATCH}={batch_id - 1}")
         if before is not None:
-            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
+            rows = rows.unionByName(before.withColumns({"fresh": F.lit(False), "__reading": F.lit(None).cast("string")}))
         rows.persist()
-        means = rolling_mean(rows, [], ARRIVAL, "latency", "avg_latency", n=n)
+        readings_of = rows.drop("__reading")
+        means = rolling_mean(readings_of, keys, ARRIVAL, "latency", "avg_latency", n=n)
         means.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
-        newest = rows.drop("fresh").orderBy(*[F.col(c).desc_nulls_first() for c, _ in ARRIVAL]).limit(n)
-        newest.write.mode("overwrite").parquet(f"{out}/last/{BATCH}={batch_id}")
-        _delete(spark, f"{out}/last/{BATCH}={batch_id - 2}")
+        if keys:
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
+            newest = readings_of.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")
+        else:
+            newest = readings_of.orderBy(*newest_first).limit(n)
+        newest.drop("fresh").write.mode("overwrite").parquet(f"{out}/last/{BATCH}={batch_id}")
+        came = rows.filter("fresh").select("device_id", "__reading", "arrival_ts")
+        came = came if seen is None else came.unionByName(seen)
+        limit = F.col("__newest") - F.make_dt_interval(secs=F.lit(copies_within))
+        came.withColumn("__newest", came.agg(F.max("arrival_ts")).scalar()).filter(
+            F.col("__newest").isNull() | (F.col("arrival_ts") >= limit)
+        ).drop("__newest").write.mode("overwrite").parquet(f"{out}/seen/{BATCH}={batch_id}")
+        for state in ("last", "seen"):
+            _delete(spark, f"{out}/{state}/{BATCH}={batch_id - 2}")
         rows.unpersist()
 
     return _start(readings.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)

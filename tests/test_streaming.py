@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import json
 
@@ -181,8 +182,6 @@ def test_a_repeated_batch_replaces_its_rows(spark):
 
 def test_rolling_latency_goes_on_across_batches(spark, tmp_path):
     """Four batches in order of arrival, a mean over seven readings: the result of one window."""
-    import os
-
     from pyspark.sql import Window as W
 
     root, folder = new_path(spark, "latency"), tmp_path / "feed"
@@ -199,3 +198,37 @@ def test_rolling_latency_goes_on_across_batches(spark, tmp_path):
     same(got, rows.select("seq", F.round(F.avg("latency").over(frame), 9).alias("m")))
     assert [r.seq for r in sinks.last_readings(spark, f"{root}/out").orderBy("arrival_ts", "seq").collect()][-1] == 35
     assert sinks.last_readings(spark, f"{root}/out").count() == 7
+
+
+def test_latency_counts_a_reading_once_per_device(spark, tmp_path):
+    """Copies in the same batch, in a later one and with other times between; the mean is per device."""
+    folder, root = tmp_path / "in", tmp_path / "state"
+    folder.mkdir()
+    batches = [
+        [("a", 1, 0, 2.0), ("b", 1, 0, 5.0), ("a", 1, 0, 3.0)],
+        [("a", 2, 1, 7.0), ("a", 1, 0, 7.5), ("b", 1, 0, 7.7)],
+        [("a", 1, 0, 9.0), ("b", 2, 4, 10.0), ("a", 3, 8, 11.0)],
+    ]
+    for i, rows in enumerate(batches):
+        path = folder / f"{i}.json"
+        path.write_text("\n".join(json.dumps(message(d, seq, ts, 1.0, arrival=at)) for d, seq, ts, at in rows))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = read_sensor_stream(spark, str(folder), ["sensors/temperature"], files_per_batch=1)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint", n=2, keys=["device_id"]).awaitTermination()
+    got = {(r.device_id, r.seq): round(r.avg_latency, 9) for r in sinks.latencies(spark, f"{root}/out").collect()}
+    assert got == {("a", 1): 2.0, ("a", 2): 4.0, ("a", 3): 4.5, ("b", 1): 5.0, ("b", 2): 5.5}
+    assert sinks.latencies(spark, f"{root}/out").count() == 5 and sinks.last_readings(spark, f"{root}/out").count() == 4
+
+
+def test_latency_forgets_old_copies(spark, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "state"
+    folder.mkdir()
+    for i, at in enumerate((0.5, 50.0, 100.0)):
+        path = folder / f"{i}.json"
+        path.write_text("\n".join(json.dumps(message("a", seq, 0, 1.0, arrival=at)) for seq in (1, 10 + i)))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = read_sensor_stream(spark, str(folder), ["sensors/temperature"], files_per_batch=1)
+    sinks.start_latency(stream, f"{root}/out", f"{root}/checkpoint", copies_within=60).awaitTermination()
+    seen = spark.read.parquet(f"{root}/out/seen").filter("batch_id = 2")
+    assert sorted(r["__reading"] for r in seen.collect()) == ["#11", "#12"]
+    assert sorted(r.seq for r in sinks.latencies(spark, f"{root}/out").collect()) == [1, 10, 11, 12]
