@@ -8,8 +8,8 @@ constants of the plan and every task, and every retry of a task, sees the same o
 
 Quantiles are doubles, which cannot tell all integers and decimals apart. A border is therefore
 turned into a value of the column's own type, and rows are compared with that one: the chunk of a
-border holds this value and no other. Text is placed by the number that its first six bytes make;
-as many texts share such a number, text has no chunks of a single value.
+border holds this value and no other. Borders of text are texts of a bounded sample of the rows, found by
+binary search; they may be cut short, as any text is a border.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ Order = Sequence[tuple[str, str]]
 
 #: Rows of a chunk, about, where that needs more chunks than the session has shuffle partitions.
 CHUNK_ROWS = 4_000_000
+#: Texts looked at for borders, and characters of each.
+SAMPLE_TEXTS = 20_000
+BORDER_LENGTH = 256
 
 
 def default_parts(df: DataFrame) -> int:
@@ -39,7 +42,7 @@ def default_parts(df: DataFrame) -> int:
 
 
 def position_on_line(df: DataFrame, column: str) -> Column | None:
-    """The column as a number that keeps its order exactly, or None where there is none."""
+    """The column as a number, or text, that keeps its order exactly, or None where there is none."""
     data_type = df.schema[column].dataType
     c = F.col(column)
     if isinstance(data_type, T.FloatType):
@@ -55,8 +58,7 @@ def position_on_line(df: DataFrame, column: str) -> Column | None:
     if isinstance(data_type, T.DateType):
         return F.unix_date(c).cast("bigint")
     if isinstance(data_type, T.StringType):
-        first_bytes = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(first_bytes, 16, 10).cast("bigint")
+        return c
     return None
 
 
@@ -72,34 +74,62 @@ def _own_value(border: float, kind: T.DataType) -> Column:
     return F.lit(border)
 
 
-def borders(df: DataFrame, lines: dict[str, Column], parts: int) -> dict[str, list[float]]:
-    """Approximate quantiles of each expression, at most ``parts - 1`` numbers per column.
+def borders(df: DataFrame, lines: dict[str, Column], parts: int) -> dict[str, list[float] | list[str]]:
+    """Approximate quantiles of each column's line, at most ``parts - 1`` values per column.
 
-    This is the one small job that runs when the plan is built.
+    These are the small jobs that run when the plan is built.
     """
     probabilities = [i / parts for i in range(1, parts)]
     if not probabilities or not lines:
         return {name: [] for name in lines}
-    found = df.select(*[c.cast("double").alias(name) for name, c in lines.items()]).approxQuantile(
-        list(lines), probabilities, 1 / (4 * parts)
-    )
-    return {
-        name: sorted({v for v in values if math.isfinite(v)})
-        for name, values in zip(lines, found, strict=True)
-    }
+    texts = [name for name in lines if isinstance(df.schema[name].dataType, T.StringType)]
+    numbers = {name: c.cast("double") for name, c in lines.items() if name not in texts}
+    out: dict[str, list[float] | list[str]] = {name: _text_borders(df, name, parts) for name in texts}
+    if numbers:
+        found = df.select(*[c.alias(name) for name, c in numbers.items()]).approxQuantile(list(numbers), probabilities, 1 / (4 * parts))
+        out |= {name: sorted({v for v in values if math.isfinite(v)}) for name, values in zip(numbers, found, strict=True)}
+    return out
+
+
+def _text_borders(df: DataFrame, name: str, parts: int) -> list[str]:
+    """Quantiles of a random sample of at most ``SAMPLE_TEXTS`` rows, in the order of their bytes."""
+    rows = df.where(F.col(name).isNotNull()).select(F.substring(name, 1, BORDER_LENGTH).alias("text"))
+    sample = sorted((r["text"] for r in rows.orderBy(F.rand(parts)).limit(min(SAMPLE_TEXTS, 100 * parts)).collect()), key=str.encode)
+    return sorted({sample[i * len(sample) // parts] for i in range(1, parts)}, key=str.encode) if sample else []
+
+
+def _borders_upto(text: Column, cuts: Sequence[str]) -> Column:
+    """How many of the sorted ``cuts`` are not above the text."""
+    every = F.array(*map(F.lit, cuts))
 
+    def step(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        higher = F.struct((middle + 1).alias("low"), at["high"].alias("high"))
+        lower = F.struct(at["low"].alias("low"), middle.alias("high"))
+        return F.when(at["low"] >= at["high"], at).when(F.get(every, middle) <= text, higher).otherwise(lower)
 
-def add_chunk(df: DataFrame, line: Column, cuts: Sequence[float], out: str) -> DataFrame:
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, begin, step, lambda at: at["low"])
+
+
+def add_chunk(df: DataFrame, line: Column, cuts: Sequence[float] | Sequence[str], out: str) -> DataFrame:
     """Number the chunks in the order of ``line``; NULL gives NULL, NaN the last chunk.
 
     Every border is a chunk of its own (an odd number), so that a value with very many copies
     is never mixed with other values; the open intervals between borders are the even numbers.
     """
     own, raw, below = "__own", "__line", "__below"
-    df = df.withColumn(own, line).withColumn(raw, F.col(own).cast("double"))
-    kind = df.schema[own].dataType
+    df = df.withColumn(own, line)
     if not cuts:
-        return df.withColumn(out, F.when(F.col(raw).isNotNull(), F.lit(0))).drop(own, raw)
+        return df.withColumn(out, F.when(F.col(own).isNotNull(), F.lit(0))).drop(own)
+    if isinstance(cuts[0], str):
+        df = df.withColumn(below, F.when(F.col(own).isNotNull(), _borders_upto(F.col(own), cuts)))
+        n = F.col(below)
+        at_border = F.coalesce(F.get(F.array(*map(F.lit, cuts)), n - 1) == F.col(own), F.lit(False))
+        return df.withColumn(out, 2 * n - at_border.cast("int")).drop(own, below)
+    df = df.withColumn(raw, F.col(own).cast("double"))
+    kind = df.schema[own].dataType
     splits = [-math.inf, *cuts, math.inf]
     stage = Bucketizer(splits=splits, inputCol=raw, outputCol=below, handleInvalid="keep")
     n = F.col(below).cast("int")
@@ -132,8 +162,7 @@ def add_order_chunks(
     if lines[name] is None:
         return df.withColumns({first: F.lit(0), second: F.lit(0)})
     df = add_chunk(df, lines[name], cuts[name], first)
-    is_text = isinstance(df.schema[name].dataType, T.StringType)
-    single = F.col(first).isNull() | (F.lit(not is_text) & (F.col(first) % 2 == 1))
+    single = F.col(first).isNull() | (F.col(first) % 2 == 1)
     if len(used) > 1 and lines[used[1][0]] is not None:
         name2, way2 = used[1]
         df = add_chunk(df, lines[name2], cuts[name2], second)

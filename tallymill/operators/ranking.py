@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymill.operators.chunking import (
     Order,
@@ -18,6 +17,7 @@ from tallymill.operators.chunking import (
     sort_columns,
 )
 from tallymill.operators.joins import join_null_safe
+from tallymill.session import write_once
 
 
 def rank_columns(df: DataFrame, keys: Sequence[str], ranks: dict[str, tuple[Column, Sequence[Column]]]) -> DataFrame:
@@ -71,25 +71,42 @@ def _percent(ahead: Column, size: Column, digits: int | None) -> Column:
     return share if digits is None else F.round(share, digits)
 
 
+#: Rows of a group that one task numbers without more ado.
+SMALL_GROUP = 100_000
+
+
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Order, out: str = "rn", parts: int | None = None
 ) -> DataFrame:
     """ROW_NUMBER for every row of every group, NULLs last, where a group may be any size.
 
-    ``order`` is [(column, "asc" or "desc"), …] and should end in a unique column. Each group is
-    cut along the order into chunks; a row's number is its place in the chunk plus the rows in
-    earlier chunks, which come from a pre-aggregated count per chunk.
+    ``order`` is [(column, "asc" or "desc"), …] and should end in a unique column. A group of more
+    than ``SMALL_GROUP`` rows (any group, if ``parts`` is given) is cut along the order into chunks; a row's
+    number is its place in the chunk plus the rows in earlier chunks. These come from pre-aggregated counts,
+    added up in two levels, so that no window over counts is longer than the borders of one column.
     """
     chunk = ["__c1", "__c2"]
+    large = None
+    if parts is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > SMALL_GROUP)
+        large = write_once(sizes.withColumn("__large", F.lit(True)).drop("__size"), "large-groups")
+        if large.isEmpty():
+            number = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order)))
+            return df.withColumn(out, number.cast("bigint"))
     cut = add_order_chunks(df, order, chunk, parts)
+    if keys and large is not None:
+        cut = join_null_safe(cut, large, keys, "left")
+        cut = cut.withColumns({c: F.when(F.col("__large"), F.col(c)).otherwise(0) for c in chunk}).drop("__large")
     ids = [*keys, *chunk]
-    earlier = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    headers = (
-        cut.groupBy(*ids)
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
-        .drop("__size")
-    )
+    before = (Window.unboundedPreceding, -1)
+    headers = cut.groupBy(*ids).agg(F.count(F.lit(1)).alias("__size"))
+    inside = Window.partitionBy(*keys, chunk[0]).orderBy(chunk[1]).rowsBetween(*before)
+    earlier = Window.partitionBy(*keys).orderBy(chunk[0]).rowsBetween(*before)
+    outer = headers.groupBy(*keys, chunk[0]).agg(F.sum("__size").alias("__size"))
+    outer = outer.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    headers = join_null_safe(headers, outer, [*keys, chunk[0]])
+    headers = headers.withColumn("__offset", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    headers = headers.drop("__size", "__before")
     # The offset travels as the first row of its chunk: one shuffle, no join, NULL keys included.
     rows = cut.withColumn("__offset", F.lit(None).cast("bigint"))
     within = Window.partitionBy(*ids).orderBy(F.col("__offset").asc_nulls_last(), *sort_columns(order))
@@ -137,12 +154,11 @@ def percent_rank_global(
     line = position_on_line(df, column)
     if line is None:
         raise ValueError(f"percent_rank_global can't order {column}")
-    is_text = isinstance(df.schema[column].dataType, T.StringType)
     cuts = borders(df, {column: line}, parts)[column]
     nan_chunk, null_chunk = 2 * len(cuts) + 2, 2 * len(cuts) + 3
 
     cut = add_chunk(df, line, cuts, "__c")
-    one_value = F.col("__c").isNull() | (F.lit(not is_text) & ((F.col("__c") % 2 == 1) | (F.col("__c") == nan_chunk)))
+    one_value = F.col("__c").isNull() | (F.col("__c") % 2 == 1) | (F.col("__c") == nan_chunk)
     split = F.when(one_value, F.pmod(F.spark_partition_id(), F.lit(parts))).otherwise(0)
     chunk = F.coalesce(-F.col("__c") if desc else F.col("__c"), F.lit(null_chunk))
     cut = cut.withColumns({"__split": split, "__chunk": chunk}).drop("__c")

@@ -64,7 +64,7 @@ def test_expiry_reduces_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", ["rows", "percent"])
 def test_ranks_over_all_rows_never_use_one_partition(lineitem, name):
     if name == "rows":
-        df = ranking.row_numbers(lineitem, ["l_returnflag"], [("l_extendedprice", "desc"), ("l_orderkey", "asc")])
+        df = ranking.row_numbers(lineitem, ["l_returnflag"], [("l_extendedprice", "desc"), ("l_orderkey", "asc")], parts=20)
         text = physical(df)
         assert "SinglePartition" not in text
         assert re.search(r"Exchange hashpartitioning\(l_returnflag#\d+, __c1#\d+, __c2#\d+", text)

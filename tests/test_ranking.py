@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -115,6 +116,37 @@ def test_a_hot_group_ordered_by_text_is_cut(spark):
     assert cut.groupBy("k", "c1", "c2").count().agg(F.max("count")).first()[0] < 3000 / 8
 
 
+def test_texts_that_begin_alike_are_cut(spark):
+    """Borders are whole texts, and a text with many copies is divided by the second column."""
+    from tallymill.operators.chunking import add_order_chunks
+
+    name = F.when(F.col("id") % 3 == 0, F.lit("Customer#000000777")).otherwise(F.format_string("Customer#%09d", "id"))
+    df = spark.range(6000).select(name.alias("name"), "id").union(spark.createDataFrame([(None, -1), ("é" * 300, -2)], "name string, id bigint"))
+    cut = add_order_chunks(df, [("name", "asc"), ("id", "asc")], ["c1", "c2"], parts=20)
+    sizes = cut.groupBy("c1", "c2").count()
+    assert sizes.agg(F.max("count")).first()[0] < 2 * 6000 / 20
+    got = ranking.row_numbers(df, [], [("name", "asc"), ("id", "asc")], parts=20)
+    same_rows(got, df.withColumn("rn", F.row_number().over(W.orderBy(F.col("name").asc_nulls_last(), "id")).cast("bigint")))
+    got = ranking.percent_rank_global(df, "name", desc=False, out="p", parts=20)
+    same_rows(got, df.withColumn("p", F.percent_rank().over(W.orderBy(F.col("name").asc_nulls_last()))))
+
+
+@pytest.mark.parametrize("small", [0, 500, 10**6])
+def test_only_large_groups_are_cut(skewed, monkeypatch, small):
+    monkeypatch.setattr(ranking, "SMALL_GROUP", small)
+    for keys in (["k"], ["k", "t"], []):
+        got = ranking.row_numbers(skewed, keys, [("s", "desc"), ("id", "asc")])
+        order = [F.col("s").desc_nulls_last(), F.col("id")]
+        same_rows(got, skewed.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")))
+
+
+def test_windows_over_counts_stay_short(skewed):
+    """No window without partitions but that over the first column's chunks."""
+    plan = ranking.row_numbers(skewed, [], [("s", "desc"), ("id", "asc")], parts=50)._jdf.queryExecution().optimizedPlan().toString()
+    alone = [x for x in plan.split("\n") if re.search(r"Window \[", x) and len(re.findall(r"\], \[", x)) == 1]
+    assert len(alone) == 1 and re.search(r"\], \[__c1#\d+ ASC NULLS FIRST\]$", alone[0])
+
+
 def test_percent_rank_top(skewed):
     order = F.col("s").desc_nulls_last()
     got = ranking.percent_rank_top(skewed, [order], [F.col("id").asc()], 700, "p")

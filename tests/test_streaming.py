@@ -1,6 +1,6 @@
-import os
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
