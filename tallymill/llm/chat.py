@@ -12,8 +12,8 @@ r"""Chat formatting from an event log, with DataFrame functions only.
 are escaped, and the place of the loss text (assistant messages) in it. The segments of a
 conversation in order are its formatted string; ``conversations_of`` joins them. Escaping is
 reversible: a backslash is doubled, ``<|`` becomes ``<\|``, and a line break in a role is preceded
-by a backslash. So no control string can occur inside a text, and a segment is read back by its
-first line break that no backslash precedes.
+by a backslash. So no control string can occur inside a text. ``read_back`` cuts the strings at their
+control strings, and a turn at its first line break that no backslash precedes.
 
 Everything up to the segments is windows and joins by conversation and message whose rows are
 streamed, so a conversation with a third of all events is sorted, not held. One string or digest per
@@ -27,6 +27,8 @@ other columns are not read; an empty table gives none.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,36 @@ def messages_as_events(df: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
 
 
+def messages_as_log(messages: DataFrame) -> DataFrame:
+    """The log that a client would have written of ``messages_as_events``: by a hash of its place, a
+    message is said at once, in two parts, wrongly and edited, or drafted together with an answer that
+    begins after it, and regenerated."""
+    half = F.length("text") / 2
+    first, rest = F.substring("text", F.lit(1), half.cast("int")), F.expr("substring(text, cast(length(text) / 2 as int) + 1)")
+
+    def event(step: int, kind: str, text: Column, message: Column = F.col("message_id"), role: Column = F.col("role")) -> Column:
+        return F.struct(
+            (F.col("seq") * 4 + step).alias("seq"), F.lit(kind).alias("kind"), message.alias("message_id"), role.alias("role"), text.alias("text")
+        )
+
+    none = F.lit(None).cast("string")
+    way = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("seq").cast("string")).cast("binary")) % 4
+    log = (
+        F.when(way == 0, F.array(event(0, "message", F.col("text"))))
+        .when(way == 1, F.array(event(0, "message", first), event(1, "delta", rest, role=none)))
+        .when(way == 2, F.array(event(0, "message", rest), event(1, "edit", first, role=none), event(2, "delta", rest, role=none)))
+        .otherwise(
+            F.array(
+                event(0, "message", F.concat(F.lit("draft "), first)),
+                event(1, "message", rest, -F.col("message_id"), F.lit("assistant")),
+                event(2, "regenerate", none, role=none),
+                event(3, "delta", F.col("text"), role=none),
+            )
+        )
+    )
+    return messages.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, turn_no (from 1), role, text of the final messages of a log (conv_id, seq, kind, message_id, role, text)."""
     log = events.select(
@@ -111,37 +143,60 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 def conversations_of(segments: DataFrame) -> DataFrame:
     """conv_id, formatted, loss (array of start and end in code points of the formatted string)."""
-    rows = F.array_sort(F.collect_list(F.struct("turn_no", "segment", "loss_start", "loss_end")))
-    joined = segments.groupBy("conv_id").agg(rows.alias("rows"))
-    ends = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("loss")),
-        lambda s, r: F.struct(
-            (s["at"] + F.length(r["segment"])).alias("at"),
-            F.when(r["loss_start"].isNull(), s["loss"])
-            .otherwise(F.concat(s["loss"], F.array(F.struct((s["at"] + r["loss_start"]).alias("start"), (s["at"] + r["loss_end"]).alias("end")))))
-            .alias("loss"),
-        ),
-        lambda s: s["loss"],
+    before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("segment").cast("bigint")).over(before), F.lit(0).cast("bigint"))
+    placed = segments.withColumn("_at", at)
+    span = F.struct((F.col("_at") + F.col("loss_start")).alias("start"), (F.col("_at") + F.col("loss_end")).alias("end"))
+    joined = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn_no", "segment"))).alias("rows"),
+        F.array_sort(F.collect_list(F.when(F.col("loss_start").isNotNull(), span))).alias("loss"),
     )
-    return joined.select("conv_id", F.array_join(F.col("rows.segment"), "").alias("formatted"), ends.alias("loss"))
-
-
-def read_back(segments: DataFrame) -> DataFrame:
-    """conv_id, turn_no, role, text, loss_text: the messages, parsed from the formatted segments alone."""
-    inner = F.expr(f"substring(segment, {len(START) + 1}, length(segment) - {len(START) + len(END) + 1})")
+    return joined.select("conv_id", F.array_join(F.col("rows.segment"), "").alias("formatted"), "loss")
+
+
+def read_back(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn_no, role, text, loss_text (NULL: none), segment_chars: the messages, parsed from the
+    formatted strings and their loss mask alone.
+
+    A string is cut where a turn begins and each turn where it ends; every span of the mask is read
+    in the turn that it begins in. Turns and spans are rows, ordered by their place in the string.
+    """
+    of_conv = Window.partitionBy("conv_id").orderBy("at", "is_span")
+    turns = conversations.select("conv_id", F.posexplode(F.split("formatted", re.escape(START))).alias("place", "body"))
+    length = F.length("body").cast("bigint") + F.when(F.col("place") > 0, len(START)).otherwise(0)
+    ended = F.sum(length).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # what stands before the first turn, nothing in a whole string, is no turn
+    turns = turns.select("conv_id", (ended - length).alias("at"), F.lit(False).alias("is_span"), "place", "body", ended.alias("ended")).where("place > 0")
+    spans = conversations.select("conv_id", F.explode("loss").alias("span")).select(
+        "conv_id", F.col("span.start").alias("at"), F.lit(True).alias("is_span"), F.col("span.end").alias("ended")
+    )
+    rows = turns.unionByName(spans, allowMissingColumns=True)
+    so_far = of_conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.last(F.when(~F.col("is_span"), F.struct("place", "at", "body")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("turn", turn)
+    skipped = F.col("at") - F.col("turn.at") - len(START)
+    said = F.when(F.col("is_span"), F.substring(F.col("turn.body"), (skipped + 1).cast("int"), (F.col("ended") - F.col("at")).cast("int")))
+    parsed = (
+        rows.withColumn("said", F.when(F.col("is_span"), F.struct("at", said.alias("text"))))
+        .groupBy("conv_id", F.col("turn.place").cast("bigint").alias("turn_no"))
+        .agg(
+            F.max("body").alias("body"),
+            F.max(F.when(~F.col("is_span"), F.col("ended") - F.col("at"))).alias("segment_chars"),
+            F.array_sort(F.collect_list("said")).alias("said"),
+        )
+    )
+    inner = F.substring_index("body", END, 1)
     head = F.regexp_extract("inner", r"^((?:[^\\\n]|\\[\s\S])*+)\n", 1)
-    loss = F.when(F.col("loss_start").isNotNull(), F.expr("substring(segment, loss_start + 1, loss_end - loss_start)"))
     return (
-        segments.withColumn("inner", inner)
+        parsed.withColumn("inner", inner)
         .withColumn("head", head)
         .select(
             "conv_id",
             "turn_no",
             unescape(F.col("head")).alias("role"),
             unescape(F.expr("substring(inner, length(head) + 2)")).alias("text"),
-            unescape(loss).alias("loss_text"),
-            F.length("segment").cast("bigint").alias("segment_chars"),
+            F.when(F.size("said") > 0, unescape(F.array_join(F.col("said.text"), ""))).alias("loss_text"),
+            "segment_chars",
         )
     )
 
