@@ -27,7 +27,7 @@ def _increase(later: Column, earlier: Column) -> Column:
     return F.when(later < earlier, later).otherwise(later - earlier)
 
 
-def counter_rate(
+def counter_increase(
     df: DataFrame,
     series: Sequence[str],
     width: str = "5 minutes",
@@ -36,9 +36,10 @@ def counter_rate(
     tie: str | None = None,
     chunk: str | None = None,
 ) -> DataFrame:
-    """Rate per series and window: series columns, window_start, increase, seconds, rate.
+    """What the pairs of a window add up to: series columns, window_start, increase, seconds.
 
-    ``series`` must name all labels: samples that differ in another one would be taken for one
+    These sums are additive: those of parts of the samples, each with the sample before it, or of
+    shorter windows, may be added. ``series`` must name all labels: samples that differ in another one would be taken for one
     counter.
 
     Neighbours inside one time chunk (the window itself, or the shorter ``chunk`` that must
@@ -74,10 +75,48 @@ def counter_rate(
     )
     window_start = F.window("__slot", width).getField("start") if chunk else F.col("__slot")
     total = lambda a, b: F.coalesce(F.sum(a), F.lit(0.0)) + F.coalesce(F.sum(b), F.lit(0.0))
-    rates = linked.groupBy(*series, window_start.alias("window_start")).agg(
+    return linked.groupBy(*series, window_start.alias("window_start")).agg(
         total("__inc", "__link_inc").alias("increase"), total("__sec", "__link_sec").alias("seconds")
     )
-    return rates.filter(F.col("seconds") > 0).withColumn("rate", F.col("increase") / F.col("seconds"))
+
+
+def with_rate(increases: DataFrame) -> DataFrame:
+    """Add the rate; windows without any time between samples have none and go."""
+    return increases.filter(F.col("seconds") > 0).withColumn("rate", F.col("increase") / F.col("seconds"))
+
+
+def counter_rate(
+    df: DataFrame,
+    series: Sequence[str],
+    width: str = "5 minutes",
+    ts: str = "ts",
+    value: str = "value",
+    tie: str | None = None,
+    chunk: str | None = None,
+) -> DataFrame:
+    """Rate per series and window: series columns, window_start, increase, seconds, rate."""
+    return with_rate(counter_increase(df, series, width, ts, value, tie, chunk))
+
+
+def counter_rate_sliding(
+    df: DataFrame,
+    series: Sequence[str],
+    width: str = "5 minutes",
+    step: str = "1 minute",
+    ts: str = "ts",
+    value: str = "value",
+    tie: str | None = None,
+) -> DataFrame:
+    """``counter_rate`` over windows of ``width`` that begin every ``step``.
+
+    Samples are reduced once, to panes one step long; a window is the sum of its panes. So what is
+    repeated for overlapping windows is a pane, never a sample.
+    """
+    if _seconds(width) % _seconds(step):
+        raise ValueError(f"{step} does not divide {width}")
+    panes = counter_increase(df, series, step, ts, value, tie)
+    windows = panes.withColumn("__w", F.window("window_start", width, step)).groupBy(*series, F.col("__w.start").alias("window_start"))
+    return with_rate(windows.agg(F.sum("increase").alias("increase"), F.sum("seconds").alias("seconds")))
 
 
 def cpu_busy(

@@ -269,6 +269,55 @@ def recent(df: DataFrame, order: Sequence[Column], n: int = 100, columns: Sequen
     return last.select(*columns) if columns else last
 
 
+#: Candidates of ``newest_distinct`` whose copies are looked up; beyond it all rows are de-duplicated.
+MOST_CANDIDATES = 100_000
+
+
+def newest_distinct(df: DataFrame, n: int, arrival: str = "arrival_ts", tie: str = "seq") -> DataFrame:
+    """The ``n`` readings of ``distinct_readings`` that arrived last (then by ``tie``), in no order.
+
+    The messages that came last are candidates; only their readings are looked up in the history, by
+    a broadcast of at most ``MOST_CANDIDATES`` keys, to see which of them came for the first time.
+    Readings that came first before all candidates can't be among the last, so the result
+    is settled as soon as ``n`` first arrivals lie above the oldest candidate; until then there are
+    four times as many candidates. The history is read, not shuffled.
+    """
+    keyed = df.withColumn("__reading", reading_key(df))
+    order = [F.col(arrival).desc_nulls_last(), F.col(tie).desc_nulls_last()]
+    wanted = 2 * n
+    while wanted <= MOST_CANDIDATES:
+        candidates = keyed.orderBy(*order).limit(wanted)
+        count, oldest, times = candidates.agg(
+            F.count(F.lit(1)), F.min(arrival), F.count(arrival)
+        ).first()
+        ids = F.broadcast(candidates.select(F.col("device_id").alias("__device"), F.col("__reading").alias("__known")).distinct())
+        same = F.col("device_id").eqNullSafe(F.col("__device")) & F.col("__reading").eqNullSafe(F.col("__known"))
+        firsts = distinct_readings(keyed.join(ids, same, "left_semi").drop("__reading"))
+        if count < wanted:  # every row is a candidate
+            return firsts.orderBy(*order).limit(n)
+        if times == count:
+            firsts = firsts.filter(F.col(arrival) > F.lit(oldest))
+            if firsts.limit(n).count() == n:
+                return firsts.orderBy(*order).limit(n)
+        wanted *= 4
+    return distinct_readings(df).orderBy(*order).limit(n)
+
+
+def sessions(df: DataFrame, ttl: str = "1 hour", metrics: Sequence[str] = METRICS, time: str = "ts") -> DataFrame:
+    """Per device the stretches of readings without a gap of ``ttl`` or more: first_seen, last_seen,
+    readings and the last value of each metric. *stream* (append mode, with a watermark on ``time``)"""
+    positioned = df.withColumn("__at", event_order())
+    # a session window takes in what comes exactly at its end, which is expired
+    gap = F.session_window(time, f"{ttl} -1 microseconds")
+    found = positioned.groupBy("device_id", gap.alias("__s")).agg(
+        F.min("ts").alias("first_seen"),
+        F.max("ts").alias("last_seen"),
+        F.count(F.lit(1)).alias("readings"),
+        *[_latest_of(m, "__at").alias(m) for m in metrics],
+    )
+    return found.drop("__s")
+
+
 def device_status(df: DataFrame, order: Column | str = "arrival_ts") -> DataFrame:
     """Status per device of the message that is last in ``order``, of equal ones the greatest.
     *stream* (update mode)"""

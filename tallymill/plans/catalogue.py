@@ -29,13 +29,14 @@ from tallymill.sources import (
     read_csv_split,
     read_first,
     read_lines,
+    read_sample_stream,
     read_sensor_stream,
     read_table,
     spread,
     stand_ins,
     write_csv,
 )
-from tallymill.streaming import jobs, sinks
+from tallymill.streaming import exact, jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,7 +90,7 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_multiline_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "documents").select("doc_id", "lang", "text")
+    rows = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     path = new_path(spark, "documents-csv")
     write_csv(rows, path, multiline=True, rows_per_file=50_000)
     return read_csv(spark, path, rows.schema, multiline=True)
@@ -245,12 +246,17 @@ def _last_first() -> list:
     return [F.col("arrival_ts").desc_nulls_last(), F.col("seq").desc_nulls_last()]
 
 
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.topic_filter(stand_ins.readings(spark, folder), [TOPIC_TEMPERATURE, TOPIC_HUMIDITY])
+
+
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.latency_summary(_measured(spark, folder), _last_first())
+    last = telemetry.latency(telemetry.newest_distinct(_numbered(spark, folder), 500))
+    return telemetry.latency_summary(last, _last_first())
 
 
 def recent_readings(spark: SparkSession, folder: str) -> DataFrame:
-    last = telemetry.recent(_measured(spark, folder), _last_first())
+    last = telemetry.recent(telemetry.latency(telemetry.newest_distinct(_numbered(spark, folder), 100)), _last_first())
     return last.select(
         F.col("device_id").alias("device"),
         "topic",
@@ -286,10 +292,8 @@ def windowed_readings(spark: SparkSession, folder: str) -> DataFrame:
     return _round(windows, {"avg_temperature": 6, "avg_humidity": 6})
 
 
-# Streams. The messages are written as a feed of files and read back in two batches, in an
-# order that has nothing to do with event time; the watermark is wide enough to keep them all.
-
-_KEEP_ALL = "4000 days"
+# Streams. The messages are written as a feed of files and read back in two batches or more: in any
+# order where the job has no watermark, in order of arrival where it has one.
 
 
 def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str, str]:
@@ -308,24 +312,61 @@ def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_unexpired(spark: SparkSession, folder: str) -> DataFrame:
-    feed, out, checkpoint = _feed(spark, folder)
-    jobs.start_slots(feed, out, checkpoint, "1 day", _KEEP_ALL).awaitTermination()
+    feed, root = _in_order_of_arrival(spark, folder)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+    jobs.start_slots(feed, out, checkpoint, "1 day").awaitTermination()
     now = sinks.current_rows(spark, out, ["device_id", "slot_start"]).agg(F.max("last_seen")).scalar()
     return jobs.unexpired(spark, out, now, "1 day")
 
 
 def stream_history(spark: SparkSession, folder: str) -> DataFrame:
-    feed, out, checkpoint = _feed(spark, folder)
-    jobs.start_history(feed, out, checkpoint, _KEEP_ALL).awaitTermination()
+    feed, root = _in_order_of_arrival(spark, folder)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+    jobs.start_history(feed, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("device_id", "seq", "ts", "temperature", "humidity")
 
 
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
-    feed, out, checkpoint = _feed(spark, folder)
-    jobs.start_windows(feed, out, checkpoint, "5 minutes", _KEEP_ALL).awaitTermination()
+    feed, root = _in_order_of_arrival(spark, folder)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+    jobs.start_windows(feed, out, checkpoint, "5 minutes").awaitTermination()
     return _round(jobs.windows(spark, out), {"avg_temperature": 6, "avg_humidity": 6})
 
 
+def _redelivered(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """Three batches: the later half of the time, the earlier half, and every fifth message again."""
+    root = new_path(spark, "feed")
+    files = max(spark.sparkContext.defaultParallelism, 2)
+    rows = stand_ins.messages(spark, folder)
+    first, last = rows.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    again = F.crc32(F.col("value").cast("binary")) % 5 == 0
+    for part, wanted in enumerate((F.col("arrival_ts") >= middle, F.col("arrival_ts") < middle, again)):
+        writer = rows.where(wanted).repartition(files).write.mode("append")
+        writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/in")
+        time.sleep(0.05)  # files are read in the order of their times
+    return read_sensor_stream(spark, f"{root}/in", TOPICS, files), root
+
+
+def stream_history_exact(spark: SparkSession, folder: str) -> DataFrame:
+    stream, root = _redelivered(spark, folder)
+    exact.start_readings(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return exact.history(spark, f"{root}/out").select("device_id", "seq", "ts", "temperature", "humidity")
+
+
+def stream_windows_exact(spark: SparkSession, folder: str) -> DataFrame:
+    stream, root = _redelivered(spark, folder)
+    exact.start_readings(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return _round(exact.windows(spark, f"{root}/out"), {"avg_temperature": 6, "avg_humidity": 6})
+
+
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions that a watermark of two hours has closed."""
+    stream, root = _in_order_of_arrival(spark, folder)
+    jobs.start_sessions(stream, f"{root}/out", f"{root}/checkpoint", "1 day", "2 hours").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 def stream_status(spark: SparkSession, folder: str) -> DataFrame:
     feed, out, checkpoint = _feed(spark, folder)
     jobs.start_status(feed, out, checkpoint).awaitTermination()
@@ -410,6 +451,29 @@ def counter_rates(width: str, chunk: str | None = None) -> Query:
     return query
 
 
+def counter_rate_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    rates = metrics.counter_rate_sliding(_metric(spark, folder, "net_tx"), stand_ins.METRIC_LABELS, tie="event_id")
+    return _round(rates, {"seconds": 6, "rate": 9})
+
+
+def stream_counter_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """The samples in three batches by time."""
+    root = new_path(spark, "feed")
+    files = max(spark.sparkContext.defaultParallelism, 2)
+    rows = stand_ins.metrics(spark, folder)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    part = F.when(F.col("ts") < F.lit(first + third), 0).when(F.col("ts") < F.lit(first + 2 * third), 1).otherwise(2)
+    for number in range(3):
+        rows.where(part == number).repartition(files).write.mode("append").parquet(f"{root}/in")
+        time.sleep(0.05)
+    stream = read_sample_stream(spark, f"{root}/in", rows.schema, files)
+    exact.start_counter_rates(
+        stream, f"{root}/out", f"{root}/checkpoint", stand_ins.METRIC_LABELS, "1 day", F.col("metric") == "net_tx", "event_id", "1 hour"
+    ).awaitTermination()
+    return _round(exact.counter_rates(spark, f"{root}/out", stand_ins.METRIC_LABELS), {"seconds": 6, "rate": 9})
+
+
 def cpu_busy(spark: SparkSession, folder: str) -> DataFrame:
     busy = metrics.cpu_busy(
         _metric(spark, folder, "cpu_seconds"), stand_ins.METRIC_LABELS, ["instance"], "1 day", tie="event_id", chunk="2 hours"
@@ -476,6 +540,7 @@ NULLABLE_INTEGERS = {
     "global_percent_rank": ["year"],
     "sensor_parse": ["seq"],
     "stream_late": ["seq"],
+    "stream_history_exact": ["seq"],
     "stream_latency": ["seq"],
     "stream_latency_by_device": ["seq"],
 }
@@ -525,7 +590,7 @@ def _queries() -> dict[str, Query]:
             lambda df: cleaning.fill_const(df, {"title": UNKNOWN_TITLE, "genres": UNKNOWN, "year": 0})
         ),
         "fill_mean": _on_messy(lambda df: _scores(cleaning.fill_mean(df, "rating_score"))),
-        "dedupe_rows": _on_table("documents", lambda df: cleaning.dedupe_rows(df.select("text"))),
+        "dedupe_rows": _on_table("documents", lambda df: cleaning.dedupe_rows(df.drop("doc_id"))),
         "dedupe_key": _on_table("lineitem", dedupe_lines),
         "filter_range": _on_messy(lambda df: cleaning.filter_range(df, "rating_score", 1.0, 10.0)),
         "filter_min_or_sentinel": _on_messy(
@@ -647,7 +712,10 @@ def _queries() -> dict[str, Query]:
         "stream_latest": stream_latest,
         "stream_unexpired": stream_unexpired,
         "stream_history": stream_history,
+        "stream_history_exact": stream_history_exact,
         "stream_windows": stream_windows,
+        "stream_windows_exact": stream_windows_exact,
+        "stream_sessions": stream_sessions,
         "stream_status": stream_status,
         "stream_rejects": stream_rejects,
         "stream_late": stream_late,
@@ -657,6 +725,8 @@ def _queries() -> dict[str, Query]:
         # metrics
         "counter_rate": counter_rates("1 day", "1 hour"),
         "counter_rate_5_minutes": counter_rates("5 minutes"),
+        "counter_rate_sliding": counter_rate_sliding,
+        "stream_counter_rate": stream_counter_rate,
         "cpu_busy": cpu_busy,
         "gauge_sum_by": gauge_sum_by,
         "rate_sum_by": rate_sum_by,

@@ -62,7 +62,7 @@ def clean(spark: SparkSession, paths: Sequence[str], out: str, steps: str = "clu
     may be text that cannot be split, is read once; all else reads what was stored of it.
     """
     raw = write_once(read_titles(spark, paths), "raw")
-    cleaned = pipelines.run(raw, STEPS[steps])
+    cleaned, audit = pipelines.run_audited(raw, STEPS[steps])
     if out.rstrip("/").endswith(".parquet"):
         cleaned.write.mode("overwrite").parquet(out)
         written = spark.read.schema(cleaned.schema).parquet(out)
@@ -72,7 +72,7 @@ def clean(spark: SparkSession, paths: Sequence[str], out: str, steps: str = "clu
     return {
         "missing": missing_counts(raw),
         "missing_percent": missing_rates(raw),
-        "audit": pipelines.clean_audit(raw, STEPS[steps]),
+        "audit": audit,
         "summary": describe_long(written, ["rating_score", "rating_count", "year", "collect_count"]),
     }
 

@@ -309,7 +309,7 @@ def _oracle_sql() -> dict[str, str]:
     return {
         # sources and sinks
         "csv_roundtrip": f"WITH {TITLES} SELECT * REPLACE (CASE WHEN movie_id % 70 = 0 THEN '' ELSE genres END AS genres) FROM titles",
-        "csv_multiline_roundtrip": "SELECT doc_id, lang, text FROM documents",
+        "csv_multiline_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "csv_multiline_split": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "source_fallback": "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY 1",
         "synth_group": "WITH synth AS (SELECT o_orderkey AS id, "
@@ -344,7 +344,7 @@ FROM marked JOIN means USING (genre) WHERE rating_score IS NOT NULL""",
         f"coalesce(genres, '{UNKNOWN}') AS genres, coalesce(year, 0) AS year) FROM messy",
         "fill_mean": f"WITH {MESSY} SELECT * REPLACE (round(coalesce(rating_score, "
         "(SELECT avg(rating_score) FROM messy)), 9) AS rating_score) FROM messy",
-        "dedupe_rows": "SELECT DISTINCT text FROM documents",
+        "dedupe_rows": "SELECT DISTINCT text, lang, source, n_chars FROM documents",
         "dedupe_key": "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, "
         "l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
         "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem) WHERE rn = 1",
@@ -562,6 +562,22 @@ SELECT count(*) AS samples, round(avg(ms), 1) AS avg_ms, round(max(ms), 1) AS ma
         "stream_unexpired": _unexpired("1 day", STREAMED),
         "stream_history": f"WITH {STREAMED} SELECT DISTINCT device_id, seq, ts, temperature, humidity "
         "FROM readings WHERE temperature IS NOT NULL",
+        "stream_history_exact": f"WITH {STREAMED} SELECT DISTINCT device_id, seq, ts, temperature, humidity "
+        "FROM readings WHERE temperature IS NOT NULL",
+        "stream_windows_exact": f"""WITH {STREAMED},
+once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings)
+{WINDOWS.format("once")}""",
+        "stream_sessions": f"""WITH {STREAMED},
+once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings),
+gaps AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL '1 day', true) AS gap
+  FROM once WINDOW w AS (PARTITION BY device_id ORDER BY ts)),
+numbered AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM gaps)
+SELECT device_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS readings,
+  (array_agg(temperature ORDER BY ts DESC, seq DESC) FILTER (WHERE temperature IS NOT NULL))[1] AS temperature,
+  (array_agg(humidity ORDER BY ts DESC, seq DESC) FILTER (WHERE humidity IS NOT NULL))[1] AS humidity
+FROM numbered GROUP BY device_id, session
+HAVING max(ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM readings) - INTERVAL '2 hours'""",
         "stream_windows": f"""WITH {STREAMED},
 once AS (SELECT DISTINCT device_id, seq, ts, temperature, humidity FROM readings)
 {WINDOWS.format("once")}""",
@@ -597,6 +613,18 @@ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, seq
         "counter_rate_5_minutes": "WITH "
         + _rates("metric = 'net_tx'", "time_bucket(INTERVAL '5 minutes', ts)")
         + RATE_COLUMNS,
+        "counter_rate_sliding": f"""WITH {METRICS},
+pairs AS (
+  SELECT *, lag(value) OVER w AS previous, lag(ts) OVER w AS previous_ts
+  FROM samples WHERE metric = 'net_tx' WINDOW w AS (PARTITION BY {LABELS} ORDER BY ts, event_id)),
+placed AS (
+  SELECT *, time_bucket(INTERVAL '1 minute', ts) - to_minutes(unnest([0, 1, 2, 3, 4])) AS window_start
+  FROM pairs WHERE previous_ts IS NOT NULL),
+rates AS (
+  SELECT {LABELS}, window_start, sum(CASE WHEN value < previous THEN value ELSE value - previous END) AS increase,
+    sum(epoch_us(ts) - epoch_us(previous_ts)) / 1000000 AS seconds, increase / seconds AS rate
+  FROM placed GROUP BY ALL HAVING sum(epoch_us(ts) - epoch_us(previous_ts)) > 0) {RATE_COLUMNS}""",
+        "stream_counter_rate": f"WITH {_rates("metric = 'net_tx'")} {RATE_COLUMNS}",
         "cpu_busy": f"WITH {_rates("metric = 'cpu_seconds' AND mode = 'idle'")} SELECT instance, window_start, "
         "round(100 - avg(rate) * 100, 6) AS cpu_busy FROM rates GROUP BY ALL",
         "gauge_sum_by": f"""WITH {METRICS},

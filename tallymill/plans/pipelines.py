@@ -76,9 +76,16 @@ def run(df: DataFrame, steps: Sequence[Step], store: bool = True) -> DataFrame:
 
 
 def clean_audit(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Rows before and after every step that can remove some.
+    """Rows before and after every step that can remove some."""
+    return run_audited(df, steps)[1]
 
-    Neighbouring filters are counted together in one pass; only a step that reshapes the table
+
+def run_audited(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, and the rows before and after every step that can remove some.
+
+    Both read the same stored tables, so every step that writes one does so once. Counts are passes
+    over the columns that the filters use; metrics observed while a table is written would be free, but
+    count the rows of a stage again when its output is lost and made anew. Neighbouring filters are counted together in one pass; only a step that reshapes the table
     after a filter, or a de-duplication, starts another pass.
     """
     passes: list[DataFrame] = []
@@ -117,11 +124,12 @@ def clean_audit(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
         counts = counts.unionByName(more)
     # One row per step: the window without a partition is as small as the pipeline is long.
     before = F.lag("rows_after").over(Window.orderBy("position"))
-    return (
+    audit = (
         counts.withColumn("rows_before", before)
         .filter(F.col("position") > 0)
         .select("position", "step", "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("removed"))
     )
+    return base.filter(alive) if filtered else base, audit
 
 
 def _fill(values: Mapping[str, object]) -> Change:

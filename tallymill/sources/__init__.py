@@ -9,7 +9,7 @@ from tallymill.sources.files import (
     spread,
     write_csv,
 )
-from tallymill.sources.streams import MESSAGE_SCHEMA, read_sensor_stream
+from tallymill.sources.streams import MESSAGE_SCHEMA, read_sample_stream, read_sensor_stream
 from tallymill.sources.synthetic import add_synthetic_columns, synth_table
 
 __all__ = [
@@ -20,6 +20,7 @@ __all__ = [
     "read_csv_split",
     "read_first",
     "read_lines",
+    "read_sample_stream",
     "read_sensor_stream",
     "read_table",
     "register_view",

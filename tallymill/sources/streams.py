@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MESSAGE_SCHEMA = "topic string, value string, arrival_ts timestamp_ntz"
 
@@ -19,3 +20,11 @@ def read_sensor_stream(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.json(path)
     return stream.filter(stream.topic.isin(*topics)) if topics else stream
+
+
+def read_sample_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
+    """Metric samples that arrive as Parquet files in a folder."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)

@@ -32,7 +32,12 @@ def start_with_late_rows(
     start: Callable[..., StreamingQuery], messages: DataFrame, out: str, checkpoint: str, delay_seconds: int, **options: object
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Start a job that has a watermark, and beside it the one that stores what the watermark makes
-    it skip, in ``<out>-late``."""
+    it skip, in ``<out>-late``.
+
+    Lateness is judged by batches. Two queries that run on and cut their batches differently may
+    differ on a reading close to the watermark; ``exact.start_readings`` is one query and has no
+    watermark.
+    """
     job = start(messages, out, checkpoint, delay=f"{delay_seconds} seconds", **options)
     late = sinks.start_late_rows(messages, f"{out}-late", f"{checkpoint}-late", delay_seconds, options.get("once", True))
     return job, late
@@ -90,6 +95,15 @@ def windows(spark: SparkSession, out: str) -> DataFrame:
     return sinks.current_rows(spark, out, ["device_id", "window_start"])
 
 
+def start_sessions(
+    messages: DataFrame, out: str, checkpoint: str, ttl: str = "1 hour", delay: str = "10 minutes", once: bool = True
+) -> StreamingQuery:
+    """Store each stretch of a device's readings once no reading within ``ttl`` can follow it any more.
+    State: keys within ``delay`` and the stretches that are still open."""
+    sessions = telemetry.sessions(once_each(readings_stream(messages, delay)), ttl, time="event_time")
+    return sinks.start_append(sessions, out, checkpoint, once=once)
+
+
 def start_status(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Last status per device by arrival. State: one row per device."""
     parsed = telemetry.good_readings(telemetry.parse_readings(messages))
