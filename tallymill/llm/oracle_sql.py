@@ -100,10 +100,15 @@ WITH docs AS (
     SELECT b.rid,
         bool_and(b.x <= v.q50 + 4 * (v.q75 - v.q50)
                 + CASE b.measure WHEN 'symbols' THEN 0.2 WHEN 'dup' THEN 0.4 WHEN 'repeat' THEN 0.25 ELSE 1.0 END
+            AND (b.measure NOT IN ('dup', 'repeat') OR b.x <= 0.9
+                AND b.x <= everything.q50 + 4 * (everything.q75 - everything.q50) + CASE b.measure WHEN 'dup' THEN 0.4 ELSE 0.25 END
+                AND (language.total < 100
+                    OR b.x <= language.q50 + 4 * (language.q75 - language.q50) + CASE b.measure WHEN 'dup' THEN 0.4 ELSE 0.25 END))
             AND (b.measure <> 'word' OR b.x >= v.q50 - 4 * (v.q50 - v.q25) - 1.0)) AS good
     FROM bucketed b
     JOIN valued own ON own.level = 0 AND own.l IS NOT DISTINCT FROM b.lang AND own.s IS NOT DISTINCT FROM b.source AND own.measure = b.measure
     JOIN valued language ON language.level = 1 AND language.l IS NOT DISTINCT FROM b.lang AND language.measure = b.measure
+    JOIN valued everything ON everything.level = 2 AND everything.measure = b.measure
     JOIN valued v ON v.measure = b.measure AND (
         CASE WHEN own.total >= 100 THEN v.level = 0 AND v.l IS NOT DISTINCT FROM b.lang AND v.s IS NOT DISTINCT FROM b.source
              WHEN language.total >= 100 THEN v.level = 1 AND v.l IS NOT DISTINCT FROM b.lang

@@ -8,7 +8,9 @@ of their language, and languages with fewer that of the table.
 
 A document fails a measure if it lies beyond ``median + REACH * (q75 - median) + slack`` of its group, or, for
 word length, as far below. The slack is the least difference that counts, so that a group in which
-nearly every value is equal does not reject its first exception. The thresholds are joined to the
+nearly every value is equal does not reject its first exception. Shares are held to the least of the
+limits of the group, its language and the table, and to ``MOST_SHARE``: a group of which a third is
+junk would otherwise allow everything. The thresholds are joined to the
 rows by ``join_to_groups``, which measures the table before it broadcasts it.
 
 Defined cases: a NULL or empty text has no words and fails the base rule; NULL languages and sources
@@ -44,6 +46,9 @@ MEASURES = {
     "repeat_share": (0.25, False),
     "mean_word": (1.0, True),
 }
+#: Measures of which 1 is all of a text, and what no group's limit exceeds.
+SHARES = ("dup_line_share", "repeat_share")
+MOST_SHARE = 0.9
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -173,7 +178,11 @@ def thresholds(rows: DataFrame) -> DataFrame:
     limits = []
     for name, (slack, low) in MEASURES.items():
         mine = F.col("measure") == name
-        limits.append(F.max(F.when(mine, chosen("q50") + REACH * (chosen("q75") - chosen("q50")) + slack)).alias(f"high_{name}"))
+        high = chosen("q50") + REACH * (chosen("q75") - chosen("q50")) + slack
+        if name in SHARES:
+            of_language, of_table = (F.col(f"q50_{i}") + REACH * (F.col(f"q75_{i}") - F.col(f"q50_{i}")) + slack for i in (1, 2))
+            high = F.least(high, F.when(F.col("n_1") >= LEAST_ROWS, of_language), of_table, F.lit(MOST_SHARE))
+        limits.append(F.max(F.when(mine, high)).alias(f"high_{name}"))
         if low:
             limits.append(F.max(F.when(mine, chosen("q50") - REACH * (chosen("q50") - chosen("q25")) - slack)).alias(f"low_{name}"))
     return both.groupBy(*keys).agg(F.max("n_0").alias("n_rows"), *limits)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.llm import boosting, pii, quality, rules
@@ -173,6 +174,36 @@ def test_rules_on_odd_documents(docs, no_docs):
     assert rules.judge(docs.where("text is null")).where("not base_failed or kept").isEmpty()
 
 
+def test_a_group_of_junk_does_not_keep_its_junk(spark):
+    """A third of one source repeats its lines; alone, its own quartiles would allow all of them."""
+    clean = [" ".join(f"w{i:03}x{j:02}" for j in range(30)) + "\n" + " ".join(f"v{i:03}x{j:02}" for j in range(30)) for i in range(600)]
+    junk = ["\n".join(["buy this now"] * 3 + [f"a{i}x{j} b{i} c{j} d{i}" for j in range(3)] + [f"e{i} f{i}x{j}" for j in range(2)] * 5) for i in range(100)]
+    rows = [(i, t, "en", ("web", "books", "dirty")[i % 3]) for i, t in enumerate(clean)]
+    rows += [(1000 + i, t, "en", "dirty") for i, t in enumerate(junk)]
+    rows += [(2000 + i, t, "en", "mill") for i, t in enumerate(junk[:50])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    counts = rules.write_once(rules.measured(frame), "junk-test")
+    limits = {r.source: r for r in rules.thresholds(counts).collect()}
+    # each limit by itself, from the definition
+    share = rules.measures(counts)["dup_line_share"]
+    values = counts.select("source", share.alias("x")).collect()
+
+    def limit(own):
+        own = sorted(own)
+        low, high = (own[-(-len(own) * k // 4) - 1] for k in (2, 3))
+        return low + rules.REACH * (high - low) + 0.4
+
+    everything = limit([r.x for r in values])
+    for source, found in limits.items():
+        wanted = min(limit([r.x for r in values if r.source == source]), everything, rules.MOST_SHARE)
+        assert found.high_dup_line_share == pytest.approx(wanted, rel=0.02)
+    kept = {r.doc_id for r in rules.judge(frame).where("kept").collect()}
+    assert kept == set(range(600))
+    # a table of nothing else still has a limit below 1
+    only = rules.thresholds(counts.where("source = 'mill'")).first()
+    assert only.high_dup_line_share <= rules.MOST_SHARE
+
+
 def test_rules_keep_clean_documents(spark):
     labels = read(spark, "/root/testdata/sf0.1", "labels")
     rows = llm.op9_quality_rules(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("not base_failed")
