@@ -8,10 +8,17 @@ r"""Personal data: rules, and boosted trees over overlapping candidates.
 3. Boosted trees score each candidate by its format (digits, groups, separators, checks) and its
    context (neighbouring characters, key words, other candidates). They are trained here: candidates
    equal to a base span are positive; others are negative, but for those inside a match that a rule
-   dropped and that the rule would take if they stood alone, which are unknown and left out.
+   dropped and that the rule would take if they stood alone, and those written in a form that no rule
+   knows (a national phone number, an address with an accent, a card with dots), which are unknown and
+   left out, or positive with a key word of their kind before them.
+   What no rule sees can't be learnt from what rules find, so each text with base spans also teaches
+   rewritten, ``REWRITTEN`` times: about half of its addresses, cards and phone numbers in such other
+   forms, or beside a number that the rules swallow them with, positive, and the others as dates,
+   amounts, numbers that fail the check and names without a domain, negative.
 4. A cut-off per kind is calibrated for ``PRECISION`` on the quarter of all distinct documents that
-   fitting does not see, at any size, from counts per kind and bin of the score. Candidates at or above
-   it are added, best first, where they overlap neither a base span nor one already added.
+   fitting does not see, as written and rewritten, at any size, from counts per kind and bin of the
+   score. Candidates at or above it are added, best first, where they overlap neither a base span nor
+   one already added.
 
 The trees are fitted on a bounded sample, chosen by a hash: of the other documents with a digit or
 ``@`` about ``SAMPLE_DOCS``, and about ``SAMPLE_PER_KIND`` of those with a base span of a kind, so that
@@ -46,6 +53,8 @@ PRECISION = 0.995
 SAMPLE_DOCS = 6000
 SAMPLE_PER_KIND = 1500
 SAMPLE_PER_DOC = 64
+#: Rewritten versions of each text that has base spans.
+REWRITTEN = 4
 #: Bins of the score per unit of its logit, and candidates described at a time, in calibration.
 SCORE_BINS = 64
 STEP = 4096
@@ -61,6 +70,11 @@ _GROUP = re.compile(r"\(?\+?[0-9]+\)?")
 _LEFT = re.compile(r"[^\s@,;:<>()\[\]\"']+$")
 _RIGHT = re.compile(r"[^\s@,;:<>()\[\]\"']{1,255}")
 _EDGE = ".!?*#$%&|-_"
+#: Forms that the rules don't take: see ``_other_form``.
+_OTHER_EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+")
+_OTHER_CARD = re.compile(r"[0-9]{4}([./]|\x20\x20)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}")
+_OTHER_PHONE = re.compile(r"\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}")
+_NAMES = {"email": ("mail",), "ip": (), "card": ("card", "visa"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 _WORDS = ("mail", "tel", "phone", "call", "fax", "card", "visa", "ip", "host", "server", "contact", "token", "version", "license")
 
 
@@ -278,32 +292,178 @@ def _alone(text: str, span: Span) -> bool:
     return Span(span.kind, 0, span.end - span.start) in base_spans(text[span.start : span.end])[0]
 
 
+def _other_form(text: str, span: Span) -> bool:
+    """Whether a candidate is written as no rule takes it, though people write such data so."""
+    kind, start, end = span
+    part = text[start:end]
+    if text[max(0, start - 2) : start].strip()[-1:].isdigit() or text[end : end + 2].strip()[:1].isdigit():
+        return False
+    if kind == "email":
+        return bool(_OTHER_EMAIL.fullmatch(part)) and not part.isascii()
+    if kind == "card":
+        return bool(_OTHER_CARD.fullmatch(part)) and luhn(_digits(part))
+    return kind == "phone" and bool(_OTHER_PHONE.fullmatch(part)) and 9 <= len(_digits(part)) <= 11
+
+
+def _named(text: str, span: Span) -> bool:
+    """Whether a key word of the kind stands before a candidate."""
+    return any(w in text[max(0, span.start - 12) : span.start].lower() for w in _NAMES[span.kind])
+
+
 def _labelled(text: str) -> tuple[list[Span], list[int]]:
     """The candidates with a known label, and the labels."""
     base, dropped = base_spans(text)
-    known, unknown = set(base), _Cover(dropped)
-    rows = [c for c in candidates(text) if c in known or not (unknown.meets(c.start, c.end) and _alone(text, c))]
-    return rows, [int(c in known) for c in rows]
+    known, unknown, taken = set(base), _Cover(dropped), _Cover([(s.start, s.end) for s in base])
+    rows, labels = [], []
+    for c in candidates(text):
+        label = int(c in known)
+        if not label and not taken.meets(c.start, c.end):
+            if _other_form(text, c):
+                if not _named(text, c):
+                    continue
+                label = 1
+            elif unknown.meets(c.start, c.end) and _alone(text, c):
+                continue
+        rows.append(c)
+        labels.append(label)
+    return rows, labels
+
+
+def _address(part: str, rng: np.random.Generator) -> tuple[str, str]:
+    """Name and host of an address, as they are or shortened, so that the trees don't hold one habit of naming for the rule."""
+    name, _, host = part.partition("@")
+    if rng.random() < 0.5:
+        name = name.replace(".", "")[: int(rng.integers(3, 12))] or "a"
+    if rng.random() < 0.5:
+        name = name.rstrip("0123456789._%+-") or "a"
+    if rng.random() < 0.5:
+        first, _, rest = host.partition(".")
+        host = f"{first.rstrip('0123456789') or 'a'}.{(rest, rest.rpartition('.')[2])[rng.integers(2)]}"
+    if rng.random() < 0.5:
+        host = host.rpartition(".")[0] + "." + ("fr", "de", "com", "info", "org")[rng.integers(5)]
+    return name, host
+
+
+def _in_other_form(kind: str, part: str, rng: np.random.Generator) -> str:
+    """The same datum as it is also written, but not for the rules."""
+    if kind == "email":
+        name, host = _address(part, rng)
+        accent = "éèáóöüñ"[rng.integers(7)]
+        where = rng.integers(3)
+        if where != 1:
+            name = name[:-1] + accent
+        if where != 0:
+            label, dot, rest = host.partition(".")
+            at = int(rng.integers(len(label)))
+            host = label[:at] + accent + label[at + 1 :] + dot + rest
+        return f"{name}@{host}"
+    digits = _digits(part)
+    if kind == "card":
+        return (".", "/", "  ")[rng.integers(3)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    groups = [_digits(g) for g in _GROUP.findall(part)][1:]
+    if len(groups) < 2 or not 9 <= sum(map(len, groups)) <= 11 or max(map(len, groups)) > 4:
+        digits = digits[-10:].rjust(10, "2")
+        groups = [digits[:3], digits[3:6], digits[6:]]
+    first, rest = groups[0], groups[1:]
+    return (f"({first}) {'-'.join(rest)}", f"({first}) {' '.join(rest)}", "-".join(groups), ".".join(groups), " ".join(groups))[rng.integers(5)]
+
+
+def _beside_another(kind: str, part: str, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A number as the rules take it, before or after another that they swallow it with, and where both are."""
+    if rng.random() < 0.5:
+        other = "ip", ".".join(map(str, rng.integers(1, 256, 4)))
+    else:
+        digits = "".join(map(str, rng.integers(0, 10, 15)))
+        other = "card", digits + next(c for c in "0123456789" if luhn(digits + c))
+    pair = [(kind, part), other]
+    (k1, first), (k2, second) = pair if rng.random() < 0.5 else pair[::-1]
+    return f"{first} {second}", [Span(k1, 0, len(first)), Span(k2, len(first) + 1, len(first) + 1 + len(second))]
+
+
+def _look_alike(kind: str, part: str, rng: np.random.Generator) -> str:
+    """What resembles a datum of this kind and is none."""
+    if kind == "email":
+        name, host = _address(part, rng)
+        host = host.partition(".")[0]
+        return (f"{name}@{host}", f"{name[0]}@{len(host)}", f"{name}@{host}:{len(name)}", f"{name[:-1]}é@{host}")[rng.integers(4)]
+    digits = _digits(part)
+    if kind == "card":
+        digits = digits[:-1] + str((int(digits[-1]) + int(rng.integers(1, 10))) % 10)
+        return ("", " ", "-", ".", "/")[rng.integers(5)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c = rng.integers(1, 29, 3).tolist()
+    year = int(rng.integers(1900, 2100))
+    amount = f"{int(rng.integers(10**6, 10**10)):,}"
+    return (
+        f"{year}-{b % 12 + 1:02}-{c:02}",
+        f"{c:02}.{b % 12 + 1:02}.{year}",
+        f"{c:02}/{b % 12 + 1:02}/{year}",
+        f"{year}-{year + a}",
+        amount.replace(",", " "),
+        amount.replace(",", "."),
+        digits[-int(rng.integers(7, 11)) :],
+        f"978-{a % 10}-{b:02}-{int(rng.integers(10**6)):06}-{c % 10}",
+        f"{a}.{b}.{c}.{int(rng.integers(1000, 10**5))}",
+        f"{year}-{b % 12 + 1:02}-{c:02} {a % 24:02}.{b:02}",
+    )[rng.integers(10)]
+
+
+def _rewritten(text: str, seed: int) -> tuple[str, list[Span], list[int]]:
+    """The text with its spans written otherwise; of the candidates that meet these, and no base span, the labels."""
+    rng = np.random.default_rng(seed)
+    out, size, free = [], 0, 0
+    right, touched = set(), []
+    for kind, start, end in sorted(base_spans(text)[0], key=lambda s: (s.start, -s.end)):
+        if kind == "ip" or start < free:
+            continue
+        keep = rng.random() < 0.5
+        at = size + start - free
+        if not keep:
+            new = _look_alike(kind, text[start:end], rng)
+        elif kind != "email" and rng.random() < 0.5:
+            new, spans = _beside_another(kind, text[start:end], rng)
+            right.update(Span(k, at + a, at + b) for k, a, b in spans)
+        else:
+            new = _in_other_form(kind, text[start:end], rng)
+            right.add(Span(kind, at, at + len(new)))
+        out += [text[free:start], new]
+        size, free = at + len(new), end
+        touched.append((at, size))
+    if not touched:
+        return text, [], []
+    changed = "".join(out) + text[free:]
+    taken, here = _Cover([(s.start, s.end) for s in base_spans(changed)[0]]), _Cover(touched)
+    rows = [c for c in candidates(changed) if here.meets(c.start, c.end) and not taken.meets(c.start, c.end)]
+    return changed, rows, [int(c in right) for c in rows]
+
+
+def _versions(text: str, seed: int) -> Iterator[tuple[str, list[Span], list[int]]]:
+    """A text as it is and rewritten, its candidates and their labels."""
+    yield text, *_labelled(text)
+    for i in range(REWRITTEN):
+        yield _rewritten(text, REWRITTEN * seed + i)
 
 
 def _training_rows(text: str, seed: int) -> tuple[list[list[int]], list[int]]:
-    rows, labels = _labelled(text)
-    chosen = range(len(rows))
-    if len(rows) > SAMPLE_PER_DOC:
-        chosen = sorted(np.random.default_rng(seed).choice(len(rows), SAMPLE_PER_DOC, replace=False))
-    return [describe(text, rows[i]) for i in chosen], [labels[i] for i in chosen]
+    x, y = [], []
+    for version, rows, labels in _versions(text, seed):
+        chosen = range(len(rows))
+        if len(rows) > SAMPLE_PER_DOC:
+            chosen = sorted(np.random.default_rng(seed).choice(len(rows), SAMPLE_PER_DOC, replace=False))
+        x += [describe(version, rows[i]) for i in chosen]
+        y += [labels[i] for i in chosen]
+    return x, y
 
 
-def _score_counts(text: str, model: boosting.Trees) -> np.ndarray:
+def _score_counts(text: str, seed: int, model: boosting.Trees) -> np.ndarray:
     """Rows of kind, bin, negatives, positives of a text's candidates with a score of 0.5 or more."""
-    rows, labels = _labelled(text)
     found: dict[tuple[int, int], list[int]] = {}
-    for at in range(0, len(rows), STEP):
-        x = np.array([describe(text, c) for c in rows[at : at + STEP]])
-        bins = np.floor(np.clip(model.logits(x), -30, 30) * SCORE_BINS).astype(np.int64)
-        for kind, score, y in zip(x[:, 0].tolist(), bins.tolist(), labels[at : at + STEP], strict=True):
-            if score >= 0:
-                found.setdefault((kind, score), [0, 0])[y] += 1
+    for version, rows, labels in _versions(text, seed):
+        for at in range(0, len(rows), STEP):
+            x = np.array([describe(version, c) for c in rows[at : at + STEP]])
+            bins = np.floor(np.clip(model.logits(x), -30, 30) * SCORE_BINS).astype(np.int64)
+            for kind, score, y in zip(x[:, 0].tolist(), bins.tolist(), labels[at : at + STEP], strict=True):
+                if score >= 0:
+                    found.setdefault((kind, score), [0, 0])[y] += 1
     return np.array([[*k, *n] for k, n in found.items()], np.int64).reshape(-1, 4)
 
 
@@ -362,7 +522,7 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
         working("pii")
         for batch in batches:
             for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = _score_counts(t, model)
+                counts = _score_counts(t, h & 0xFFFFFFFF, model)
                 if len(counts):
                     columns = [pa.array(np.full(len(counts), h)), *[pa.array(c) for c in counts.T]]
                     yield pa.RecordBatch.from_arrays(columns, ["h", "kind", "bin", "n", "p"])

@@ -250,6 +250,73 @@ def test_numbers_of_many_groups(spark):
     assert len(pii.candidates("7 " * 2000)) <= 2000 * pii.DIGITS
 
 
+def _card_with(rng, sep, good=True):
+    while pii.luhn(found := "".join(map(str, rng.integers(0, 10, 16)))) != good:
+        pass
+    return sep.join(found[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_forms_that_no_rule_sees(spark):
+    """Of each form 0.9 are found whole, and numbers that only resemble them are left alone."""
+    model = pii.train(read(spark, "/root/testdata/sf0.1", "documents"))
+    rng = np.random.default_rng(31)
+    filler = "elle la des que oion the of an".split()
+
+    def digits(k):
+        return "".join(map(str, rng.integers(0, 10, k)))
+
+    def inside(part):
+        return f"{' '.join(rng.choice(filler, 8))} {part} {' '.join(rng.choice(filler, 8))}"
+
+    forms = {
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"],
+        "email": [lambda: f"jos{digits(1)}é@café{digits(1)}.fr", lambda: f"anna{digits(2)}@bücher.example.org"],
+        "card": [lambda: _card_with(rng, ".")],
+    }
+    for kind, makers in forms.items():
+        for make in makers:
+            hits = 0
+            for _ in range(100):
+                text = inside(part := make())
+                base, every = pii.all_spans(text, model)
+                span = pii.Span(kind, text.index(part), text.index(part) + len(part))
+                assert span not in base
+                hits += span in every
+            assert hits >= 90, (kind, part, hits)
+    plain = [
+        lambda: f"20{digits(2)}-0{rng.integers(1, 10)}-1{digits(1)}",
+        lambda: f"1{digits(1)}.0{rng.integers(1, 10)}.19{digits(2)}",
+        lambda: str(rng.integers(10**6, 10**9)),
+        lambda: f"{rng.integers(10**6, 10**9):,}".replace(",", " "),
+        lambda: "1990-2004",
+        lambda: f"a{digits(2)}@host",
+        lambda: _card_with(rng, ".", good=False),
+    ]
+    for make in plain:
+        assert sum(bool(pii.all_spans(inside(make()), model)[1]) for _ in range(100)) <= 2
+
+
+def test_labels_of_other_forms():
+    """Forms that no rule knows are not taught as negative; with a key word they are taught as positive."""
+    for number, kind in (("(826) 555-4081", "phone"), ("826-555-4081", "phone"), ("4111.1111.1111.1111", "card"), ("josé@café.fr", "email")):
+        for before, label in (("la ", None), ({"phone": "tel ", "card": "card ", "email": "mail "}[kind], 1)):
+            text = f"{before}{number} et"
+            rows, labels = pii._labelled(text)
+            span = pii.Span(kind, len(before), len(before) + len(number))
+            assert span in pii.candidates(text)
+            assert dict(zip(rows, labels, strict=True)).get(span) == label
+    text = "x +1 (826) 555-4081 y ann.b7@mail3.example.com z 4111111111111111 or 10.0.0.1"
+    kinds = Counter()
+    for seed in range(60):
+        changed, rows, labels = pii._rewritten(text, seed)
+        assert (changed, rows, labels) == pii._rewritten(text, seed) and changed.endswith("10.0.0.1")
+        base = pii.base_spans(changed)[0]
+        assert all(c.end <= b.start or b.end <= c.start for c in rows for b in base)
+        kinds.update(c.kind for c, y in zip(rows, labels, strict=True) if y)
+    assert set(kinds) == {"phone", "email", "card"}
+    assert pii._rewritten("10.0.0.1 only", 1)[1:] == ([], []) and pii._rewritten("", 1)[1:] == ([], [])
+
+
 def test_rare_kinds_are_calibrated_on_all_documents(spark):
     """A table far over the fitting sample still finds what one document in a hundred has."""
     rng = np.random.default_rng(6)
