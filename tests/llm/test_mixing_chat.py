@@ -1,6 +1,8 @@
 import hashlib
 import math
+from bisect import bisect_right
 from collections import Counter
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,9 +53,20 @@ def test_shares_come_close(spark):
     assert abs(found["a"] / sum(found.values()) - 0.8) < 0.02 and abs(sum(found.values()) / 20_000 - 1) < 0.05
 
 
-@pytest.mark.parametrize("rate", [1e-6, 0.5, 7.0, 900.0])
+@pytest.mark.parametrize("rate", [1e-6, 0.5, 7.0, 900.0, 40_000.0])
 def test_distribution_function(spark, rate):
-    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first().c
+    groups = spark.createDataFrame([("s", 5, rate), (None, 6, 0.3)], "_tm_source string, n_rows bigint, rate double")
+    tables = mixing.poisson_tables(groups)
+    table = next(r for r in tables.collect() if r["_tm_source"] == "s")
+    cdf = table["_tm_cdf"]
+    assert table["n_rows"] == 5 and tables.count() == 2
+    # a number is looked up among the few values of its part, with the same result as among all
+    edges = [c for c in cdf[:: max(1, len(cdf) // 50)] if c < 1]
+    numbers = spark.createDataFrame([(u,) for u in [0.0, 0.25, 0.5, 1 - 2.0**-52, *edges, *[i / 997 for i in range(997)]]], "u double")
+    looked = numbers.crossJoin(F.broadcast(tables.where("_tm_source = 's'"))).select("u", mixing.quantile(F.col("_tm_cdf"), F.col("_tm_before"), F.col("u")).alias("n"))
+    for u, n in looked.collect():
+        assert n == bisect_right(cdf, u)
+    assert max(y - x for x, y in pairwise(table["_tm_before"])) <= len(cdf) and len(table["_tm_before"]) <= 2 * len(cdf) + 1
     assert cdf == sorted(cdf) and abs(cdf[-1] - 1) < 1e-9
     for k in (0, int(rate), int(rate) + 3):
         wanted = sum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k + 1))
