@@ -17,11 +17,21 @@ written to the shared folder.
 
 ``keep_first(similarity=...)`` asks for texts whose sets of word shingles are that similar (Jaccard),
 which a radius of a few bits does not find: two texts of 100 words that differ in one differ in about
-five bits. Candidates are texts that agree in one of ``BANDS`` groups of ``ROWS`` MinHash values; a
-pair of similarity 0.8 meets with probability 0.99995. They are compared by their whole sets of
-shingles. First each list is compared with two of its members; then, inside a list, whatever these
-comparisons left in different components is compared with each other, unless the MinHash values put
-the pair ``SLACK`` below the similarity. That happens between blocks of members that lie in memory with
+five bits, spread over all bytes. The same index is therefore built over wider fingerprints, in which
+a change stays in its place: each shingle is dealt to one position by its hash and votes there only,
+so a position holds the SimHash of its own shingles, and texts that differ in k shingles differ in at
+most k positions. How many positions there are depends on the size of the sets, in classes; a text is
+indexed in its class and in the next one, as two similar texts lie at most one class apart. Then
+as above: there is a list per position and its content, pairs that meet in a list tally the positional
+bytes they share, and those that reach the minimum are verified, by their whole sets of shingles.
+At a similarity of 0.8 sets of up to 93 shingles have more positions than similar texts have changes
+(those whose shingles leave too many positions empty share a list), so no pair is missed. Of longer texts a sample of positions is kept:
+``LISTED`` have lists, in which a pair at a similarity of 0.8 meets with probability 0.999995, and
+``TALLIED`` are tallied, with a minimum five standard errors below what such a pair shares.
+
+Of a long list each member is first compared with its two ends; then, inside a list, whatever these
+comparisons left in different components is tallied and verified with each other. That happens
+between blocks of members that lie in memory with
 their sets: a link found connects its components at once, which spares the pairs between them, and only
 links are returned, no pairs. So a group of close copies costs time in proportion to its
 size, and no candidate is passed over because its list is long.
@@ -36,7 +46,10 @@ where rows of different components share an id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
+from math import ceil, exp, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,30 +67,39 @@ MATCHES = 8 - BITS
 PAIRWISE = 64
 SHINGLE = 3
 SEED = 42
-BANDS = 25
-ROWS = 5
-#: How far below the wanted similarity an estimate over all MinHash values may be: over five standard errors.
-SLACK = 0.2
+#: Positions of a wide fingerprint that have lists, and those whose bytes are tallied.
+LISTED = 24
+TALLIED = 64
+#: Shingles that a position has in a long text.
+PER_POSITION = 4
+#: Shingles of texts whose fingerprints are made at a time.
+SET_ROWS = 1 << 18
 #: Members of a list, and bytes of their sets, that a block holds when all are compared with all.
 BLOCK = 512
 BLOCK_BYTES = 4 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text as a signed integer."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order; a shorter text is one shingle."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     n = max(1, len(words) - shingle + 1)
-    stops = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
-    hashes = np.fromiter(
+    stops = ends[shingle - 1 :] - 1 if len(words) >= shingle else np.array([len(joined)])
+    return np.fromiter(
         (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)),
         np.uint64,
         n,
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text as a signed integer."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = _shingle_hashes(words, shingle)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -191,9 +213,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; a shorter text is one shingle."""
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(_shingle_hashes(words, shingle))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -205,37 +226,135 @@ def _node(words: list[bytes]) -> int:
     return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
 
 
-_random = np.random.default_rng(SEED)
-_FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_MIX = _random.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _minhashes(hashes: np.ndarray) -> np.ndarray:
-    parts = [(hashes[at : at + 4096, None] * _FACTORS + _SHIFTS).min(axis=0) for at in range(0, len(hashes), 4096)]
-    return np.min(parts, axis=0)
+class SizeClass(NamedTuple):
+    """Sets of up to ``most`` shingles: how many positions their fingerprints have, and how many of the
+    tallied bytes similar ones share at least. ``full``: a text with shingles in over ``changes``
+    positions shares one with every similar text."""
+
+    most: int
+    changes: int
+    positions: int
+    least: int
+    full: bool
+
+
+@cache
+def size_classes(similarity: float) -> list[SizeClass]:
+    """In ascending order; similar sets lie in the same class or in neighbouring ones."""
+    found, before, most = [], 0, 1
+    while before < 1 << 40:
+        # sets of a and b shingles at the similarity differ in (a + b) (1 - similarity) / (1 + similarity)
+        differ = 2 * most * (1 - similarity) / (1 + similarity)
+        changes = int(differ + 1e-9)
+        enough = [n for n in range(changes + 1, LISTED + 1) if not changes or _seldom_fewer(before + 1, n) > changes]
+        positions = enough[0] if enough else max(LISTED, ceil(most / PER_POSITION))
+        least = TALLIED - changes  # positions that do not exist are alike
+        if positions > TALLIED:
+            same = exp(-differ / positions)
+            least = max(1, int(TALLIED * same - 5 * sqrt(TALLIED * same * (1 - same))))
+        found.append(SizeClass(most, changes, positions, least, bool(enough)))
+        before, most = most, int(most / similarity) + 1
+    return found
 
 
-def _minhash_rows(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, fp (of the words), bands and sig (a byte of each MinHash value), one row per row of ``df``."""
+def _seldom_fewer(shingles: int, positions: int) -> float:
+    """Positions with a shingle: the mean less three standard deviations."""
+    x = shingles / positions
+    spread = positions * (exp(-x) - (1 + x) * exp(-2 * x))
+    return positions * (1 - (1 - 1 / positions) ** shingles) - 3 * sqrt(max(0, spread))
+
+
+_DEAL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _votes(hashes: np.ndarray, starts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """How many hashes of each group set each of the 64 bits."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    # sums of bytes, eight at once, over pieces of a group that can't overflow a byte
+    pieces = np.flatnonzero((np.arange(len(hashes)) - np.repeat(starts, held)) % 255 == 0)
+    sums = np.add.reduceat(bits.view(np.uint64), pieces, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, np.searchsorted(pieces, starts), axis=0, dtype=np.int32) if len(pieces) > len(starts) else sums.astype(np.int32)
+
+
+def positional(sets: list[np.ndarray], numbers: np.ndarray, similarity: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of sets of shingles, each with the number of a class: the keys of its lists there, and its positional bytes."""
+    classes = size_classes(similarity)
+    changes, positions = (np.array([getattr(c, x) for c in classes])[numbers] for x in ("changes", "positions"))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    item, hashes = np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.uint64), *sets])
+    place = (hashes * _DEAL >> np.uint64(20)) % positions[item].astype(np.uint64)
+    kept = place < TALLIED
+    slot, hashes = item[kept] * TALLIED + place[kept].astype(np.int64), hashes[kept]
+    # numbers of 16 bits are sorted by digits
+    order = np.argsort(slot.astype(np.uint16) if len(sets) <= SLICE_ROWS else slot, kind="stable")
+    slot, hashes = slot[order], hashes[order]
+    marks = np.zeros(len(sets) * TALLIED, np.uint8)
+    starts = np.flatnonzero(np.diff(slot, prepend=-1))
+    prints = np.zeros(0, np.uint64)
+    if len(slot):
+        held = np.diff(starts, append=len(slot))
+        prints = np.packbits(2 * _votes(hashes, starts, held) > held[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    slot = slot[starts]
+    marks[slot] = prints * _MIX >> np.uint64(56)
+    of, place = slot // TALLIED, slot % TALLIED
+    filled = np.bincount(of, minlength=len(sets))
+    listed = place < LISTED
+    of, place = of[listed], place[listed]
+    keys = (prints[listed] ^ (place + numbers[of] * LISTED + 1).astype(np.uint64) * _DEAL) * _MIX
+    found = np.split(keys.view(np.int64), np.cumsum(np.bincount(of, minlength=len(sets)))[:-1]) if sets else []
+    full = np.array([c.full for c in classes])[numbers]
+    for i in np.flatnonzero(full & (sizes > 0) & (filled <= changes)):
+        found[i] = np.append(found[i], 0)
+    return found, marks.reshape(-1, TALLIED)
+
+
+def _sets_of(batch: pa.RecordBatch, shingle: int, nodes: list[int]) -> Iterator[list[np.ndarray]]:
+    """The sets of shingles of the texts, few at a time; what their words have in common goes to ``nodes``."""
+    for part in slices(iter([batch])):
+        sets, held = [], 0
+        for words in map(_words, part["text"]):
+            nodes.append(_node(words))
+            sets.append(_shingles(words, shingle))
+            held += len(sets[-1])
+            if held > SET_ROWS:
+                yield sets
+                sets, held = [], 0
+        yield sets
+
+
+def _positional_rows(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, fp (of the words), class, keys and marks there, keys and marks in the next class, one row per row of ``df``."""
     kind = df.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    none = np.zeros(0, np.uint64)
+
+    def listed(keys: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, keys)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none.view(np.int64), *keys]), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("simhash")
+        most = np.array([c.most for c in size_classes(similarity)])
         for batch in batches:
-            nodes, bands, sigs = [], [], []
-            for part in slices(iter([batch])):
-                for words in map(_words, part["text"]):
-                    low = _minhashes(_shingles(words, shingle))
-                    nodes.append(_node(words))
-                    bands.append((low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64))
-                    sigs.append((low >> np.uint64(56) ^ low & np.uint64(255)).astype(np.uint8).tobytes())
-            flat = pa.array(np.concatenate(bands) if bands else [], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists, pa.array(sigs, pa.binary())], ["doc_id", "fp", "bands", "sig"])
+            nodes, numbers = [], []
+            keys, marks = ([], []), ([], [])
+            for sets in _sets_of(batch, shingle, nodes):
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                number = np.searchsorted(most, sizes)
+                numbers += number.tolist()
+                # of a small set no set of the next class is a copy
+                reaches = sizes >= similarity * (most[number] + 1)
+                following = [s if r else none for s, r in zip(sets, reaches, strict=True)]
+                for i, (given, wanted) in enumerate(((sets, reaches | True), (following, reaches))):
+                    found, held = positional(given, number + i, similarity)
+                    keys[i].extend(found)
+                    marks[i].extend(m.tobytes() if w else None for m, w in zip(held, wanted, strict=True))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32())]
+            for i in (0, 1):
+                columns += [listed(keys[i]), pa.array(marks[i], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "class", "keys", "marks", "next_keys", "next_marks"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, bands array<bigint>, sig binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, class int, keys array<bigint>, marks binary, next_keys array<bigint>, next_marks binary")
 
 
 def _shingle_sets(df: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -251,7 +370,7 @@ def _shingle_sets(df: DataFrame, text_col: str, wanted: DataFrame, shingle: int)
 
     texts = _with_number(df.select(F.col(text_col).cast("string").alias("text")), "text", "fp", lambda t: _node(_words(t)))
     texts = texts.join(wanted, "fp", "left_semi").select("fp", "text").dropDuplicates(["fp"])
-    return write_once(texts.mapInArrow(run, "fp bigint, members binary"), "minhash-sets")
+    return write_once(texts.mapInArrow(run, "fp bigint, members binary"), "simhash-sets")
 
 
 def _with_number(df: DataFrame, text_col: str, name: str, of: Callable[[str | None], int]) -> DataFrame:
@@ -288,36 +407,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     of_b = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
     of_a = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
     rows = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y")
-    return write_once(rows.mapInArrow(run, "a bigint, b bigint"), "minhash-pairs")
+    return write_once(rows.mapInArrow(run, "a bigint, b bigint"), "simhash-pairs")
+
+
+def _tallied(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), met in the lists of class c, that share enough positional bytes there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
+        least = np.array([c.least for c in size_classes(similarity)])
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TALLIED) for i in (3, 4))
+            enough = (x == y).sum(axis=1) >= least[batch.column(2).to_numpy()]
+            yield batch.select(["a", "b"]).filter(pa.array(enough, pa.bool_()))
+
+    of_a = marks.select(F.col("fp").alias("a"), "c", F.col("marks").alias("x"))
+    of_b = marks.select(F.col("fp").alias("b"), "c", F.col("marks").alias("y"))
+    rows = pairs.join(of_b, ["b", "c"]).join(of_a, ["a", "c"]).select("a", "b", "c", "x", "y")
+    return write_once(rows.mapInArrow(run, "a bigint, b bigint"), "simhash-tallied")
 
 
 def similar_links(df: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between texts; their components are those of all candidates that are similar enough."""
-    distinct = write_once(rows.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-distinct")
-    postings = distinct.select("fp", F.posexplode("bands").alias("c", "key"))
+    """Links (a, b) between texts; their components are those of all pairs that meet, tally enough and are similar enough."""
+    names = ["class", "keys", "marks", "next_keys", "next_marks"]
+    distinct = write_once(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in names]), "simhash-distinct")
+
+    def lists_of(keys: str, c: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(c.alias("c"), k.alias("key")))
+
+    following = F.col("class") + 1
+    postings = distinct.select("fp", F.explode(F.concat(lists_of("keys", F.col("class")), lists_of("next_keys", following))).alias("p")).select("fp", "p.*")
+    marks = distinct.select("fp", F.col("class").alias("c"), "marks").unionByName(
+        distinct.where("next_marks is not null").select("fp", following.alias("c"), F.col("next_marks").alias("marks"))
+    )
     lists = postings.groupBy("c", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1")
-    members = write_once(postings.join(write_once(lists, "minhash-lists"), ["c", "key"]), "minhash-members")
-    sets = _shingle_sets(df, text_col, members.select("fp").distinct(), shingle)
+    members = write_once(postings.join(write_once(lists, "simhash-lists"), ["c", "key"]), "simhash-members")
 
-    ends = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("fp").alias("b")).where("a <> b")
-    near = _verified(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+    ends = members.select("c", F.explode(F.array("low", "high")).alias("a"), F.col("fp").alias("b")).where("a <> b")
+    ends = ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("c").alias("c"))
+    pairs = _tallied(ends, marks, similarity)
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.where("n > 3").select("fp"))
+    sets = _shingle_sets(df, text_col, compared.distinct(), shingle)
+    near = _verified(pairs, sets, similarity)
 
     # lists of up to three are done: each pair has one of the two ends
     labels = components(near).withColumnRenamed("node", "fp")
     left = members.where("n > 3").join(labels, "fp", "left").select("c", "key", "fp", F.coalesce("label", "fp").alias("label"))
-    left = write_once(left.join(sets.select("fp", F.octet_length("members").alias("bytes")), "fp"), "minhash-left")
+    left = write_once(left.join(sets.select("fp", F.octet_length("members").alias("bytes")), "fp"), "simhash-left")
     several = left.groupBy("c", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("x <> y")
     left = left.drop("bytes")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = left.join(several.select("c", "key", blocks.alias("blocks")), ["c", "key"]).join(distinct.select("fp", "sig"), "fp").join(sets, "fp")
+    dealt = left.join(several.select("c", "key", blocks.alias("blocks")), ["c", "key"]).join(marks, ["fp", "c"]).join(sets, "fp")
     dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label", "own", "sig", "members")
+    dealt = dealt.select("c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label", "own", "marks", "members")
 
     def compare(rows: pa.Table) -> pa.Table:
         found = _open_links(rows, similarity)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    further = write_once(dealt.groupBy("c", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "minhash-further")
+    further = write_once(dealt.groupBy("c", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "simhash-further")
     return near.unionByName(further).distinct()
 
 
@@ -326,7 +474,8 @@ def _open_links(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
     working("simhash")
     fps, labels, own = (rows[c].to_numpy().copy() for c in ("fp", "label", "own"))
     one_block = rows["i"][0] == rows["j"][0]
-    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(fps), -1)
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(fps), TALLIED)
+    least = size_classes(similarity)[rows["c"][0].as_py()].least
     sets = [np.frombuffer(x, np.uint64) for x in rows["members"].to_pylist()]
     sizes = np.array([len(x) for x in sets])
     found = []
@@ -334,7 +483,7 @@ def _open_links(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
         # pairs inside a block of two are another group's
         other = at + 1 + np.flatnonzero((labels[at + 1 :] != labels[at]) & (one_block | (own[at + 1 :] != own[at])))
         other = other[np.minimum(sizes[other], len(mine)) >= similarity * np.maximum(sizes[other], len(mine))]
-        other = other[(sigs[other] == sigs[at]).mean(axis=1) >= similarity - SLACK]
+        other = other[(marks[other] == marks[at]).sum(axis=1) >= least]
         if not len(other):
             continue
         every = np.concatenate([sets[o] for o in other])
@@ -385,7 +534,7 @@ def keep_first(
             return fingerprint(text, shingle)
 
     else:
-        rows = write_once(_minhash_rows(df, id_col, text_col, shingle), "minhash")
+        rows = write_once(_positional_rows(df, id_col, text_col, shingle, similarity), "simhash-wide")
         edges = similar_links(df, rows, text_col, shingle, similarity)
         found = write_once(_assign(rows.select("doc_id", "fp"), edges), "simhash-assigned")
 

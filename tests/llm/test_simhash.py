@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -158,3 +159,48 @@ def test_keep_first_where_texts_share_an_id(spark, how):
     ):
         kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), **how).collect()
         assert sorted(map(tuple, kept)) == wanted
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 13, 30, 70, 90, 300, 1000])
+def test_similar_sets_meet_and_tally(n):
+    """Two sets at the similarity share a list of the positional index and the least number of positional bytes."""
+    rng = np.random.default_rng(n)
+    classes = simhash.size_classes(0.8)
+    most = np.array([c.most for c in classes])
+    drop = add = 0
+    while n - drop >= 0.8 * (n + add):
+        drop, add = (drop + 1, add) if drop <= add else (drop, add + 1)
+    drop, add = (drop - 1, add) if drop > add else (drop, add - 1)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        b = np.concatenate([a[drop:], rng.integers(0, 1 << 64, add, np.uint64)])
+        held = []
+        for x in (a, b):
+            own = int(np.searchsorted(most, len(x)))
+            keys, marks = simhash.positional([x, x], np.array([own, own + 1]), 0.8)
+            held.append({own + i: (set(keys[i].tolist()), marks[i]) for i in (0, 1)})
+        met = [c for c in held[0].keys() & held[1].keys() if held[0][c][0] & held[1][c][0]]
+        assert met
+        assert all((held[0][c][1] == held[1][c][1]).sum() >= classes[c].least for c in met)
+
+
+def test_positions_hold_simhashes():
+    """Each position's content is the majority of its own shingles, also of very many."""
+    rng = np.random.default_rng(0)
+    hashes = rng.integers(0, 1 << 64, 3000, np.uint64)
+    starts = np.array([0, 1, 256, 258, 1400])
+    held = np.diff(starts, append=len(hashes))
+    votes = simhash._votes(hashes, starts, held)
+    for found, a, n in zip(votes.tolist(), starts, held, strict=True):
+        assert found == [sum(h >> b & 1 for h in hashes[a : a + n].tolist()) for b in range(63, -1, -1)]
+
+
+def test_stage_goes_through_the_positional_index(spark, words, monkeypatch):
+    """Without lists, or with a tally that none reaches, no near copy is found."""
+    import corpus_pipeline
+
+    texts = near_copies(words)[:100]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(slow_similar(texts, 0.8)) == 60
+    monkeypatch.setattr(simhash, "_tallied", lambda pairs, marks, similarity: pairs.select("a", "b").where("false"))
+    assert corpus_pipeline.near_dedup(spark, frame, "").count() == 100
