@@ -96,11 +96,16 @@ def csv_multiline_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, rows.schema, multiline=True)
 
 
+#: Bytes of text in a file of ``csv_multiline_split``: two splits.
+CSV_FILE_BYTES = 256 << 20
+
+
 def csv_multiline_split(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     path = new_path(spark, "documents-csv")
-    # one large file, as a user would bring it
-    write_csv(rows.coalesce(1), path, multiline=True)
+    # few large files, as a user would bring them: a small table is one, and no task writes more than one
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    write_csv(rows.coalesce(1 + size // CSV_FILE_BYTES), path, multiline=True)
     return read_csv_split(spark, path, rows.schema)
 
 

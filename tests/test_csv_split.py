@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tallymill.plans import catalogue
 from tallymill.sources import read_csv, read_csv_split, write_csv
 
 SCHEMA = "id bigint, text string, more string"
@@ -50,3 +51,21 @@ def test_other_files(spark, tmp_path, small_splits):
     (tmp_path / "c.csv").write_bytes(b"")
     found = {r.id: (r.text, r.more) for r in read_csv_split(spark, str(tmp_path / "*.csv"), SCHEMA).collect()}
     assert found == {1: ("x\r\ny", "z"), None: ("b", None), 3: ("", 'say "hi"')}
+
+
+def test_query_gives_no_task_the_table(spark, tmp_path, small_splits, monkeypatch):
+    """The files of the query are bounded, so a larger table is more files."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    tasks = []
+
+    def counted(df, path, **options):
+        tasks.append(df.rdd.getNumPartitions())
+        write_csv(df, path, **options)
+
+    monkeypatch.setattr(catalogue, "write_csv", counted)
+    for limit in (1 << 30, 100_000):
+        monkeypatch.setattr(catalogue, "CSV_FILE_BYTES", limit, raising=False)
+        found = catalogue.csv_multiline_split(spark, str(tmp_path))
+        assert sorted(found.collect()) == sorted(docs.select(found.columns).collect())
+    assert tasks[0] == 1 and tasks[1] > 2
