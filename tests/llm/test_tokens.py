@@ -40,6 +40,36 @@ def test_forgetting_changes_nothing(library, monkeypatch, words):
         assert coder.encode([text])[0] == library(text).tobytes()
 
 
+def test_pieces_are_cut_as_by_the_library(library, monkeypatch):
+    rng = random.Random(4)
+    signs = ["a", "b", "Z", "é", "É", "×", "÷", "ß", "ÿ", "ñ", "\u0331", "ж", "字", "9", ".", ",", "'", "'s", "<|", "`", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\xa0", "\0"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(600)]
+    for group in (1, 500, 1 << 22):
+        monkeypatch.setattr(tokens, "GROUP_CHARS", group)
+        for text, got in zip(texts, tokens.Encoder(PATH).encode(texts), strict=True):
+            assert got == library(text).tobytes(), repr(text)
+    assert tokens.Encoder(PATH).encode([]) == [] and tokens.Encoder(PATH).encode(["", " \n"]) == [b"", b""]
+
+
+def test_a_full_memory_keeps_what_came_last(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    coder, calls = tokens.Encoder(PATH), []
+
+    class Model:
+        def tokenize(self, part, own=coder.model):
+            calls.append(part)
+            return own.tokenize(part)
+
+    coder.model = Model()
+    first, second = (" ".join(f"{c}{d}" for d in "abcdefghijklmno") for c in "xy")
+    wanted = coder.encode([first])
+    coder.encode([second])
+    assert len(calls) == 30
+    # neither a sign behind a word nor its case makes it a new piece
+    assert coder.encode([first, first.upper()]) == wanted * 2 and len(coder.encode([second.replace(" ", ", ")])[0]) > 0
+    assert calls[30:] == [","]
+
+
 def test_other_tokenizers_go_text_by_text():
     coder = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
     assert not coder.by_word
@@ -84,6 +114,41 @@ def test_joined_checksums():
     assert rangecoder.join_crc32(zlib.crc32(a), zlib.crc32(b""), 0) == zlib.crc32(a)
 
 
+def test_joining_makes_no_polynomials_anew(monkeypatch):
+    whole = bytes(range(256)) * 70
+    cuts = [*range(0, 16384, 777), len(whole)]
+    join = lambda: [rangecoder.join_crc32(zlib.crc32(whole[:c]), zlib.crc32(whole[c:]), len(whole) - c) for c in cuts]
+    assert set(join()) == {zlib.crc32(whole)}
+    made, times = [], rangecoder._times
+    monkeypatch.setattr(rangecoder, "_times", lambda a, b: made.append(a) or times(a, b))
+    assert set(join()) == {zlib.crc32(whole)} and not made
+
+
+def test_a_context_not_seen_has_the_distribution_of_order_0():
+    model = rangecoder._Model(2, 4096)
+    model.seen[:300, 0] = 3 * 32 + 7  # row 3 of the first block: always symbol 7
+    model.seen[:300, 1] = (8 + 1) * 32 + 20
+    model.anew(300, 2)
+    total = 1 << 14
+    sizes = np.diff(model.starts.astype(int), append=total)
+    assert (sizes > 0).all() and (sizes.sum(axis=1) == total).all()
+    assert sizes[0, 7] > 0.9 * total and sizes[3, 7] > 0.9 * total and sizes[8, 20] > 0.9 * total
+    model.seen[:30, 0] = 3 * 32 + 9
+    model.seen[:30, 1] = (8 + 2) * 32 + 20
+    model.anew(30, 2)
+    sizes = np.diff(model.starts.astype(int), append=total)
+    assert sizes[0, 9] > 0.07 * total and sizes[0, 7] > 0.8 * total
+
+
+def test_blocks_end_about_where_distributions_change():
+    rng = np.random.default_rng(7)
+    lengths = [1, 15, 16, 17, 32, 33, 511, 512, 513, 1024, 1025, 3583, 3584, 3585, 4095, 4096]
+    blocks = [np.minimum(rng.zipf(1.2, n), 60_000).astype(np.uint32) for n in lengths]
+    coded = rangecoder.encode(blocks)
+    assert [rangecoder.encode([b])[0] for b in blocks] == coded
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode(coded[::-1])[::-1], strict=True))
+
+
 @pytest.mark.parametrize("together", [1024, 1])
 def test_token_files(spark, docs, no_docs, library, monkeypatch, together):
     monkeypatch.setattr(tokenfile, "TOGETHER", together)
